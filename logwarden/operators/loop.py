@@ -261,10 +261,12 @@ def closed_loop(
         F.when(F.col("slice") - F.lag("slice").over(by_ip) <= 2, 0).otherwise(1).alias("starts"),
     )
     active = active.withColumn("episode", F.sum("starts").over(by_ip))
-    reach = active.select(
-        "ip", "episode", F.explode(F.array(*[F.col("slice") + d for d in (-1, 0, 1)])).alias("slice")
-    ).distinct()
-    plan = load.join(reach, ["ip", "slice"]).select("ip", "slice", "episode", "rows")
+    # The slice before a run gives its windows their past; its own rows keep their plain counts.
+    steps = F.explode(F.array(*[F.struct((F.col("slice") + d).alias("slice"), F.lit(d).alias("d")) for d in (-1, 0, 1)]))
+    reach = active.select("ip", "episode", steps.alias("s")).groupBy(
+        "ip", "episode", F.col("s.slice").alias("slice")
+    ).agg((F.max("s.d") >= 0).alias("inside"))
+    plan = load.join(reach, ["ip", "slice"]).select("ip", "slice", "episode", "inside", "rows")
     earlier = (
         Window.partitionBy("ip", "episode").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -289,7 +291,7 @@ def closed_loop(
         if unblocks is not None:
             lifted = unblocks.withColumn(
                 "slice", F.floor(F.col("ingested_ts_ms") / F.lit(span_ms)).cast("long")
-            ).join(plan.drop("rows"), ["ip", "slice"])
+            ).join(plan.drop("rows", "inside"), ["ip", "slice"])
             rows = rows.unionByName(
                 lifted.select(
                     "ip", "episode", F.col("ingested_ts_ms").alias("ms"), "id",
@@ -325,12 +327,12 @@ def closed_loop(
             folded = folded.unionByName(other)
     columns = [c for c in events.columns if c != "dropped"]
     measures = ["failed_attempts_count", "request_frequency", "score_hundredths"]
-    quiet = tagged.where("episode is null").select(
+    quiet = tagged.where("not coalesce(inside, false)").select(
         *columns, "ttl_s", *measures, F.lit(False).alias("dropped"), F.lit(False).alias("alerted")
     )
     if folded is None:
         return quiet
-    busy = tagged.where("episode is not null").select(*columns, "ttl_s").join(
+    busy = tagged.where("inside").select(*columns, "ttl_s").join(
         folded.select("id", *measures, "dropped", "alerted"), "id"
     )
     return quiet.unionByName(busy.select(quiet.columns))
