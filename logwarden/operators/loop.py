@@ -266,7 +266,10 @@ def closed_loop(
     reach = active.select("ip", "episode", steps.alias("s")).groupBy(
         "ip", "episode", F.col("s.slice").alias("slice")
     ).agg((F.max("s.d") >= 0).alias("inside"))
-    plan = load.join(reach, ["ip", "slice"]).select("ip", "slice", "episode", "inside", "rows")
+    # Slices without rows stay in the plan: a block may be lifted there.
+    plan = reach.join(load, ["ip", "slice"], "left").select(
+        "ip", "slice", "episode", "inside", F.coalesce("rows", F.lit(0)).alias("rows")
+    )
     earlier = (
         Window.partitionBy("ip", "episode").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -309,7 +312,7 @@ def closed_loop(
                 part = part.unionByName(state.join(going_on, ["ip", "episode"]))
             result = (
                 part.repartition("ip", "episode")
-                .sortWithinPartitions("ip", "episode", "ms", "kind", "id")
+                .sortWithinPartitions("ip", "episode", "ms", "id", "kind")
                 .select("ip", "episode", "ms", "id", "kind", "event", "base", "ttl_s", "state")
                 .mapInPandas(_fold(params), FOLD_OUTPUT)
             )

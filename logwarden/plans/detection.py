@@ -150,12 +150,13 @@ def looped(spark: SparkSession, sf: str) -> DataFrame:
 
 # One step per event of an address, all addresses side by side: kept and failed hold the times of
 # counted rows, last the latest alert per event, until the block's expiry.
-LOOP_SQL = EVENTS_SQL + f""",
+def loop_sql(unblocks: str = "") -> str:
+    return EVENTS_SQL + f""",
 ord AS (
-  SELECT id, ip, event, ingested_ts_ms AS ms, rep_hundredths,
-    CASE WHEN event = 'suspicious_ip' THEN 35 ELSE 0 END AS weight,
-    row_number() OVER (PARTITION BY ip ORDER BY ingested_ts_ms, id) AS rn
-  FROM ev
+  SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ms, id) AS rn FROM (
+    SELECT id, ip, event, ingested_ts_ms AS ms, rep_hundredths,
+      CASE WHEN event = 'suspicious_ip' THEN 35 ELSE 0 END AS weight
+    FROM ev {unblocks})
 ),
 step AS (
   SELECT ip, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, false AS dropped, false AS alerted,
@@ -165,10 +166,11 @@ step AS (
   FROM (SELECT DISTINCT ip FROM ord)
   UNION ALL
   SELECT ip, rn, id, dropped, alerted, failed_n, freq_n, score, kept, failed,
-    CASE WHEN alerted THEN map_concat(last, MAP([event], [ms])) ELSE last END,
-    CASE WHEN alerted AND event = 'suspicious_ip' THEN greatest(until, ms + {BLOCK_TTL_S * 1000}) ELSE until END
+    CASE WHEN event = 'unblock' AND until > 0 THEN CAST(MAP {{}} AS MAP(VARCHAR, BIGINT))
+      WHEN alerted THEN map_concat(last, MAP([event], [ms])) ELSE last END,
+    CASE WHEN event = 'unblock' THEN 0 WHEN alerted AND event = 'suspicious_ip' THEN greatest(until, ms + {BLOCK_TTL_S * 1000}) ELSE until END
   FROM (
-    SELECT *, NOT dropped AND score >= 45
+    SELECT *, NOT dropped AND event <> 'unblock' AND score >= 45
       AND coalesce(last[event], -1) <= ms - {COOLDOWN_S * 1000} AS alerted
     FROM (
       SELECT *, CASE WHEN dropped THEN 0 ELSE least(100, rep_hundredths + weight
@@ -179,10 +181,10 @@ step AS (
           CASE WHEN dropped THEN 0 ELSE len(failed) END AS failed_n
         FROM (
           SELECT o.ip, o.rn, o.id, o.event, o.ms, o.rep_hundredths, o.weight, s.last, s.until,
-            s.until > o.ms AS dropped,
-            CASE WHEN s.until > o.ms THEN s.kept
+            s.until > o.ms AND o.event <> 'unblock' AS dropped,
+            CASE WHEN s.until > o.ms OR o.event = 'unblock' THEN s.kept
               ELSE list_append(list_filter(s.kept, lambda x: x > o.ms - {WINDOW_S * 1000}), o.ms) END AS kept,
-            CASE WHEN s.until > o.ms THEN s.failed
+            CASE WHEN s.until > o.ms OR o.event = 'unblock' THEN s.failed
               WHEN o.event = 'failed_login'
                 THEN list_append(list_filter(s.failed, lambda x: x > o.ms - {WINDOW_S * 1000}), o.ms)
               ELSE list_filter(s.failed, lambda x: x > o.ms - {WINDOW_S * 1000}) END AS failed
@@ -194,6 +196,14 @@ step AS (
 )"""
 
 
+UNBLOCK_DAYS = (1_704_844_800_000, 1_705_708_800_000)
+LOOP_SQL = loop_sql()
+UNBLOCK_SQL = loop_sql(
+    "UNION ALL SELECT -1, ip, 'unblock', day, 0, 0 FROM (SELECT DISTINCT ip FROM ev), "
+    f"(SELECT unnest([{UNBLOCK_DAYS[0]}, {UNBLOCK_DAYS[1]}]) AS day)"
+)
+
+
 @query(
     "closed_loop",
     sql(
@@ -208,16 +218,29 @@ def closed_loop_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("closed_loop_blocks")
+@query(
+    "closed_loop_blocks",
+    sql(
+        LOOP_SQL,
+        f"""SELECT s.ip, s.id AS alert_id, o.ms AS start_ms, o.ms + {BLOCK_TTL_S * 1000} AS expires_ms
+            FROM step s JOIN ord o ON o.id = s.id WHERE s.alerted AND o.event = 'suspicious_ip'""",
+    ),
+)
 def closed_loop_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return block_intervals(looped(spark, sf))
 
 
-@query("closed_loop_unblock")
+@query(
+    "closed_loop_unblock",
+    sql(
+        UNBLOCK_SQL,
+        "SELECT id, ip, dropped, alerted, CAST(score AS INTEGER) AS score_hundredths FROM step WHERE rn > 0 AND id >= 0",
+    ),
+)
 def closed_loop_unblock(spark: SparkSession, sf: str) -> DataFrame:
     """The loop with manual unblocks: every actor is released at each midnight of day 10 and 20."""
     events = actor_events(spark, sf)
-    days = F.explode(F.array(F.lit(1_704_844_800_000), F.lit(1_705_708_800_000)))
+    days = F.explode(F.array(*[F.lit(d) for d in UNBLOCK_DAYS]))
     unblocks = events.select("ip").distinct().select("ip", days.alias("ingested_ts_ms")).withColumn(
         "id", F.lit(-1).cast("long")
     )
