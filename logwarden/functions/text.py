@@ -97,15 +97,21 @@ def service_account_su(tag: Column, message: Column) -> Column:
     """The service account that switched to another user, or null."""
     target = F.regexp_extract(message, SUCCESSFUL_SU, 1)
     actor = F.regexp_extract(message, SUCCESSFUL_SU, 2)
-    return F.when((tag == "su") & actor.isin(*SERVICE_ACCOUNTS) & (target != actor), actor)
+    return F.when(tag == "su", service_actor(target, actor))
+
+
+def service_actor(target: Column, actor: Column) -> Column:
+    """The actor, if it is a service account that became somebody else."""
+    return F.when(actor.isin(*SERVICE_ACCOUNTS) & (target != actor), actor)
 
 
 def line_content(line: Column) -> Column:
     """Content after the five header fields, or the stripped line when it has no such header."""
     stripped = F.regexp_replace(line, r"(?U)^\s+|\s+\z", "")
-    return F.when(line.rlike(BLOCK_LINE_HEAD), F.regexp_extract(line, BLOCK_LINE_HEAD, 1)).otherwise(
-        stripped
-    )
+    # One pass: the header is cut off where it is there; a line that starts otherwise is stripped.
+    return F.when(line.rlike(r"(?U)^\d{6}\s"), F.coalesce(
+        F.nullif(F.regexp_replace(line, BLOCK_LINE_HEAD, "$1"), line), stripped
+    )).otherwise(stripped)
 
 
 def block_ids(content: Column) -> Column:

@@ -93,8 +93,8 @@ def retained_counts(spark: SparkSession, sf: str) -> DataFrame:
 )
 def counters(spark: SparkSession, sf: str) -> DataFrame:
     events = actor_events(spark, sf)
-    first = events.where("id % 2 = 0").agg(F.count("*").alias("value")).select(F.lit("events").alias("name"), "value")
-    second = events.where("id % 2 = 1").agg(F.count("*").alias("value")).select(F.lit("events").alias("name"), "value")
+    first = events.where("origin = 'synthetic'").agg(F.count("*").alias("value")).select(F.lit("events").alias("name"), "value")
+    second = events.where("origin <> 'synthetic'").agg(F.count("*").alias("value")).select(F.lit("events").alias("name"), "value")
     by_event = events.groupBy(F.col("event").alias("name")).agg(F.count("*").alias("value"))
     totals = dashboard.add_counters(dashboard.empty_counters(spark), first)
     return dashboard.add_counters(totals, second.unionByName(by_event))

@@ -1,8 +1,14 @@
-"""Log lines to raw events. Each parser is a Column expression over the line."""
+"""Log lines to raw events.
+
+Every parser adds a struct column ``parsed`` (null when the line does not parse). A pattern runs once
+per line: its groups are written out one per text line and split again, in a projection of their own,
+so that later expressions read array items and generated code stays small.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +23,7 @@ from ..fixed_values import (
     SSHD_FAILED,
     SSHD_INVALID,
     SSHD_TAG,
+    SUCCESSFUL_SU,
     SYSLOG_FILE_LINE,
     SYSLOG_TAG,
 )
@@ -29,7 +36,7 @@ from ..functions.text import (
     month_number,
     pri_facility,
     pri_severity,
-    service_account_su,
+    service_actor,
     severity_event,
 )
 
@@ -37,10 +44,28 @@ RAW_FIELDS = (
     "ts_ms", "source", "event", "ip", "user", "message", "log_format", "origin",
     "transport_peer_ip",
 )
+SYSLOG_FORMATS = ("rfc5424", "rfc3164", "raw")
+
+
+def with_groups(
+    df: DataFrame, out: str, text: Column, pattern: str, count: int, only: Column | None = None
+) -> DataFrame:
+    """Add ``out``: the pattern's groups as an array, null where the text does not match.
+
+    No group but the last can hold a line feed (all are built from non-space classes, or the text is
+    a single line), so it separates them. A match always changes the text, since it consumes white
+    space or brackets between the groups.
+    """
+    written = F.regexp_replace(text, pattern, "\n".join(f"${i}" for i in range(1, count + 1)))
+    if only is not None:
+        written = F.when(only, written)
+    staged = df.withColumn("__written", written)
+    groups = F.when(F.col("__written") != text, F.split("__written", "\n", count))
+    return staged.withColumn(out, groups).drop("__written")
 
 
-def _groups(line: Column, pattern: str, count: int) -> list[Column]:
-    return [F.regexp_extract(line, pattern, i) for i in range(1, count + 1)]
+def _item(groups: str, i: int) -> Column:
+    return F.get(groups, F.lit(i))
 
 
 def _raw(**values: Column | str | None) -> Column:
@@ -52,223 +77,206 @@ def _raw(**values: Column | str | None) -> Column:
     return F.struct(*fields)
 
 
-def sshd_auth(tag: Column, message: Column, ipv6: bool = True) -> Column:
-    """struct(event, ip, user) of a complete sshd authentication message, else null."""
-    failed = message.rlike(SSHD_FAILED)
-    invalid = message.rlike(SSHD_INVALID)
-    accepted = message.rlike(SSHD_ACCEPTED)
-
-    def pick(group: int) -> Column:
-        return (
-            F.when(failed, F.regexp_extract(message, SSHD_FAILED, group))
-            .when(invalid, F.regexp_extract(message, SSHD_INVALID, group))
-            .when(accepted, F.regexp_extract(message, SSHD_ACCEPTED, group))
-        )
-
-    port = (
-        F.when(failed, F.regexp_extract(message, SSHD_FAILED, 3))
-        .when(~invalid & accepted, F.regexp_extract(message, SSHD_ACCEPTED, 3))
-        .try_cast("int")
+def with_sshd_auth(
+    df: DataFrame, tag: Column, message: Column, out: str = "auth", ipv6: bool = True
+) -> DataFrame:
+    """Add ``out``: struct(event, ip, user) of a complete sshd authentication message, else null."""
+    staged = df.withColumn("__s_m", F.when(tag.rlike(SSHD_TAG), message))
+    m = F.col("__s_m")
+    staged = with_groups(staged, "__s_f", m, SSHD_FAILED, 3, m.startswith("Failed"))
+    staged = with_groups(staged, "__s_i", m, SSHD_INVALID, 2, m.startswith("Invalid"))
+    staged = with_groups(staged, "__s_a", m, SSHD_ACCEPTED, 3, m.startswith("Accepted"))
+    port = F.coalesce(_item("__s_f", 2), _item("__s_a", 2)).try_cast("int")
+    staged = staged.withColumns(
+        {
+            "__s_event": F.when(F.col("__s_f").isNotNull(), "failed_login")
+            .when(F.col("__s_i").isNotNull(), "auth_invalid_user")
+            .when(F.col("__s_a").isNotNull(), "login_success"),
+            "__s_g": F.coalesce("__s_f", "__s_i", "__s_a"),
+            "__s_port_ok": F.col("__s_i").isNotNull() | port.between(1, 65535),
+        }
     )
-    event = (
-        F.when(failed, "failed_login").when(invalid, "auth_invalid_user").when(accepted, "login_success")
-    )
-    is_sshd = tag.rlike(SSHD_TAG)
-    address = canonical_ip(F.when(is_sshd, pick(2)), ipv6)
-    port_ok = (invalid & ~failed) | port.between(1, 65535)
-    return F.when(
-        is_sshd & event.isNotNull() & port_ok & address.isNotNull(),
-        F.struct(event.alias("event"), address.alias("ip"), pick(1).alias("user")),
+    staged = staged.withColumn("__s_ip", canonical_ip(_item("__s_g", 1), ipv6))
+    auth = F.when(
+        F.col("__s_event").isNotNull() & F.col("__s_port_ok") & F.col("__s_ip").isNotNull(),
+        F.struct(F.col("__s_event").alias("event"), F.col("__s_ip").alias("ip"), _item("__s_g", 0).alias("user")),
     )
+    return staged.withColumn(out, auth).drop("__s_m", "__s_f", "__s_i", "__s_a", "__s_event", "__s_g", "__s_port_ok", "__s_ip")
 
 
-def hdfs_event(line: Column) -> Column:
-    """Raw event of an HDFS line; null when it does not parse."""
-    date, clock, _pid, level, component, content = _groups(line, HDFS_LINE, 6)
+def parse_hdfs(df: DataFrame, col: str = "value") -> DataFrame:
+    staged = with_groups(df, "__g", F.col(col), HDFS_LINE, 6)
+    date, clock, level, component, content = (_item("__g", i) for i in (0, 1, 3, 4, 5))
     yy = F.substring(date, 1, 2).try_cast("int")
     # Two-digit years: 69-99 are 19xx, 00-68 are 20xx.
-    year = F.when(yy >= 69, yy + 1900).otherwise(yy + 2000)
-    stamp = F.try_to_timestamp(
-        F.concat(year.cast("string"), F.substring(date, 3, 4), clock), F.lit("yyyyMMddHHmmss")
-    )
-    return F.when(
-        line.rlike(HDFS_LINE) & stamp.isNotNull(),
-        _raw(
-            ts_ms=F.unix_millis(stamp),
-            source=F.substring_index(F.trim(component), "$", 1),
-            event=level_event(level),
-            ip=F.coalesce(first_ipv4(content), F.lit("10.0.0.0")),
-            user="unknown",
-            message=content,
-            log_format="hdfs",
-            origin="replay:hdfs",
-        ),
+    year = F.when(yy >= 69, yy + 1900).otherwise(yy + 2000).cast("string")
+    stamp = F.try_to_timestamp(F.concat(year, F.substring(date, 3, 4), clock), F.lit("yyyyMMddHHmmss"))
+    staged = staged.withColumn("__ms", F.unix_millis(stamp))
+    event = _raw(
+        ts_ms=F.col("__ms"),
+        source=F.substring_index(F.trim(component), "$", 1),
+        event=level_event(level),
+        ip=F.coalesce(first_ipv4(content), F.lit("10.0.0.0")),
+        user="unknown",
+        message=content,
+        log_format="hdfs",
+        origin="replay:hdfs",
     )
+    return staged.withColumn("parsed", F.when(F.col("__ms").isNotNull(), event)).drop("__g", "__ms")
 
 
-def openssh_event(line: Column, year: int = OPENSSH_CORPUS_YEAR, ipv6: bool = True) -> Column:
-    """Raw event of an OpenSSH line; null when it does not parse."""
-    month, day, clock, host, tag, content = _groups(line, OPENSSH_LINE, 6)
+def parse_openssh(
+    df: DataFrame, col: str = "value", year: int = OPENSSH_CORPUS_YEAR, ipv6: bool = True
+) -> DataFrame:
+    staged = with_groups(df, "__g", F.col(col), OPENSSH_LINE, 6)
+    month, day, clock, host, tag, content = (_item("__g", i) for i in range(6))
     stamp = clock_timestamp(F.lit(year), month_number(month), day, clock)
-    auth = sshd_auth(tag, content, ipv6)
+    staged = staged.withColumn("__ms", F.unix_millis(stamp))
+    staged = with_sshd_auth(staged, tag, content, "__auth", ipv6)
     generic = F.when(F.lower(content).contains("break-in attempt"), "log_warning").otherwise("log_info")
-    return F.when(
-        line.rlike(OPENSSH_LINE) & stamp.isNotNull(),
-        _raw(
-            ts_ms=F.unix_millis(stamp),
-            source=host,
-            event=F.coalesce(auth["event"], generic),
-            ip=F.coalesce(auth["ip"], F.lit("127.0.0.1")),
-            user=F.coalesce(auth["user"], F.lit("unknown")),
-            message=content,
-            log_format="rfc3164",
-            origin="replay:openssh",
-        ),
+    event = _raw(
+        ts_ms=F.col("__ms"),
+        source=host,
+        event=F.coalesce("__auth.event", generic),
+        ip=F.coalesce("__auth.ip", F.lit("127.0.0.1")),
+        user=F.coalesce("__auth.user", F.lit("unknown")),
+        message=content,
+        log_format="rfc3164",
+        origin="replay:openssh",
     )
+    return staged.withColumn("parsed", F.when(F.col("__ms").isNotNull(), event)).drop("__g", "__ms", "__auth")
 
 
-def syslog_file_event(
-    line: Column, default_year: Column, received_ms: Column, file_name: Column
-) -> Column:
-    """Raw event of a line in a BSD syslog file; null for a blank line only."""
-    month, day, clock, host, tag, pid, msg = _groups(line, SYSLOG_FILE_LINE, 7)
-    matched = line.rlike(SYSLOG_FILE_LINE)
+def parse_syslog_file(
+    df: DataFrame, default_year: Column, received_ms: Column, file_name: Column, col: str = "value"
+) -> DataFrame:
+    """Lines of a BSD syslog file. Only a blank line gives no event: one that does not match the
+    format keeps its whole text, with the file as its source."""
+    line = F.col(col)
+    staged = with_groups(df, "__g", line, SYSLOG_FILE_LINE, 7)
+    month, day, clock, host, tag, pid, msg = (_item("__g", i) for i in range(7))
     stamp = clock_timestamp(default_year, month_number(month), day, clock)
     framed = F.when(pid != "", F.concat(tag, F.lit("["), pid, F.lit("]: "), msg)).otherwise(
         F.concat(tag, F.lit(": "), msg)
     )
-    message = F.when(matched, framed).otherwise(line)
-    actor = F.when(matched, service_account_su(tag, msg))
-    return F.when(
-        line.rlike(r"(?U)\S"),
-        _raw(
-            ts_ms=F.coalesce(F.when(matched, F.unix_millis(stamp)), received_ms),
-            source=F.when(matched, host).otherwise(file_name),
-            event=F.when(actor.isNotNull(), "privilege_escalation").otherwise(keyword_level(message)),
-            ip=F.coalesce(first_ipv4(message, strict=False), F.lit("127.0.0.1")),
-            user=F.coalesce(actor, F.lit("unknown")),
-            message=message,
-            log_format="syslog",
-            origin="file",
-        ),
+    staged = staged.withColumns({"__ms": F.unix_millis(stamp), "__message": F.coalesce(framed, line)})
+    staged = with_groups(staged, "__su", msg, SUCCESSFUL_SU, 2, tag == "su")
+    staged = staged.withColumn("__actor", service_actor(_item("__su", 0), _item("__su", 1)))
+    message, actor = F.col("__message"), F.col("__actor")
+    event = _raw(
+        ts_ms=F.coalesce("__ms", received_ms),
+        source=F.coalesce(host, file_name),
+        event=F.when(actor.isNotNull(), "privilege_escalation").otherwise(keyword_level(message)),
+        ip=F.coalesce(first_ipv4(message, strict=False), F.lit("127.0.0.1")),
+        user=F.coalesce(actor, F.lit("unknown")),
+        message=message,
+        log_format="syslog",
+        origin="file",
     )
-
-
-def _attributed(
-    peer: Column, trusted_peers: tuple[str, ...], tag: Column, body: Column, ipv6: bool
-) -> Column:
-    """sshd actor of a message forwarded by a listed loopback peer, else null."""
-    if not trusted_peers:
-        return F.lit(None).cast("struct<event:string,ip:string,user:string>")
-    return F.when(peer.isin(*trusted_peers) & is_loopback(peer), sshd_auth(tag, body, ipv6))
-
-
-def rfc5424_event(
-    payload: Column,
-    peer: Column,
-    received_ms: Column,
-    trusted_peers: tuple[str, ...] = (),
-    ipv6: bool = True,
-) -> Column:
-    pri, _version, ts, host, app, _procid, _msgid, rest = _groups(payload, RFC5424_LINE, 8)
-    pri = pri.try_cast("int")
-    stamp = F.when(ts.rlike(r"^\d{4}-?\d{2}-?\d{2}"), F.try_to_timestamp(ts))
-    name = F.when(app == "-", pri_facility(pri)).otherwise(app)
-    body = F.when(rest.startswith("- "), F.substring(rest, F.lit(3), F.length(rest))).otherwise("")
-    auth = _attributed(peer, trusted_peers, name, body, ipv6)
-    return F.when(
-        payload.rlike(RFC5424_LINE),
-        _raw(
-            ts_ms=F.coalesce(F.unix_millis(stamp), received_ms),
-            source=F.when(host == "-", peer).otherwise(host),
-            event=F.coalesce(auth["event"], severity_event(pri_severity(pri))),
-            ip=F.coalesce(auth["ip"], peer),
-            user=F.coalesce(auth["user"], F.lit("unknown")),
-            message=F.when(rest != "", F.concat(name, F.lit(": "), rest)).otherwise(name),
-            log_format="rfc5424",
-            origin="syslog",
-            transport_peer_ip=peer,
-        ),
+    return staged.withColumn("parsed", F.when(line.rlike(r"(?U)\S"), event)).drop(
+        "__g", "__ms", "__message", "__su", "__actor"
     )
 
 
-def rfc3164_event(
-    payload: Column,
+def parse_syslog(
+    df: DataFrame,
+    payload: str,
     peer: Column,
     default_year: Column,
     received_ms: Column,
     trusted_peers: tuple[str, ...] = (),
+    formats: tuple[str, ...] = SYSLOG_FORMATS,
     ipv6: bool = True,
-) -> Column:
-    pri, month, day, clock, host, rest = _groups(payload, RFC3164_LINE, 6)
-    pri = pri.try_cast("int")
-    tag, pid, msg = _groups(rest, SYSLOG_TAG, 3)
-    tagged = rest.rlike(SYSLOG_TAG)
-    stamp = clock_timestamp(default_year, month_number(month), day, clock)
-    message = (
-        F.when(~tagged, rest)
-        .when(pid != "", F.concat(tag, F.lit("["), pid, F.lit("]: "), msg))
-        .otherwise(F.concat(tag, F.lit(": "), msg))
+) -> DataFrame:
+    """Syslog payloads: RFC 5424, else RFC 3164, else kept whole as ``raw``.
+
+    The sshd actor of a message is taken over only from a listed loopback peer, and from RFC 5424 only
+    when the structured data is "-". The peer itself is always kept.
+    """
+    staged = df.withColumn("__text", F.regexp_replace(payload, r"(?U)^\s+|\s+\z", "")).withColumn("__peer", peer)
+    text = F.col("__text")
+    new = F.lit("rfc5424" in formats)
+    staged = with_groups(staged, "__n", text, RFC5424_LINE, 8, new & text.startswith("<"))
+    old = F.lit("rfc3164" in formats) & F.col("__n").isNull()
+    staged = with_groups(staged, "__o", text, RFC3164_LINE, 6, old & text.startswith("<"))
+    rest3164 = _item("__o", 5)
+    staged = with_groups(staged, "__t", rest3164, SYSLOG_TAG, 3)
+
+    is_new, is_old = F.col("__n").isNotNull(), F.col("__o").isNotNull()
+    pri = F.coalesce(_item("__n", 0), _item("__o", 0)).try_cast("int")
+    iso = _item("__n", 2)
+    month, day, clock = (_item("__o", i) for i in (1, 2, 3))
+    app = F.when(_item("__n", 4) == "-", pri_facility(pri)).otherwise(_item("__n", 4))
+    rest = _item("__n", 7)
+    tag, pid, msg = (_item("__t", i) for i in range(3))
+    framed = F.when(pid != "", F.concat(tag, F.lit("["), pid, F.lit("]: "), msg)).otherwise(
+        F.concat(tag, F.lit(": "), msg)
     )
-    auth = _attributed(peer, trusted_peers, tag, msg, ipv6)
-    return F.when(
-        payload.rlike(RFC3164_LINE),
-        _raw(
-            ts_ms=F.coalesce(F.unix_millis(stamp), received_ms),
-            source=host,
-            event=F.coalesce(auth["event"], severity_event(pri_severity(pri))),
-            ip=F.coalesce(auth["ip"], peer),
-            user=F.coalesce(auth["user"], F.lit("unknown")),
-            message=message,
-            log_format="rfc3164",
-            origin="syslog",
-            transport_peer_ip=peer,
-        ),
+    host = F.when(_item("__n", 3) == "-", F.col("__peer")).otherwise(_item("__n", 3))
+    plain = F.when(rest.startswith("- "), F.substring(rest, F.lit(3), F.length(rest)))
+    stamp = F.coalesce(
+        F.when(iso.rlike(r"^\d{4}-?\d{2}-?\d{2}"), F.try_to_timestamp(iso)),
+        clock_timestamp(default_year, month_number(month), day, clock),
     )
-
-
-def syslog_event(
-    payload: Column,
-    peer: Column,
-    default_year: Column,
-    received_ms: Column,
-    trusted_peers: tuple[str, ...] = (),
-    ipv6: bool = True,
-) -> Column:
-    """RFC 5424, else RFC 3164, else the whole payload kept as a ``raw`` event."""
-    text = F.regexp_replace(payload, r"(?U)^\s+|\s+\z", "")
-    raw = _raw(
-        ts_ms=received_ms, source=peer, event="log_info", ip=peer, user="unknown", message=text,
-        log_format="raw", origin="syslog", transport_peer_ip=peer,
+    staged = staged.withColumns(
+        {
+            "__ms": F.coalesce(F.unix_millis(stamp), received_ms),
+            "__app": app,
+            "__event": F.coalesce(severity_event(pri_severity(pri)), F.lit("log_info")),
+            "__source": F.coalesce(host, _item("__o", 4), F.col("__peer")),
+        }
+    ).withColumns(
+        {
+            "__message": F.when(is_new & (rest != ""), F.concat("__app", F.lit(": "), rest))
+            .when(is_new, F.col("__app"))
+            .when(is_old, F.coalesce(framed, rest3164))
+            .otherwise(text),
+            "__tag": F.when(is_new, F.col("__app")).otherwise(tag),
+            "__body": F.when(is_new, plain).otherwise(msg),
+        }
     )
-    return F.coalesce(
-        rfc5424_event(text, peer, received_ms, trusted_peers, ipv6),
-        rfc3164_event(text, peer, default_year, received_ms, trusted_peers, ipv6),
-        raw,
+    if trusted_peers:
+        trusted = F.col("__peer").isin(*trusted_peers) & is_loopback(F.col("__peer"))
+        staged = with_sshd_auth(staged, F.when(trusted, F.col("__tag")), F.col("__body"), "__auth", ipv6)
+    else:
+        staged = staged.withColumn("__auth", F.lit(None).cast("struct<event:string,ip:string,user:string>"))
+    form = F.when(is_new, "rfc5424").when(is_old, "rfc3164").when(F.lit("raw" in formats), "raw")
+    event = _raw(
+        ts_ms=F.col("__ms"),
+        source=F.col("__source"),
+        event=F.coalesce("__auth.event", "__event"),
+        ip=F.coalesce("__auth.ip", "__peer"),
+        user=F.coalesce("__auth.user", F.lit("unknown")),
+        message=F.col("__message"),
+        log_format=form,
+        origin="syslog",
+        transport_peer_ip=F.col("__peer"),
+    )
+    return staged.withColumn("parsed", F.when(form.isNotNull(), event)).drop(
+        "__text", "__peer", "__n", "__o", "__t", "__ms", "__app", "__event", "__source", "__message",
+        "__tag", "__body", "__auth",
     )
 
 
-LINE_PARSERS: dict[str, Callable[[Column], Column]] = {
-    "hdfs": hdfs_event,
-    "openssh": openssh_event,
-}
+LineParser = Callable[[DataFrame], DataFrame]
+LINE_PARSERS: dict[str, LineParser] = {"hdfs": parse_hdfs, "openssh": parse_openssh}
 
 
-def register_parser(name: str, parser: Callable[[Column], Column]) -> None:
-    """Add a line parser: an expression from the line to a raw-event struct, null if unparsed."""
+def register_parser(name: str, parser: LineParser) -> None:
+    """Add a line parser: from a table with ``value`` to one with the struct column ``parsed``."""
     LINE_PARSERS[name] = parser
 
 
-def parse_lines(
-    df: DataFrame, parser: str | Callable[[Column], Column], col: str = "value"
-) -> tuple[DataFrame, DataFrame]:
-    """(events, rejects) of a line table; the line's other columns are kept on both sides."""
-    expression = LINE_PARSERS[parser] if isinstance(parser, str) else parser
-    parsed = df.withColumn("parsed", expression(F.col(col)))
-    keep = [c for c in df.columns if c != col]
-    events = parsed.where(F.col("parsed").isNotNull()).select(*keep, "parsed.*")
-    rejects = parsed.where(F.col("parsed").isNull()).drop("parsed")
-    return events, rejects
+def split_parsed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects); columns of the line table other than ``value`` are kept with the events."""
+    keep = [c for c in df.columns if c not in ("value", "parsed")]
+    events = df.where("parsed is not null").select(*keep, "parsed.*")
+    return events, df.where("parsed is null").drop("parsed")
+
+
+def parse_lines(df: DataFrame, parser: str | LineParser, **options) -> tuple[DataFrame, DataFrame]:
+    run = LINE_PARSERS[parser] if isinstance(parser, str) else parser
+    return split_parsed(partial(run, **options)(df))
 
 
 def multi_source(*events: DataFrame) -> DataFrame:
