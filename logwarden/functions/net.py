@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,41 +19,57 @@ def dotted_to_long(a: int, b: int, c: int, d: int) -> int:
     return ((a * 256 + b) * 256 + c) * 256 + d
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, evaluated once and written into generated code once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ip_to_long(ip: Column) -> Column:
     """IPv4 text to its 32-bit value; null unless the text is a strict dotted quad."""
-    parts = F.split(ip, r"\.")
-    value = F.lit(0).cast("long")
-    for i in range(4):
-        value = value * 256 + F.get(parts, F.lit(i)).try_cast("long")
+    value = F.aggregate(
+        F.split(ip, r"\."), F.lit(0).cast("long"), lambda acc, part: acc * 256 + part.cast("long")
+    )
     return F.when(ip.rlike(IPV4_STRICT), value)
 
 
 def long_to_ip(value: Column) -> Column:
-    return F.concat_ws(
-        ".",
-        *[F.shiftright(value, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)],
+    octets = F.transform(
+        F.array(*[F.lit(s) for s in (24, 16, 8, 0)]),
+        lambda s: F.pmod(F.floor(value / F.pow(F.lit(2.0), s)), F.lit(256)).cast("long").cast("string"),
     )
+    return F.when(value.isNotNull(), F.array_join(octets, "."))
 
 
 def cidr_bounds(text: Column) -> Column:
     """``a.b.c.d[/n | /mask]`` to struct(lo, hi) with host bits masked off; null if not IPv4."""
-    head = ip_to_long(F.substring_index(text, "/", 1))
     tail = F.when(F.instr(text, "/") > 0, F.substring(text, F.instr(text, "/") + 1, F.length(text)))
-    bits = F.when(tail.isNull(), F.lit(32)).when(
-        tail.rlike(r"^[0-9]+\z"), tail.try_cast("int")
+    bits = F.when(tail.isNull(), F.lit(32)).when(tail.rlike(r"^[0-9]{1,2}\z"), tail.try_cast("int"))
+    parts = F.struct(
+        ip_to_long(F.substring_index(text, "/", 1)).alias("head"),
+        F.when(bits.between(0, 32), F.pow(F.lit(2.0), 32 - bits).cast("long") - 1).alias("span"),
+        # Netmask and hostmask notations are accepted too: /255.255.0.0 and /0.0.255.255.
+        ip_to_long(tail).alias("mask"),
     )
-    # Netmask and hostmask notations are accepted too: /255.255.0.0 and /0.0.255.255.
-    mask = ip_to_long(tail)
-    inverse = F.lit(0xFFFFFFFF) - mask
-    mask_span = (
-        F.when(inverse.bitwiseAND(inverse + 1) == 0, inverse)
-        .when(mask.bitwiseAND(mask + 1) == 0, mask)
-    )
-    span = F.when(
-        bits.between(0, 32), F.pow(F.lit(2.0), 32 - bits).cast("long") - 1
-    ).otherwise(mask_span)
-    lo = head - head.bitwiseAND(span)
-    return F.when(head.isNotNull() & span.isNotNull(), F.struct(lo.alias("lo"), (lo + span).alias("hi")))
+
+    def bounds(p: Column) -> Column:
+        inverse = F.lit(0xFFFFFFFF) - p["mask"]
+        span = (
+            F.when(p["span"].isNotNull(), p["span"])
+            .when(inverse.bitwiseAND(inverse + 1) == 0, inverse)
+            .when(p["mask"].bitwiseAND(p["mask"] + 1) == 0, p["mask"])
+        )
+        return let(
+            F.struct(p["head"].alias("head"), span.alias("span")),
+            lambda q: F.when(
+                q["head"].isNotNull() & q["span"].isNotNull(),
+                F.struct(
+                    (q["head"] - q["head"].bitwiseAND(q["span"])).alias("lo"),
+                    (q["head"] - q["head"].bitwiseAND(q["span"]) + q["span"]).alias("hi"),
+                ),
+            ),
+        )
+
+    return let(parts, bounds)
 
 
 def _range_of(network: str, bits: int) -> tuple[int, int]:
@@ -61,16 +79,17 @@ def _range_of(network: str, bits: int) -> tuple[int, int]:
 
 def ip_scope(ip_long: Column) -> Column:
     """struct(scope, detail) of a 32-bit address; a null address stays null."""
-    found = F
-    for network, bits, scope, detail in SCOPE_RANGES:
-        lo, hi = _range_of(network, bits)
-        found = found.when(
-            ip_long.between(lo, hi), F.struct(F.lit(scope).alias("scope"), F.lit(detail).alias("detail"))
-        )
-    return found.when(
-        ip_long.isNotNull(),
-        F.struct(F.lit("global").alias("scope"), F.lit("globally routable").alias("detail")),
-    )
+
+    def label(scope: str, detail: str) -> Column:
+        return F.struct(F.lit(scope).alias("scope"), F.lit(detail).alias("detail"))
+
+    def find(address: Column) -> Column:
+        found = F
+        for network, bits, scope, detail in SCOPE_RANGES:
+            found = found.when(address.between(*_range_of(network, bits)), label(scope, detail))
+        return found.when(address.isNotNull(), label("global", "globally routable"))
+
+    return let(ip_long, find)
 
 
 def canonical_ipv6_literal(text: str | None) -> str | None:
