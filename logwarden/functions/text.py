@@ -24,6 +24,7 @@ from ..fixed_values import (
     TEMPLATE_MASKS,
     WARNING_WORDS,
 )
+from .net import let
 
 
 def lookup(mapping: dict, key: Column) -> Column:
@@ -50,11 +51,11 @@ def _contains_any(text: Column, words: tuple[str, ...]) -> Column:
 
 def keyword_level(message: Column) -> Column:
     """Event name from the words a message contains: error words first, then warning words."""
-    low = F.lower(message)
-    return (
-        F.when(_contains_any(low, ERROR_WORDS), "log_error")
+    return let(
+        F.lower(message),
+        lambda low: F.when(_contains_any(low, ERROR_WORDS), "log_error")
         .when(_contains_any(low, WARNING_WORDS), "log_warning")
-        .otherwise("log_info")
+        .otherwise("log_info"),
     )
 
 
@@ -107,11 +108,14 @@ def service_actor(target: Column, actor: Column) -> Column:
 
 def line_content(line: Column) -> Column:
     """Content after the five header fields, or the stripped line when it has no such header."""
-    stripped = F.regexp_replace(line, r"(?U)^\s+|\s+\z", "")
-    # One pass: the header is cut off where it is there; a line that starts otherwise is stripped.
-    return F.when(line.rlike(r"(?U)^\d{6}\s"), F.coalesce(
-        F.nullif(F.regexp_replace(line, BLOCK_LINE_HEAD, "$1"), line), stripped
-    )).otherwise(stripped)
+
+    def content(text: Column) -> Column:
+        stripped = F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+        cut = F.nullif(F.regexp_replace(text, BLOCK_LINE_HEAD, "$1"), text)
+        # Only a line that begins like a header is tried against the whole header pattern.
+        return F.when(text.rlike(r"(?U)^\d{6}\s"), F.coalesce(cut, stripped)).otherwise(stripped)
+
+    return let(line, content)
 
 
 def block_ids(content: Column) -> Column:
@@ -124,9 +128,9 @@ def mask(content: Column) -> Column:
 
 
 def tokens(masked: Column) -> Column:
-    stripped = F.regexp_replace(masked, r"(?U)^\s+|\s+\z", "")
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
-        F.split(stripped, r"(?U)\s+")
+    return let(
+        F.regexp_replace(masked, r"(?U)^\s+|\s+\z", ""),
+        lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"(?U)\s+")),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import TEMPLATE_MAX_CHILDREN, TEMPLATE_SIMILARITY
 from ..functions.text import mask, tokens
+from ..session import cut_lineage
 from .ordering import with_ordinal
 
 WILD = "<*>"
@@ -125,7 +126,8 @@ def mine_templates(
     ``leaf_rows`` distinct lines is cut into hash shards; only such a leaf's shard templates are then
     clustered again by the same rule, so no task sees more than a shard.
     """
-    leaves = with_leaf(distinct_masked(lines, content, position), max_children)
+    # The log is read and masked once; the distinct shapes are used by several stages.
+    leaves = with_leaf(cut_lineage(distinct_masked(lines, content, position)), max_children)
     sizes = leaves.groupBy("n_tokens", "leaf").agg(F.count("*").alias("leaf_size"))
     sized = leaves.join(sizes, ["n_tokens", "leaf"])
     shards = F.ceil(F.col("leaf_size") / F.lit(leaf_rows)).cast("long")
@@ -135,7 +137,7 @@ def mine_templates(
     found = _run_clusters(sharded, similarity)
     split = found.where("shards > 1").withColumn("shard", F.lit(0).cast("long"))
     merged = found.where("shards <= 1").unionByName(_run_clusters(split, similarity))
-    ordered = with_ordinal(merged, "first_pos", "template_id")
+    ordered = with_ordinal(cut_lineage(merged), "first_pos", "template_id")
     return ordered.select("template_id", "n_tokens", "leaf", "tokens", "first_pos", "lines")
 
 
