@@ -7,6 +7,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SEED = 42
 
 
@@ -26,8 +28,8 @@ def fit_logistic(train: DataFrame, label: str = "label", max_iter: int = 2000):
     Spark divides the loss by the sum of weights, so the penalty is divided by it too; balanced
     weights sum to the row count.
     """
-    weighted = with_balanced_weights(train, label)
-    rows = train.count()
+    weighted = cut_lineage(with_balanced_weights(train, label))
+    rows = weighted.count()
     return LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter,
         regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False,

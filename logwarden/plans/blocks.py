@@ -9,6 +9,7 @@ from ..functions.text import line_content
 from ..operators import blocks as blk
 from ..operators import metrics, models, ordering
 from ..operators import templates as tpl
+from ..session import cut_lineage
 from .catalog import query
 from .testdata import sql, table
 
@@ -349,7 +350,8 @@ def block_recency_topk(spark: SparkSession, sf: str) -> DataFrame:
 # --- classifiers ----------------------------------------------------------------------------------
 def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     sides = blk.stratified_split(block_labels(spark, sf)).select("block_id", "side")
-    rows = matrix(spark, sf).join(sides, "block_id")
+    # Both halves, and every iteration of a fit, read the written matrix instead of the log.
+    rows = cut_lineage(matrix(spark, sf).join(sides, "block_id"))
     return rows.where("side = 'train'"), rows.where("side = 'test'")
 
 

@@ -22,6 +22,7 @@ from .testdata import (
     WINDOW_S,
     WINDOWS_SQL,
     actor_events,
+    actor_events_of,
     alerts,
     candidates,
     scored_events,
@@ -351,6 +352,30 @@ def set_digest(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.set_digest(candidates(spark, sf), "ip")
 
 
+@query(
+    "closed_loop_stream",
+    sql(
+        LOOP_SQL,
+        "SELECT id, ip, dropped, alerted, failed_n AS failed_attempts_count, freq_n AS request_frequency, "
+        "CAST(score AS INTEGER) AS score_hundredths FROM step WHERE rn > 0",
+    ),
+)
+def closed_loop_stream_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The event table read as a stream, folded with keyed state, recorded batch by batch."""
+    from ..streaming.loop_stream import closed_loop_stream
+    from ..streaming.sinks import record_batches
+    from .parsing import scratch_path
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    looped_rows = closed_loop_stream(actor_events_of(raw), test_policy(spark), LOOP_PARAMS)
+    out = scratch_path(spark)
+    record_batches(looped_rows, f"{out}-rows", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}-rows").select(
+        "id", "ip", "dropped", "alerted", "failed_attempts_count", "request_frequency", "score_hundredths"
+    )
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Events, windows, rules, alerts in time order."""
     windows = {"failed_seconds": WINDOW_S, "frequency_seconds": WINDOW_S}

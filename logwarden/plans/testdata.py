@@ -54,7 +54,10 @@ EVENT_NAMES = {
 
 def actor_events(spark: SparkSession, sf: str) -> DataFrame:
     """The ``events`` table as normalised security events."""
-    e = table(spark, sf, "events")
+    return actor_events_of(table(spark, sf, "events"))
+
+
+def actor_events_of(e: DataFrame) -> DataFrame:
     event = F
     for raw, name in EVENT_NAMES.items():
         event = event.when(F.col("event_type") == raw, name)
