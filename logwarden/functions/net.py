@@ -24,6 +24,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sealed(condition: Column, value: Column) -> Column:
+    """``value`` where the condition holds, as an expression the optimizer leaves in its projection.
+
+    A later filter on the result would otherwise be pushed below every earlier stage, with all of
+    them written out again inside it. The partition id is always >= 0 but counts as
+    non-deterministic, so the expression is evaluated once per row, where it stands.
+    """
+    return F.when(condition & (F.spark_partition_id() >= 0), value)
+
+
 def ip_to_long(ip: Column) -> Column:
     """IPv4 text to its 32-bit value; null unless the text is a strict dotted quad."""
     value = F.aggregate(
@@ -42,6 +52,10 @@ def long_to_ip(value: Column) -> Column:
 
 def cidr_bounds(text: Column) -> Column:
     """``a.b.c.d[/n | /mask]`` to struct(lo, hi) with host bits masked off; null if not IPv4."""
+    return let(text, _cidr_bounds)
+
+
+def _cidr_bounds(text: Column) -> Column:
     tail = F.when(F.instr(text, "/") > 0, F.substring(text, F.instr(text, "/") + 1, F.length(text)))
     bits = F.when(tail.isNull(), F.lit(32)).when(tail.rlike(r"^[0-9]{1,2}\z"), tail.try_cast("int"))
     parts = F.struct(

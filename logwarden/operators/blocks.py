@@ -8,14 +8,16 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.net import sealed
 from ..functions.text import block_ids, line_content
 from .ordering import running_sums
 
 
 def with_blocks(lines: DataFrame, line: str = "value") -> DataFrame:
     """Add ``content`` and the ordered distinct block ids of each line."""
-    return lines.withColumn("content", line_content(F.col(line))).withColumn(
-        "blocks", block_ids(F.col("content"))
+    always = F.lit(True)
+    return lines.withColumn("content", sealed(always, line_content(F.col(line)))).withColumn(
+        "blocks", sealed(always, block_ids(F.col("content")))
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,50 +174,48 @@ def score_rules(
 CHUNK_COOLDOWNS = 256
 
 
-def _next_allowed(ms: np.ndarray, cooldown: int) -> np.ndarray:
-    return np.searchsorted(ms, ms + cooldown, side="left")
-
-
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Whole key groups of a sorted partition; a group may span batches."""
-    pending: list[pd.DataFrame] = []
-    current: tuple | None = None
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Batches of a sorted partition cut at group borders: (rows, bounds of the groups in them)."""
+    held: pd.DataFrame | None = None
     for batch in batches:
         if batch.empty:
             continue
-        codes = batch[keys].ne(batch[keys].shift()).any(axis=1).to_numpy()
-        starts = np.flatnonzero(codes)
-        for a, b in zip(starts, [*starts[1:], len(batch)]):
-            piece = batch.iloc[a:b]
-            key = tuple(piece[keys].iloc[0])
-            if current is not None and key != current:
-                yield current, pd.concat(pending)
-                pending = []
-            current = key
-            pending.append(piece)
-    if current is not None:
-        yield current, pd.concat(pending)
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        change = np.zeros(len(rows), bool)
+        change[0] = True
+        for k in keys:
+            values = rows[k].to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        bounds = np.flatnonzero(change).tolist()
+        # The last group may go on in the next batch.
+        last = bounds.pop()
+        held = rows.iloc[last:].reset_index(drop=True)
+        if bounds:
+            yield rows.iloc[:last], [*bounds, last]
+    if held is not None:
+        yield held, [0, len(held)]
 
 
 def _chunk_tables(cooldown: int, chunk_ms: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (group, chunk), rows in _groups(batches, ["grp", "chunk"]):
-            ms = rows["ms"].to_numpy()
-            nxt = _next_allowed(ms, cooldown)
-            last = np.arange(len(ms))
-            for i in range(len(ms) - 1, -1, -1):
-                if nxt[i] < len(ms):
-                    last[i] = last[nxt[i]]
-            # Any entry moment falls into the first cooldown of the chunk, or before it.
-            entries = min(len(ms), int(np.searchsorted(ms, chunk * chunk_ms + cooldown, "right")) + 1)
-            yield pd.DataFrame(
-                {
-                    "grp": [group],
-                    "chunk": [chunk],
-                    "entry": [ms[:entries].tolist()],
-                    "free_at": [(ms[last[:entries]] + cooldown).tolist()],
-                }
-            )
+        for rows, bounds in _whole_groups(batches, ["grp", "chunk"]):
+            groups, chunks = rows["grp"].to_numpy(), rows["chunk"].to_numpy()
+            every = rows["ms"].to_numpy()
+            out = []
+            for a, b in zip(bounds, bounds[1:]):
+                ms = every[a:b].tolist()
+                n = len(ms)
+                # Going back through the chunk, ``ahead`` is the first candidate a cooldown later.
+                exits, ahead = [0] * n, n
+                for i in range(n - 1, -1, -1):
+                    while ahead > i + 1 and ms[ahead - 1] >= ms[i] + cooldown:
+                        ahead -= 1
+                    exits[i] = exits[ahead] if ahead < n else ms[i] + cooldown
+                # Any entry moment falls into the first cooldown of the chunk, or before it.
+                border = int(chunks[a]) * chunk_ms + cooldown
+                entries = min(n, int(np.searchsorted(every[a:b], border, "right")) + 1)
+                out.append((groups[a], chunks[a], ms[:entries], exits[:entries]))
+            yield pd.DataFrame(out, columns=["grp", "chunk", "entry", "free_at"])
 
     return run
 
@@ -225,28 +224,29 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     group, free_at = None, None
     for batch in batches:
         out = []
-        for row in batch.itertuples(index=False):
-            if row.grp != group:
-                group, free_at = row.grp, np.iinfo(np.int64).min
-            out.append((row.grp, row.chunk, free_at))
-            at = int(np.searchsorted(np.asarray(row.entry), free_at, "left"))
-            if at < len(row.entry):
-                free_at = int(row.free_at[at])
+        for grp, chunk, entry, exits in zip(batch["grp"], batch["chunk"], batch["entry"], batch["free_at"]):
+            if grp != group:
+                group, free_at = grp, -(1 << 62)
+            out.append((grp, chunk, free_at))
+            at = bisect_left(entry, free_at)
+            if at < len(entry):
+                free_at = int(exits[at])
         yield pd.DataFrame(out, columns=["grp", "chunk", "free_at"])
 
 
 def _select(cooldown: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (group, _), rows in _groups(batches, ["grp", "chunk"]):
-            ms = rows["ms"].to_numpy()
-            nxt = _next_allowed(ms, cooldown)
-            at = int(np.searchsorted(ms, rows["free_at"].iloc[0], "left"))
+        group, chunk, free_at = None, None, None
+        for batch in batches:
             picked = []
-            while at < len(ms):
-                picked.append(at)
-                at = int(nxt[at])
-            chosen = rows.iloc[picked]
-            yield pd.DataFrame({"grp": group, "ms": chosen["ms"], "seq": chosen["seq"]})
+            columns = (batch[c].tolist() for c in ("grp", "chunk", "ms", "free_at"))
+            for i, (grp, part, ms, entry) in enumerate(zip(*columns)):
+                if part != chunk or grp != group:
+                    group, chunk, free_at = grp, part, entry
+                if ms >= free_at:
+                    picked.append(i)
+                    free_at = ms + cooldown
+            yield batch.iloc[picked][["grp", "ms", "seq"]]
 
     return run
 

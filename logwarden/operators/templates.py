@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import TEMPLATE_MAX_CHILDREN, TEMPLATE_SIMILARITY
+from ..functions.net import sealed
 from ..functions.text import mask, tokens
 from ..session import cut_lineage
 from .ordering import with_ordinal
@@ -21,7 +22,7 @@ LEAF_ROWS = 200_000
 def distinct_masked(lines: DataFrame, content: str = "content", position: str = "position") -> DataFrame:
     """Distinct masked contents with their count and first position; the pre-aggregation of mining."""
     return (
-        lines.select(mask(F.col(content)).alias("masked"), F.col(position).alias("pos"))
+        lines.select(sealed(F.lit(True), mask(F.col(content))).alias("masked"), F.col(position).alias("pos"))
         .groupBy("masked")
         .agg(F.min("pos").alias("first_pos"), F.count("*").alias("lines"))
         .withColumn("tokens", tokens(F.col("masked")))
@@ -182,7 +183,7 @@ def match_masked(distinct: DataFrame, templates: DataFrame) -> DataFrame:
 
 def match_templates(lines: DataFrame, templates: DataFrame, content: str = "content") -> DataFrame:
     """Add ``template_id``; null for a line no template covers. No template is ever created."""
-    masked = lines.withColumn("__masked", mask(F.col(content)))
+    masked = lines.withColumn("__masked", sealed(F.lit(True), mask(F.col(content))))
     distinct = (
         masked.select(F.col("__masked").alias("masked")).distinct()
         .withColumn("tokens", tokens(F.col("masked"))).withColumn("n_tokens", F.size("tokens"))

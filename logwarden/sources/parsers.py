@@ -27,7 +27,7 @@ from ..fixed_values import (
     SYSLOG_FILE_LINE,
     SYSLOG_TAG,
 )
-from ..functions.net import canonical_ip, is_loopback
+from ..functions.net import canonical_ip, is_loopback, sealed
 from ..functions.text import (
     clock_timestamp,
     first_ipv4,
@@ -68,15 +68,6 @@ def _item(groups: str, i: int) -> Column:
     return F.get(groups, F.lit(i))
 
 
-def _sealed(condition: Column, event: Column) -> Column:
-    """``event`` where the condition holds, as an expression the optimizer leaves in its projection.
-
-    A later filter on a parsed field would otherwise be pushed below all stages, with every stage
-    written out again inside it. The partition id is always >= 0 but counts as non-deterministic.
-    """
-    return F.when(condition & (F.spark_partition_id() >= 0), event)
-
-
 def _raw(**values: Column | str | None) -> Column:
     fields = []
     for name in RAW_FIELDS:
@@ -106,7 +97,7 @@ def with_sshd_auth(
         }
     )
     staged = staged.withColumn("__s_ip", canonical_ip(_item("__s_g", 1), ipv6))
-    auth = _sealed(
+    auth = sealed(
         F.col("__s_event").isNotNull() & F.col("__s_port_ok") & F.col("__s_ip").isNotNull(),
         F.struct(F.col("__s_event").alias("event"), F.col("__s_ip").alias("ip"), _item("__s_g", 0).alias("user")),
     )
@@ -131,7 +122,7 @@ def parse_hdfs(df: DataFrame, col: str = "value") -> DataFrame:
         log_format="hdfs",
         origin="replay:hdfs",
     )
-    return staged.withColumn("parsed", _sealed(F.col("__ms").isNotNull(), event)).drop("__g", "__ms")
+    return staged.withColumn("parsed", sealed(F.col("__ms").isNotNull(), event)).drop("__g", "__ms")
 
 
 def parse_openssh(
@@ -153,7 +144,7 @@ def parse_openssh(
         log_format="rfc3164",
         origin="replay:openssh",
     )
-    return staged.withColumn("parsed", _sealed(F.col("__ms").isNotNull(), event)).drop("__g", "__ms", "__auth")
+    return staged.withColumn("parsed", sealed(F.col("__ms").isNotNull(), event)).drop("__g", "__ms", "__auth")
 
 
 def parse_syslog_file(
@@ -182,7 +173,7 @@ def parse_syslog_file(
         log_format="syslog",
         origin="file",
     )
-    return staged.withColumn("parsed", _sealed(line.rlike(r"(?U)\S"), event)).drop(
+    return staged.withColumn("parsed", sealed(line.rlike(r"(?U)\S"), event)).drop(
         "__g", "__ms", "__message", "__su", "__actor"
     )
 
@@ -261,7 +252,7 @@ def parse_syslog(
         origin="syslog",
         transport_peer_ip=F.col("__peer"),
     )
-    return staged.withColumn("parsed", _sealed(form.isNotNull(), event)).drop(
+    return staged.withColumn("parsed", sealed(form.isNotNull(), event)).drop(
         "__text", "__peer", "__n", "__o", "__t", "__ms", "__app", "__event", "__source", "__message",
         "__tag", "__body", "__auth",
     )
