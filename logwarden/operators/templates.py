@@ -47,12 +47,11 @@ def with_leaf(distinct: DataFrame, max_children: int = TEMPLATE_MAX_CHILDREN) ->
     own = (
         firsts.withColumn("r", F.row_number().over(w))
         .where(F.col("r") < max_children)
-        .select("n_tokens", F.col("key").alias("own_key"))
+        .select(F.col("n_tokens").alias("own_n"), F.col("key").alias("own_key"))
     )
-    joined = keyed.join(
-        own, (keyed["n_tokens"] == own["n_tokens"]) & (keyed["key"] == own["own_key"]), "left"
-    ).drop(own["n_tokens"])
-    return joined.withColumn("leaf", F.coalesce("own_key", F.lit(WILD))).drop("own_key", "key")
+    same = (F.col("n_tokens") == F.col("own_n")) & (F.col("key") == F.col("own_key"))
+    joined = keyed.join(own, same, "left")
+    return joined.withColumn("leaf", F.coalesce("own_key", F.lit(WILD))).drop("own_n", "own_key", "key")
 
 
 class _Clusters:
