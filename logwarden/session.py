@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARCHIVE = "logwarden-package.zip"
+
 
 def build_session(master: str | None = None, app: str = "logwarden", **conf: str) -> SparkSession:
     """A session with the settings the operators rely on.
@@ -26,7 +30,20 @@ def build_session(master: str | None = None, app: str = "logwarden", **conf: str
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package wherever they run (once per Spark application)."""
+    sc = spark.sparkContext
+    if ARCHIVE not in sc._python_includes:
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="spark-")) / ARCHIVE
+        with zipfile.ZipFile(target, "w") as archive:
+            for source in sorted(root.rglob("*.py")):
+                archive.write(source, source.relative_to(root.parent))
+        sc.addPyFile(str(target))
+    return spark
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
