@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -72,6 +74,9 @@ def closed_loop_stream(
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # The stream's state worker does not see files added to the session, so the processor and what it
+    # calls travel with the query.
+    cloudpickle.register_pickle_by_value(sys.modules[__package__.split(".")[0]])
     rep = F.coalesce(F.col("rep_hundredths"), F.lit(0)) if "rep_hundredths" in events.columns else F.lit(0)
     rows = with_block_ttl(events, policy).select(
         "ip", F.col("ingested_ts_ms").alias("ms"), "id", F.lit(EVENT).alias("kind"), "event",
