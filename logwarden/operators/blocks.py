@@ -59,15 +59,15 @@ def labelled(vectors: DataFrame, labels: DataFrame) -> DataFrame:
 
 def matrix_stats(lines: DataFrame, matrix: DataFrame, vocab: DataFrame) -> DataFrame:
     """One row: lines, lines with a block, blocks, anomalous blocks, rate, templates."""
-    one = F.lit(1).alias("one")
-    a = lines.agg(F.count("*").alias("lines_read"), F.count(F.when(F.size("blocks") > 0, 1)).alias("lines_with_block_id")).select(one, "*")
+    a = lines.agg(F.count("*").alias("lines_read"), F.count(F.when(F.size("blocks") > 0, 1)).alias("lines_with_block_id"))
     b = matrix.agg(
         F.count("*").alias("blocks"),
         F.coalesce(F.sum("label"), F.lit(0)).alias("anomalous_blocks"),
         F.round(F.coalesce(F.avg("label"), F.lit(0.0)), 5).alias("anomaly_rate"),
-    ).select(one, "*")
-    c = vocab.agg(F.count("*").alias("templates")).select(one, "*")
-    return a.join(b, "one").join(c, "one").drop("one")
+    )
+    c = vocab.agg(F.count("*").alias("templates"))
+    joined = a.withColumns({"__b": b.select(F.struct("*")).scalar(), "templates": c.scalar()})
+    return joined.select("*", "__b.*").drop("__b")
 
 
 def stratified_split(labels: DataFrame, seed: int = 42, key: str = "block_id", label: str = "label") -> DataFrame:
@@ -101,8 +101,8 @@ def time_disjoint_split(spans: DataFrame, total_lines: DataFrame) -> DataFrame:
 
     ``total_lines`` is one row with ``lines_read``.
     """
-    cutoff = total_lines.select(F.floor(F.col("lines_read") / 2).alias("cutoff"), F.lit(1).alias("one"))
-    joined = spans.withColumn("one", F.lit(1)).join(cutoff, "one").drop("one")
+    cutoff = total_lines.select(F.floor(F.col("lines_read") / 2)).scalar()
+    joined = spans.withColumn("cutoff", cutoff)
     side = (
         F.when(F.col("last_line") <= F.col("cutoff"), "train")
         .when(F.col("first_line") > F.col("cutoff"), "test")
@@ -259,8 +259,7 @@ def scorer_drift(lines: DataFrame, tracked: int) -> DataFrame:
         F.count(F.when(has & F.col("out_of_vocabulary"), 1)).alias("out_of_vocabulary_lines"),
     )
     blocks = lines.select(F.explode("blocks").alias("b")).distinct().agg(F.count("*").alias("distinct_blocks"))
-    one = F.lit(1).alias("one")
-    joined = base.select(one, "*").join(blocks.select(one, "*"), "one").drop("one")
+    joined = base.withColumn("distinct_blocks", blocks.scalar())
     return joined.withColumns(
         {
             "blocks_tracked": F.least(F.col("distinct_blocks"), F.lit(tracked)),

@@ -218,10 +218,9 @@ def with_block_ttl(df: DataFrame, policy: DataFrame) -> DataFrame:
     """Add ``ttl_s`` of the playbook that answers the row's event (the wildcard one if none does)."""
     ttls = block_ttls(policy)
     named = ttls.select(F.col("trigger").alias("event"), "ttl_s", F.lit(True).alias("named"))
-    wild = ttls.where("trigger = '*'").select(F.lit(1).alias("one"), F.col("ttl_s").alias("wild_ttl"))
-    joined = df.join(named, "event", "left").withColumn("one", F.lit(1)).join(wild, "one", "left")
-    ttl = F.when(F.col("named"), F.col("ttl_s")).otherwise(F.col("wild_ttl"))
-    return joined.withColumn("ttl_s", ttl).drop("named", "wild_ttl", "one")
+    wild = ttls.where("trigger = '*'").select("ttl_s").scalar()
+    joined = df.join(named, "event", "left")
+    return joined.withColumn("ttl_s", F.when(F.col("named"), F.col("ttl_s")).otherwise(wild)).drop("named")
 
 
 def closed_loop(

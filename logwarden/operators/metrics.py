@@ -66,9 +66,9 @@ def roc_auc(df: DataFrame, y: str, score: str, bins: int = 256) -> DataFrame:
         F.count(F.when(F.col(y) == 1, 1)).alias("pos"), F.count(F.when(F.col(y) == 0, 1)).alias("neg")
     )
     cuts = counts.agg(
-        F.percentile_approx("s", [i / bins for i in range(1, bins)], 1000).alias("cuts"), F.lit(1).alias("one")
+        F.percentile_approx("s", [i / bins for i in range(1, bins)], 1000).alias("cuts")
     )
-    binned = counts.withColumn("one", F.lit(1)).join(cuts, "one").select(
+    binned = counts.withColumn("cuts", cuts.scalar()).select(
         "s", "pos", "neg", F.size(F.filter("cuts", lambda c: c <= F.col("s"))).alias("bin")
     )
     totals = binned.groupBy("bin").agg(F.sum("neg").alias("bin_neg"))

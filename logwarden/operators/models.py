@@ -15,10 +15,8 @@ SEED = 42
 def with_balanced_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """Weight n / (classes * n_class), so both classes count alike. The class table has two rows."""
     classes = train.groupBy(label).agg(F.count("*").alias("__n"))
-    totals = classes.agg(F.sum("__n").alias("__all"), F.count("*").alias("__k")).withColumn("one", F.lit(1))
-    weights = classes.withColumn("one", F.lit(1)).join(totals, "one").select(
-        F.col(label).alias("__l"), (F.col("__all") / (F.col("__k") * F.col("__n"))).alias("weight")
-    )
+    totals = classes.agg((F.sum("__n") / F.count("*")).alias("__share"))
+    weights = classes.select(F.col(label).alias("__l"), (totals.scalar() / F.col("__n")).alias("weight"))
     return train.join(weights, F.col(label) == F.col("__l")).drop("__l")
 
 

@@ -62,10 +62,9 @@ def score_profile(df: DataFrame, profile: DataFrame | None, dropped: str | None
                 "shadow_top_feature": F.lit(None).cast("string"),
             }
         )
-    one_row = F.broadcast(profile.withColumn("__one", F.lit(1)))  # one row by construction
-    joined = df.withColumn("__one", F.lit(1)).join(one_row, "__one", "left")
+    joined = df.withColumn("__profile", profile.select(F.struct("*")).scalar())
     deviation = {
-        f: F.greatest(F.lit(0.0), F.col(f).cast("double") - F.col(f"center_{f}")) / (F.lit(3.0) * F.col(f"scale_{f}"))
+        f: F.greatest(F.lit(0.0), F.col(f).cast("double") - F.col(f"__profile.center_{f}")) / (F.lit(3.0) * F.col(f"__profile.scale_{f}"))
         for f in PROFILE_FEATURES
     }
     top = F.greatest(*deviation.values())
@@ -82,4 +81,4 @@ def score_profile(df: DataFrame, profile: DataFrame | None, dropped: str | None
             "shadow_top_feature": F.when(scored, first),
         }
     )
-    return out.drop("__one", *profile.columns)
+    return out.drop("__profile")

@@ -101,8 +101,9 @@ def classify_addresses(addresses: DataFrame, exact: DataFrame, ranges: DataFrame
         F.transform(F.array_sort(F.collect_list(F.struct("position", "citation"))), lambda s: s["citation"]),
         ", ",
     )
-    summary = live.agg((F.count("*") > 0).alias("usable"), names.alias("names")).withColumn("one", F.lit(1))
-    df = scoped.join(verdicts, "ip_int", "left").withColumn("one", F.lit(1)).join(summary, "one", "left")
+    summary = live.agg((F.count("*") > 0).alias("usable"), names.alias("names"))
+    df = scoped.join(verdicts, "ip_int", "left").withColumn("feeds", summary.select(F.struct("*")).scalar())
+    df = df.select("*", "feeds.usable", "feeds.names")
     hit = F.col("best").isNotNull()
     scope = F.col("scope.scope")
     inner = scope.isin("internal", "non_routable")

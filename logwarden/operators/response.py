@@ -24,9 +24,9 @@ def assign_playbook(alerts: DataFrame, policy: DataFrame) -> DataFrame:
     """Add ``playbook`` (a struct): the one triggered by the event, else the wildcard one."""
     book = F.struct("name", "trigger", "priority", "steps")
     named = policy.select(F.col("trigger").alias("event"), book.alias("named"))
-    wild = policy.where("trigger = '*'").select(F.lit(1).alias("one"), book.alias("wild"))
-    joined = alerts.join(named, "event", "left").withColumn("one", F.lit(1)).join(wild, "one", "left")
-    return joined.withColumn("playbook", F.coalesce("named", "wild")).drop("named", "wild", "one")
+    wild = policy.where("trigger = '*'").select(book).scalar()
+    joined = alerts.join(named, "event", "left")
+    return joined.withColumn("playbook", F.coalesce(F.col("named"), wild)).drop("named")
 
 
 def response_plan(alerts: DataFrame, policy: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:

@@ -370,6 +370,6 @@ def review_page(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").withColumn("key", F.col("conv_id") * 100_000 + F.col("turn"))
     numbered = ordering.with_ordinal(turns, "key", "id", width=1_000_000).select("id", "role")
     page, info = ordering.keyset_page(numbered, "id", PAGE_CURSOR, 100)
-    return page.withColumn("one", F.lit(1)).join(info.withColumn("one", F.lit(1)), "one").drop("one")
+    return page.withColumn("info", info.select(F.struct("*")).scalar()).select("id", "role", "info.*")
 
 
