@@ -12,7 +12,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = (
-    "url_filter", "line_dedup", "chat_format", "top_k",
+    "packing", "decontaminate", "token_counts", "quality", "url_filter", "line_dedup", "chat_format", "top_k",
 )
 
 
