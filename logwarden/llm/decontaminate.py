@@ -194,7 +194,7 @@ WITH items AS (
   SELECT DISTINCT id, unnest(s) AS s FROM ({SHINGLES_SQL.format(id="doc_id", table="documents")})
 )
 SELECT texts.id AS doc_id, sized.id AS item_id, count(*) AS shared, n AS item_shingles, count(*) / n AS containment
-FROM texts JOIN sized ON texts.s = sized.s GROUP BY ALL HAVING count(*) >= 0.8 * n
+FROM texts JOIN sized ON texts.s = sized.s GROUP BY texts.id, sized.id, n HAVING count(*) >= 0.8 * n
 """
 
 

@@ -12,7 +12,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = (
-    "packing", "decontaminate", "token_counts", "quality", "url_filter", "line_dedup", "chat_format", "top_k",
+    "packing", "pii", "decontaminate", "token_counts", "jaccard_join", "quality", "url_filter", "line_dedup",
+    "chat_format", "top_k",
 )
 
 
