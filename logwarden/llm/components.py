@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .store import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,12 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     def tidy(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    edges = cut_lineage(tidy(edges))
+    edges = stored(tidy(edges), "edges")
     nodes = None
     while nodes is None or not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-        named = cut_lineage(near.select("node", F.least("node", "least").alias("root")))
+        named = stored(near.select("node", F.least("node", "least").alias("root")), "names")
         if nodes is None:
             nodes = named
         else:
@@ -31,5 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
             nodes = nodes.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
         first = named.select(F.col("node").alias("a"), F.col("root").alias("x"))
         second = named.select(F.col("node").alias("b"), F.col("root").alias("y"))
-        edges = cut_lineage(tidy(edges.join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    return cut_lineage(nodes)
+        edges = stored(tidy(edges.join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
+    return stored(nodes, "components")

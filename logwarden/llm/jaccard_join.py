@@ -21,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from . import arrays
 from .components import components
 from .decontaminate import SHINGLES_SQL
 from .registry import query, table
+from .store import stored
 
 SHINGLE, PERCENT = 5, 80
 BUCKET_BITS = 20  # of the table of counts
@@ -85,7 +85,7 @@ def profile(rows: DataFrame, k: int) -> DataFrame:
             )
 
     names = ["key", "n", "f1", "f2", "chunk", "counts"]
-    return cut_lineage(rows.mapInArrow(describe, f"key {kind}, n long, f1 long, f2 long, chunk int, counts binary"))
+    return stored(rows.mapInArrow(describe, f"key {kind}, n long, f1 long, f2 long, chunk int, counts binary"), "sets")
 
 
 def counted(profiled: DataFrame) -> np.ndarray:
@@ -159,7 +159,7 @@ def shared_prefixes(rows: DataFrame, counts: np.ndarray, total: int, k: int, per
         return pd.DataFrame({"sh": packed[:, 0], "node": packed[:, 1], "np": packed[:, 2]})
 
     dealt = rows.select("text").mapInArrow(deal, "part long, blob binary")
-    return cut_lineage(dealt.groupBy("part").applyInPandas(meet, "sh long, node long, np long"))
+    return stored(dealt.groupBy("part").applyInPandas(meet, "sh long, node long, np long"), "prefixes")
 
 
 def _may_link(a: Column, b: Column, percent: int) -> Column:
@@ -226,7 +226,7 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     kind = rows.schema["key"].dataType.simpleString()
     passed = rows.select("key", "text", slot.alias("slot")).mapInArrow(sieve, f"key {kind}, text string, slot long")
-    return cut_lineage(passed.join(wanted, "key").select("node", "text").dropDuplicates())
+    return stored(passed.join(wanted, "key").select("node", "text").dropDuplicates(), "texts")
 
 
 def similar_documents(
@@ -250,7 +250,7 @@ def similar_documents(
     links = find_links(rows, shared, classes, k, percent)
     checked = classes.select("node", F.when(~F.col("sound"), F.raise_error(F.lit("two sets share a fingerprint"))).otherwise(F.col("rep")).alias("rep"))
     joined = checked.join(links, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    named = cut_lineage(joined)
+    named = stored(joined, "names")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_node = named.join(least, "root").select(F.col("node").alias("f1"), "component_id")
     linked = solid.join(by_node, "f1").select("key", "n", "component_id")
@@ -262,7 +262,7 @@ def find_links(rows: DataFrame, shared: DataFrame, classes: DataFrame, k: int, p
     """(node, root) of the nodes that links join, from the shared prefix shingles."""
     prefix = F.shiftright("np", 32) - F.ceil(F.shiftright("np", 32) * percent / 100) + 1
     weighed = shared.groupBy("node").agg((F.count("*") * 1_000_000 / F.max(prefix)).cast("long").alias("weight"))
-    nodes = cut_lineage(weighed)
+    nodes = stored(weighed, "nodes")
     texts = texts_of(rows, nodes.join(classes, "node").select("node", F.col("rep").alias("key")))
     few = FEW * max(nodes.count(), 1000)
     roots: DataFrame | None = None
@@ -276,7 +276,7 @@ def find_links(rows: DataFrame, shared: DataFrame, classes: DataFrame, k: int, p
         stars = entries.groupBy("sh").agg(
             F.max(F.struct(rank.alias("rank"), "node", "np", "comp")).alias("star"), F.min("comp").alias("low"), F.max("comp").alias("high")
         )
-        stars = cut_lineage(stars.where("low <> high").select("sh", "star"))
+        stars = stored(stars.where("low <> high").select("sh", "star"), "stars")
         last = round_ == STARS or (round_ > 0 and _remaining(entries, stars) <= few)
         if last:
             one = entries.join(stars.select("sh"), "sh").select("sh", "node", "np", "comp")
@@ -287,8 +287,8 @@ def find_links(rows: DataFrame, shared: DataFrame, classes: DataFrame, k: int, p
             met = entries.join(stars, "sh").where((F.col("comp") != F.col("star.comp")) & _may_link(F.col("np"), F.col("star.np"), percent))
             pairs = met.select(*_pair(F.col("node"), F.col("star.node")))
         pairs = pairs.distinct()
-        pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = cut_lineage(verify(pairs, texts, k, percent))
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = stored(verify(pairs, texts, k, percent), "links")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         roots = components(links)
