@@ -1,13 +1,11 @@
-"""IPv4 arithmetic, CIDR bounds and address scope as Column expressions."""
+"""IP address forms and arithmetic, CIDR bounds and address scope as Column expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..fixed_values import SCOPE_RANGES
 
@@ -24,14 +22,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def sealed(condition: Column, value: Column) -> Column:
-    """``value`` where the condition holds, as an expression the optimizer leaves in its projection.
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with the column ``name``, evaluated once per row where it stands.
 
-    A later filter on the result would otherwise be pushed below every earlier stage, with all of
-    them written out again inside it. The partition id is always >= 0 but counts as
-    non-deterministic, so the expression is evaluated once per row, where it stands.
+    A later filter on a plain column would be pushed below every earlier stage, with all of them written out again
+    inside it. A generator's output is filtered above it, while filters on other columns still pass to the source.
     """
-    return F.when(condition & (F.spark_partition_id() >= 0), value)
+    others = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(value)).alias(name))
 
 
 def ip_to_long(ip: Column) -> Column:
@@ -106,38 +104,63 @@ def ip_scope(ip_long: Column) -> Column:
     return let(ip_long, find)
 
 
-def canonical_ipv6_literal(text: str | None) -> str | None:
-    """Canonical form of an IPv6 literal without zone; mapped IPv4 is unwrapped."""
-    import ipaddress
+def canonical_ipv6(text: Column) -> Column:
+    """Canonical form of an IPv6 literal without zone, mapped IPv4 unwrapped; null if it is none.
 
-    if text is None:
-        return None
-    try:
-        address = ipaddress.IPv6Address(text)
-    except ValueError:
-        return None
-    if address.scope_id:
-        return None
-    return str(address.ipv4_mapped or address)
+    Groups in lower-case hex without leading zeros, the first longest run of two or more zero groups as "::".
+    """
+    return let(text, lambda t: let(_ipv6_groups(_hex_tail(t)), _ipv6_text))
+
+
+def _hex_tail(text: Column) -> Column:
+    """The literal with a dotted quad at its end written as two groups."""
+    tail = ip_to_long(F.substring_index(text, ":", -1))
+    head = F.regexp_replace(text, r"[^:]*\z", "")
+    groups = F.concat_ws(":", F.hex(F.shiftright(tail, 16)), F.hex(tail.bitwiseAND(0xFFFF)))
+    return F.when(F.instr(text, ".") > 0, F.when(tail.isNotNull(), F.concat(head, groups))).otherwise(text)
+
+
+def _ipv6_groups(text: Column) -> Column:
+    """The eight groups as numbers, or null."""
+    none = F.array().cast("array<string>")
+
+    def part(half: Column) -> Column:
+        return F.when(half == "", none).otherwise(F.split(half, ":", -1))
+
+    halves = F.split(text, "::", -1)
+    left, right = part(F.get(halves, F.lit(0))), part(F.get(halves, F.lit(1)))
+    short = F.size(left) + F.size(right)
+    whole = F.when((F.size(halves) == 1) & (F.size(left) == 8), left).when(
+        (F.size(halves) == 2) & (short < 8), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - short, F.lit(0))), right)
+    )
+    sound = F.forall(whole, lambda g: g.rlike(r"^[0-9A-Fa-f]{1,4}\z"))
+    return F.when(sound, F.transform(whole, lambda g: F.conv(g, 16, 10).cast("long")))
 
 
-@F.pandas_udf(T.StringType())
-def _canonical_ipv6(values: pd.Series) -> pd.Series:
-    # Repeats are common in an sshd log, so each distinct literal is parsed once per batch.
-    distinct = {v: canonical_ipv6_literal(v) for v in values.dropna().unique()}
-    return values.map(distinct).astype(object).where(values.notna(), None)
+def _ipv6_text(groups: Column) -> Column:
+    zeros = F.array_join(F.transform(groups, lambda g: F.when(g == 0, "0").otherwise("1")), "")
+    names = F.transform(groups, lambda g: F.lower(F.hex(g)))
+    found = F
+    for size in range(8, 1, -1):
+        run = "0" * size
+        start = F.instr(zeros, run)
+        head, tail = F.slice(names, F.lit(1), start - 1), F.slice(names, start + size, F.lit(8))
+        found = found.when(start > 0, F.concat(F.array_join(head, ":"), F.lit("::"), F.array_join(tail, ":")))
+    mapped = zeros.startswith("000001") & (F.get(groups, F.lit(5)) == 0xFFFF)
+    quad = long_to_ip(F.get(groups, F.lit(6)) * 65536 + F.get(groups, F.lit(7)))
+    plain = found.otherwise(F.array_join(names, ":"))
+    return F.when(groups.isNotNull(), F.when(mapped, quad).otherwise(plain))
 
 
 def canonical_ip(text: Column, ipv6: bool = True) -> Column:
     """The address as written by its family's canonical form; null when it is not an address.
 
-    IPv4 stays in the JVM. Only values with a colon are handed to Python, and with ``ipv6=False``
-    none is: such addresses then come out as null.
+    With ``ipv6=False`` addresses with a colon come out as null.
     """
     v4 = F.when(text.rlike(IPV4_STRICT), text)
     if not ipv6:
         return v4
-    return F.coalesce(v4, _canonical_ipv6(F.when(F.instr(text, ":") > 0, text)))
+    return F.coalesce(v4, F.when(F.instr(text, ":") > 0, canonical_ipv6(text)))
 
 
 def is_loopback(ip: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.net import canonical_ip, ip_scope, ip_to_long, sealed
+from ..functions.net import canonical_ip, ip_scope, ip_to_long, settled
 
 EDGE_BITS = 24
 JOIN_BITS = 16
@@ -68,9 +68,7 @@ def classify_addresses(addresses: DataFrame, exact: DataFrame, ranges: DataFrame
     tiny.
     """
     scoped = addresses.select("ip").distinct()
-    scoped = scoped.withColumn("ip_int", sealed(F.lit(True), ip_to_long(F.col("ip")))).withColumn(
-        "scope", sealed(F.lit(True), ip_scope(F.col("ip_int")))
-    )
+    scoped = settled(settled(scoped, "ip_int", ip_to_long(F.col("ip"))), "scope", ip_scope(F.col("ip_int")))
     is_v6 = F.col("ip_int").isNull() & canonical_ip(F.col("ip")).isNotNull()
     scoped = scoped.withColumn("is_v6", is_v6)
     routable = scoped.where(F.col("scope.scope") == "global").select("ip_int").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import FEED_SPECS
-from ..functions.net import cidr_bounds, ip_to_long, sealed
+from ..functions.net import cidr_bounds, ip_to_long, settled
 
 SPEC_SCHEMA = (
     "position int, feed string, kind string, max_age_hours int, min_entries int, verdict string, "
@@ -21,19 +21,19 @@ def feed_specs(spark: SparkSession, specs=FEED_SPECS) -> DataFrame:
 
 def _feed_lines(df: DataFrame, col: str) -> DataFrame:
     text = F.regexp_replace(F.col(col), r"(?U)^\s+|\s+\z", "")
-    trimmed = df.withColumn(col, sealed(F.lit(True), text))
+    trimmed = settled(df, col, text)
     return trimmed.where((F.col(col) != "") & ~F.col(col).startswith("#"))
 
 
 def parse_exact(df: DataFrame, col: str = "value") -> DataFrame:
     """Bare IPv4 per line to ``ip_int``; comments and anything else are skipped."""
-    rows = _feed_lines(df, col).withColumn("ip_int", sealed(F.lit(True), ip_to_long(F.col(col))))
+    rows = settled(_feed_lines(df, col), "ip_int", ip_to_long(F.col(col)))
     return rows.where("ip_int is not null").drop(col)
 
 
 def parse_cidr(df: DataFrame, col: str = "value") -> DataFrame:
     """CIDR or bare IPv4 per line to inclusive ``lo``/``hi``; comments and anything else skipped."""
-    rows = _feed_lines(df, col).withColumn("bounds", sealed(F.lit(True), cidr_bounds(F.col(col))))
+    rows = settled(_feed_lines(df, col), "bounds", cidr_bounds(F.col(col)))
     keep = [c for c in df.columns if c != col]
     return rows.where("bounds is not null").select(*keep, "bounds.lo", "bounds.hi")
 

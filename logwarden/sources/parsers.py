@@ -27,7 +27,7 @@ from ..fixed_values import (
     SYSLOG_FILE_LINE,
     SYSLOG_TAG,
 )
-from ..functions.net import canonical_ip, is_loopback, sealed
+from ..functions.net import canonical_ip, is_loopback, settled
 from ..functions.text import (
     clock_timestamp,
     first_ipv4,
@@ -97,11 +97,11 @@ def with_sshd_auth(
         }
     )
     staged = staged.withColumn("__s_ip", canonical_ip(_item("__s_g", 1), ipv6))
-    auth = sealed(
+    auth = F.when(
         F.col("__s_event").isNotNull() & F.col("__s_port_ok") & F.col("__s_ip").isNotNull(),
         F.struct(F.col("__s_event").alias("event"), F.col("__s_ip").alias("ip"), _item("__s_g", 0).alias("user")),
     )
-    return staged.withColumn(out, auth).drop("__s_m", "__s_f", "__s_i", "__s_a", "__s_event", "__s_g", "__s_port_ok", "__s_ip")
+    return settled(staged, out, auth).drop("__s_m", "__s_f", "__s_i", "__s_a", "__s_event", "__s_g", "__s_port_ok", "__s_ip")
 
 
 def parse_hdfs(df: DataFrame, col: str = "value") -> DataFrame:
@@ -122,7 +122,7 @@ def parse_hdfs(df: DataFrame, col: str = "value") -> DataFrame:
         log_format="hdfs",
         origin="replay:hdfs",
     )
-    return staged.withColumn("parsed", sealed(F.col("__ms").isNotNull(), event)).drop("__g", "__ms")
+    return settled(staged, "parsed", F.when(F.col("__ms").isNotNull(), event)).drop("__g", "__ms")
 
 
 def parse_openssh(
@@ -144,7 +144,7 @@ def parse_openssh(
         log_format="rfc3164",
         origin="replay:openssh",
     )
-    return staged.withColumn("parsed", sealed(F.col("__ms").isNotNull(), event)).drop("__g", "__ms", "__auth")
+    return settled(staged, "parsed", F.when(F.col("__ms").isNotNull(), event)).drop("__g", "__ms", "__auth")
 
 
 def parse_syslog_file(
@@ -173,7 +173,7 @@ def parse_syslog_file(
         log_format="syslog",
         origin="file",
     )
-    return staged.withColumn("parsed", sealed(line.rlike(r"(?U)\S"), event)).drop(
+    return settled(staged, "parsed", F.when(line.rlike(r"(?U)\S"), event)).drop(
         "__g", "__ms", "__message", "__su", "__actor"
     )
 
@@ -252,7 +252,7 @@ def parse_syslog(
         origin="syslog",
         transport_peer_ip=F.col("__peer"),
     )
-    return staged.withColumn("parsed", sealed(form.isNotNull(), event)).drop(
+    return settled(staged, "parsed", F.when(form.isNotNull(), event)).drop(
         "__text", "__peer", "__n", "__o", "__t", "__ms", "__app", "__event", "__source", "__message",
         "__tag", "__body", "__auth",
     )

@@ -139,3 +139,40 @@ def test_line_label_validation(spark):
         "invalid_json", "labels_invalid", "line_not_integer", "line_not_integer", "line_out_of_range",
         "line_repeated", "line_repeated",
     ]
+
+
+def test_ipv6_literals_in_the_jvm(spark):
+    import ipaddress
+
+    from logwarden.functions import net
+
+    texts = [
+        "::1", "::", "2001:DB8::0001", "2001:db8:0:0:1:0:0:1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::3:4:5:6:7:8", "1:0:0:4:0:0:0:8", "0:0:0:0:0:0:0:0",
+        "::ffff:192.0.2.7", "::ffff:c000:207", "64:ff9b::192.0.2.33", "1:2:3:4:5:6:1.2.3.4", "fe80::1%eth0", "1:2:3", "1::2::3", "12345::", ":::", "1:2:3:4:5:6:7:8:9",
+        "1:2:3:4:5:6:7:8::", "g::", ":1", "1:", "::1.2.3.256", "::01.2.3.4", "", "abc", "1.2.3.4", "::1\n", "0:1:0:1:0:1:0:1", "1:2:3:4:5:6:0:0",
+    ]
+
+    def want(text):
+        try:
+            address = ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        return None if address.scope_id else str(address.ipv4_mapped or address)
+
+    rows = spark.createDataFrame([(t,) for t in texts], "ip string").select("ip", net.canonical_ipv6(F.col("ip")).alias("got")).collect()
+    assert {r.ip: r.got for r in rows} == {t: want(t) for t in texts}
+
+
+@pytest.mark.parametrize("name", ["hdfs", "openssh", "syslog", "syslog_file"])
+def test_source_filters_pass_the_parsers(spark, tmp_path, name):
+    lines = spark.range(20).select((F.col("id") % 4).alias("day"), F.concat(F.lit("line "), "id").alias("value"))
+    lines.write.partitionBy("day").parquet(str(tmp_path / "lines"))
+    df, year, ms = spark.read.parquet(str(tmp_path / "lines")), F.lit(2024), F.lit(0).cast("long")
+    parse = {
+        "hdfs": parsers.parse_hdfs, "openssh": parsers.parse_openssh,
+        "syslog": lambda d: parsers.parse_syslog(d, "value", F.lit("127.0.0.1"), year, ms, ("127.0.0.1",)),
+        "syslog_file": lambda d: parsers.parse_syslog_file(d, year, ms, F.lit("f")),
+    }[name]
+    events, _ = parsers.split_parsed(parse(df))
+    plan = events.where("day = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "EvalPython" not in plan
