@@ -32,13 +32,11 @@ def with_ratios(cells: DataFrame, undefined: str = "null", digits: int | None =
 
 
 def confusion_cells(y: Column, pred: Column) -> list[Column]:
+    """The four counts; null where there are rows and not one known label."""
     actual, hit = F.coalesce(y.cast("int") == 1, F.lit(False)), F.coalesce(pred.cast("int") == 1, F.lit(False))
-    return [
-        F.count(F.when(hit & actual, 1)).alias("tp"),
-        F.count(F.when(hit & ~actual, 1)).alias("fp"),
-        F.count(F.when(~hit & actual, 1)).alias("fn"),
-        F.count(F.when(~hit & ~actual, 1)).alias("tn"),
-    ]
+    known = (F.count(y) > 0) | (F.count("*") == 0)
+    cells = {"tp": hit & actual, "fp": hit & ~actual, "fn": ~hit & actual, "tn": ~hit & ~actual}
+    return [F.when(known, F.count(F.when(test, 1))).alias(name) for name, test in cells.items()]
 
 
 def confusion(
@@ -128,14 +126,27 @@ def floors() -> dict[str, tuple[float, int]]:
 
 
 # --- line labels ----------------------------------------------------------------------------------
-def line_flags(lines: DataFrame, labels: DataFrame, alerts: DataFrame, key: list[str]) -> DataFrame:
-    """Lines with ``labelled`` and ``alerted``."""
-    a = labels.select(*key).distinct().withColumn("labelled", F.lit(True))
+def unparsed_labels(lines: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
+    """Labels of lines that the table lacks, with the violation ``line_not_parsed``."""
+    return labels.join(lines.select(*key), key, "left_anti").withColumn("violation", F.lit("line_not_parsed"))
+
+
+def line_flags(lines: DataFrame, labels: DataFrame | None, alerts: DataFrame, key: list[str]) -> DataFrame:
+    """Lines with ``labelled`` and ``alerted``.
+
+    A label on a line that the table lacks is an error, raised when the result is read: it would otherwise
+    vanish from the misses. Without a label table ``labelled`` is null and confusion cells are undefined.
+    """
     b = alerts.select(*key).distinct().withColumn("alerted", F.lit(True))
-    joined = lines.join(a, key, "left").join(b, key, "left")
-    return joined.withColumns(
-        {c: F.coalesce(c, F.lit(False)) for c in ("labelled", "alerted")}
-    )
+    if labels is None:
+        joined = lines.withColumn("labelled", F.lit(None).cast("boolean")).join(b, key, "left")
+        return joined.withColumn("alerted", F.coalesce("alerted", F.lit(False)))
+    a = labels.select(*key).distinct().withColumn("labelled", F.lit(True))
+    met = lines.withColumn("__parsed", F.lit(True)).join(a, key, "full")
+    place = F.concat_ws(" ", *[F.col(k).cast("string") for k in key])
+    checked = F.when(F.col("__parsed").isNull(), F.raise_error(F.concat(F.lit("label on an unparsed line: "), place)).cast("boolean"))
+    joined = met.withColumn("labelled", checked.otherwise(F.coalesce("labelled", F.lit(False)))).drop("__parsed").join(b, key, "left")
+    return joined.withColumn("alerted", F.coalesce("alerted", F.lit(False)))
 
 
 def line_confusion(flags: DataFrame, by: tuple[str, ...] = (), rollup: bool = False) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..functions import text
 from ..operators.templates import distinct_masked
 from ..sources import labels, parsers
 from ..sources.lines import scan_lines
+from ..session import shared_folder
 from .catalog import query
 from .testdata import actor_events, epoch_ms, ip_sql, table
 
@@ -18,11 +17,8 @@ DOLLAR = "$"
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder name below the shared checkpoint folder (a local one where none is set)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/lines-{tempfile.mktemp(prefix='', dir='').strip('/')}"
-    return tempfile.mkdtemp(prefix="spark-") + "/lines"
+    """A new folder name below the shared checkpoint folder; where a cluster names none, an error."""
+    return shared_folder(spark, "lines")
 
 
 # --- HDFS -----------------------------------------------------------------------------------------
@@ -449,15 +445,21 @@ def load_labels(spark: SparkSession, sf: str) -> DataFrame:
        SELECT violation, count(*) AS n FROM (
          SELECT CASE WHEN k = 0 THEN 'invalid_json' WHEN k IN (1, 2) THEN 'line_not_integer'
            WHEN r.line > 9000 THEN 'line_out_of_range' WHEN c.c > 1 THEN 'line_repeated'
-           WHEN k IN (5, 6) THEN 'labels_invalid' ELSE 'valid' END AS violation FROM r LEFT JOIN c USING (line)) GROUP BY violation""",
+           WHEN k IN (5, 6) THEN 'labels_invalid' WHEN n % 4 = 1 THEN 'rules_invalid' ELSE 'valid' END AS violation FROM r LEFT JOIN c USING (line)) GROUP BY violation""",
 )
 def validate_labels(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("user_id") % 10
     number = (F.col("event_id") + 1).cast("string")
     line = F.when(kind == 1, "true").when(kind == 2, F.concat(F.lit('"'), number, F.lit('"'))).when(kind == 4, "10").otherwise(number)
     tags = F.when(kind == 5, "[]").when(kind == 6, '["a",""]').otherwise('["scan"]')
+    bad_rules = F.array(*[F.lit(x) for x in ('{"p":"r1"}', "[1]", '{"p":["r1",""]}', '{"p":["a"],"q":[1]}', "null", '{"p":[null]}')])
+    good_rules = F.array(*[F.lit(x) for x in (',"rules":{"p":["r1","r2"]}', ',"rules":{"p":[]}', ',"rules":{}', "")])
+    pick = F.floor(F.col("event_id") / 4)
+    rules = F.when((F.col("event_id") + 1) % 4 == 1, F.concat(F.lit(',"rules":'), F.get(bad_rules, (pick % 6).cast("int")))).otherwise(
+        F.get(good_rules, (pick % 4).cast("int"))
+    )
     record = F.when(kind == 0, F.lit("{broken")).otherwise(
-        F.concat(F.lit('{"line":'), line, F.lit(',"labels":'), tags, F.lit(',"rules":{"p":["r1","r2"]}}'))
+        F.concat(F.lit('{"line":'), line, F.lit(',"labels":'), tags, rules, F.lit("}"))
     )
     records = table(spark, sf, "events").select(record.alias("value"))
     good, bad = labels.validate_line_labels(labels.parse_line_labels(records), 9000)

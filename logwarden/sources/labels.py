@@ -23,7 +23,7 @@ def load_structured_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_line_labels(records: DataFrame, col: str = "value") -> DataFrame:
-    """JSON records to (line, line_is_int, labels, labels_ok, rules); malformed JSON gives nulls."""
+    """JSON records to (line, line_is_int, labels, labels_ok, rules, rules_ok); malformed JSON gives nulls."""
     text = F.col(col)
     is_object = text.rlike(r"^\s*\{") & F.try_parse_json(text).isNotNull()
     # The raw token tells 3 from true, "3" and 3.0, which a typed read would coerce.
@@ -33,6 +33,8 @@ def parse_line_labels(records: DataFrame, col: str = "value") -> DataFrame:
     labels = F.try_variant_get(variant, "$.labels", "array<string>")
     labels_type = F.schema_of_variant(F.try_variant_get(variant, "$.labels", "variant"))
     rules = F.try_variant_get(variant, "$.rules", "map<string,array<string>>")
+    rules_type = F.schema_of_variant(F.try_variant_get(variant, "$.rules", "variant"))
+    lists = F.map_values(F.try_variant_get(variant, "$.rules", "map<string,variant>"))
     return records.select(
         text.alias("record"),
         F.coalesce(is_object, F.lit(False)).alias("is_object"),
@@ -45,11 +47,17 @@ def parse_line_labels(records: DataFrame, col: str = "value") -> DataFrame:
             F.lit(False),
         ).alias("labels_ok"),
         rules.alias("rules"),
+        # Absent, or an object of lists (empty ones too) of non-empty strings.
+        F.coalesce(
+            F.forall(lists, lambda x: F.schema_of_variant(x).isin("ARRAY<STRING>", "ARRAY<VOID>"))
+            & ~F.exists(F.flatten(F.map_values(rules)), lambda x: x.isNull() | (x == "")),
+            rules_type.isNull(),
+        ).alias("rules_ok"),
     )
 
 
 def validate_line_labels(parsed: DataFrame, n_lines: int) -> tuple[DataFrame, DataFrame]:
-    """(labels, violations): an integer line in 1..n, unique, with a non-empty list of labels."""
+    """(labels, violations): an integer line in 1..n, unique, with a non-empty list of labels and sound rules."""
     repeats = (
         parsed.where("line_is_int").groupBy("line").count().where("count > 1")
         .select("line", F.lit(True).alias("repeated"))
@@ -60,7 +68,8 @@ def validate_line_labels(parsed: DataFrame, n_lines: int) -> tuple[DataFrame, Da
         .when(~F.col("line_is_int"), "line_not_integer")
         .when(~F.col("line").between(1, n_lines), "line_out_of_range")
         .when(F.coalesce("repeated", F.lit(False)), "line_repeated")
-        .when(~F.col("labels_ok"), "labels_invalid"),
+        .when(~F.col("labels_ok"), "labels_invalid")
+        .when(~F.col("rules_ok"), "rules_invalid"),
     )
     labels = checked.where("violation is null").select("line", "labels", "rules")
     violations = checked.where("violation is not null").select("record", "line", "violation")
