@@ -8,17 +8,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.net import sealed
+from ..functions.net import settled
 from ..functions.text import block_ids, line_content
 from .ordering import running_sums
 
 
 def with_blocks(lines: DataFrame, line: str = "value") -> DataFrame:
     """Add ``content`` and the ordered distinct block ids of each line."""
-    always = F.lit(True)
-    return lines.withColumn("content", sealed(always, line_content(F.col(line)))).withColumn(
-        "blocks", sealed(always, block_ids(F.col("content")))
-    )
+    return settled(settled(lines, "content", line_content(F.col(line))), "blocks", block_ids(F.col("content")))
 
 
 def block_lines(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -41,15 +38,17 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     )
 
 
-def to_vectors(counts: DataFrame, vocab: DataFrame, width: int) -> DataFrame:
-    """(block_id, entries, features): sparse map and dense ML vector over ``width`` columns."""
+def to_vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(block_id, entries, features): sparse map, and ML vector with one place per vocabulary column.
+
+    The vocabulary's size, one number, is read first; every template has its column.
+    """
+    width = vocab.count()
     entries = counts.join(vocab, "template_id").groupBy("block_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", F.col("n").cast("double"))))).alias("entries")
     )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.coalesce(F.try_element_at("entries", i), F.lit(0.0)),
-    )
+    columns = F.sequence(F.lit(0), F.lit(width - 1)) if width else F.array().cast("array<int>")
+    dense = F.transform(columns, lambda i: F.coalesce(F.try_element_at("entries", i), F.lit(0.0)))
     return entries.withColumn("features", array_to_vector(dense))
 
 
@@ -215,28 +214,32 @@ def table_digest(df: DataFrame, cols: list[str], buckets: int = 4096) -> DataFra
 
 
 # --- live scoring ---------------------------------------------------------------------------------
-def partial_counts(lines: DataFrame, width: int, position: str = "position", bucket: int = 1 << 20) -> DataFrame:
-    """Per (line, block) in arrival order, the block's counts so far, one column ``c<i>`` per model
-    column, plus ``lines`` seen of the block. ``lines`` needs block_id, position, ``column`` (null
-    for a line without a known template)."""
-    sums = {f"c{i}": (F.col("column") == i).cast("long") for i in range(width)}
-    sums = {n: F.coalesce(c, F.lit(0)) for n, c in sums.items()}
-    sums["lines"] = F.lit(1).cast("long")
-    return running_sums(lines, position, sums, by=("block_id",), width=bucket)
+WEIGHT_UNITS = 10**9  # weights are summed as whole billionths, so the order of addition does not matter
+
+
+def model_weights(vocab: DataFrame, coefficients: list[float]) -> DataFrame:
+    """(column, weight) of a fitted linear model; its size must be the vocabulary's."""
+    if vocab.count() != len(coefficients):
+        raise ValueError(f"the model has {len(coefficients)} columns, the vocabulary has another number")
+    rows = [(i, float(w)) for i, w in enumerate(coefficients)]
+    return vocab.sparkSession.createDataFrame(rows, "column int, weight double")
 
 
 def partial_block_scores(
-    lines: DataFrame, intercept: float, coefficients: list[float], position: str = "position", **options
+    lines: DataFrame, intercept: float, weights: DataFrame, position: str = "position", bucket: int = 1 << 20
 ) -> DataFrame:
-    """Probability of each partial block after each of its lines, as native arithmetic."""
-    counted = partial_counts(lines, len(coefficients), position, **options)
-    margin = F.lit(float(intercept))
-    for i, weight in enumerate(coefficients):
-        margin = margin + F.col(f"c{i}") * F.lit(float(weight))
+    """Per (line, block) in arrival order: ``lines`` of the block so far and the probability of the partial block.
+
+    ``lines`` needs block_id, position and ``column`` (null for a line without a known template); ``weights`` has one
+    row (column, weight) per model column. A linear score of counts is the running sum of the lines' weights.
+    """
+    units = F.round(F.col("weight") * WEIGHT_UNITS).cast("long")
+    weighed = lines.join(weights.select("column", units.alias("__units")), "column", "left")
+    sums = {"lines": F.lit(1).cast("long"), "__sum": F.coalesce("__units", F.lit(0).cast("long"))}
+    summed = running_sums(weighed, position, sums, by=("block_id",), width=bucket)
+    margin = F.lit(float(intercept)) + F.col("__sum") / F.lit(float(WEIGHT_UNITS))
     probability = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
-    return counted.withColumn("probability", F.round(probability, 4)).drop(
-        *[f"c{i}" for i in range(len(coefficients))]
-    )
+    return summed.withColumn("probability", F.round(probability, 4)).drop("__units", "__sum")
 
 
 def with_model_column(matched: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -326,16 +329,12 @@ def _build_tree(seed: int):
 def fit_isolation(df: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42, key: str = "block_id") -> DataFrame:
     """A forest (tree, size, nodes): one sub-sample of ``sample`` rows per tree, grown in parallel.
 
-    Sampling is part of the algorithm. On large data every row is dealt to one tree by a seeded hash
-    and each tree keeps its ``sample`` smallest; Spark cuts that per map task before the shuffle. On
-    data too small to fill the trees that way, every tree draws from all rows.
+    Sampling is part of the algorithm: at every size, every tree draws the ``sample`` rows of the smallest seeded hash
+    among all rows. Spark cuts each tree's draw per map task before the shuffle.
     """
     rows = df.select(F.col(key).cast("string").alias("k"), "features")
-    if rows.count() >= 4 * trees * sample:
-        tree = F.pmod(F.xxhash64(F.lit(seed + 1), "k"), F.lit(trees)).cast("int")
-    else:
-        tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    dealt = rows.select("k", "features", tree.alias("tree")).withColumn("h", F.xxhash64(F.lit(seed), "tree", "k"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    dealt = rows.select("k", "features", each.alias("tree")).withColumn("h", F.xxhash64(F.lit(seed), "tree", "k"))
     w = Window.partitionBy("tree").orderBy("h", "k")
     taken = dealt.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= sample)
     return (

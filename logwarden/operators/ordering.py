@@ -62,10 +62,11 @@ def running_sums(
 
 
 def with_ordinal(
-    df: DataFrame, order: str, out: str = "ordinal", by: tuple[str, ...] = (), width: int = WIDTH
-) -> DataFrame:
-    """1-based position by a unique integer ``order`` key."""
-    return running_sums(df, order, {out: F.lit(1).cast("long")}, by=by, width=width)
+    df: DataFrame, order: str, out: str = "ordinal", by: tuple[str, ...] = (), width: int = WIDTH,
+    ties: tuple[str, ...] = (),
+) -> DataFrame:
+    """1-based position by an integer ``order`` key that is unique together with ``ties``."""
+    return running_sums(df, order, {out: F.lit(1).cast("long")}, by=by, ties=ties, width=width)
 
 
 def carry_last(

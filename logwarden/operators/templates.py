@@ -10,19 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import TEMPLATE_MAX_CHILDREN, TEMPLATE_SIMILARITY
-from ..functions.net import sealed
+from ..functions.net import settled
 from ..functions.text import mask, tokens
 from ..session import cut_lineage
 from .ordering import with_ordinal
 
 WILD = "<*>"
-LEAF_ROWS = 200_000
 
 
 def distinct_masked(lines: DataFrame, content: str = "content", position: str = "position") -> DataFrame:
     """Distinct masked contents with their count and first position; the pre-aggregation of mining."""
     return (
-        lines.select(sealed(F.lit(True), mask(F.col(content))).alias("masked"), F.col(position).alias("pos"))
+        settled(lines.select(F.col(content).alias("__c"), F.col(position).alias("pos")), "masked", mask(F.col("__c")))
         .groupBy("masked")
         .agg(F.min("pos").alias("first_pos"), F.count("*").alias("lines"))
         .withColumn("tokens", tokens(F.col("masked")))
@@ -34,9 +33,10 @@ def _leaf_key(first: Column) -> Column:
     return F.when(first.rlike(r"(?U)\d"), F.lit(WILD)).otherwise(first)
 
 
-def with_leaf(distinct: DataFrame, max_children: int = TEMPLATE_MAX_CHILDREN) -> DataFrame:
+def with_leaf(distinct: DataFrame, max_children: int = TEMPLATE_MAX_CHILDREN, prefix: int = 1) -> DataFrame:
     """Add the prefix-tree leaf: (token count, first token). First tokens with a digit, and those
-    beyond the child limit in order of appearance, share the wildcard leaf."""
+    beyond the child limit in order of appearance, share the wildcard leaf. Further prefix tokens
+    are added as they are, or as the wildcard if they hold a digit."""
     keyed = distinct.withColumn(
         "key", F.when(F.col("n_tokens") > 1, _leaf_key(F.get("tokens", F.lit(0)))).otherwise(F.lit(""))
     )
@@ -51,44 +51,52 @@ def with_leaf(distinct: DataFrame, max_children: int = TEMPLATE_MAX_CHILDREN) ->
     )
     same = (F.col("n_tokens") == F.col("own_n")) & (F.col("key") == F.col("own_key"))
     joined = keyed.join(own, same, "left")
-    return joined.withColumn("leaf", F.coalesce("own_key", F.lit(WILD))).drop("own_n", "own_key", "key")
+    leaf = F.coalesce("own_key", F.lit(WILD))
+    if prefix > 1:
+        deeper = F.transform(F.slice("tokens", 2, prefix - 1), _leaf_key)
+        leaf = F.concat_ws(" ", leaf, F.array_join(deeper, " "))
+    return joined.withColumn("leaf", leaf).drop("own_n", "own_key", "key")
 
 
 class _Clusters:
-    """Templates of one leaf, most similar first. Lines must come in order of appearance."""
+    """Templates of one leaf as rows of token numbers. Lines must come in order of appearance."""
 
-    def __init__(self, similarity: float):
+    def __init__(self, similarity: float, width: int):
         self.similarity = similarity
-        self.templates: list[np.ndarray] = []
+        self.numbers: dict[str, int] = {WILD: 0}
+        self.matrix = np.zeros((16, width), np.int64)
         self.first_pos: list[int] = []
         self.lines: list[int] = []
 
-    def add(self, words: np.ndarray, position: int, lines: int) -> None:
-        best, best_rank = None, (-1.0, -1)
-        for i, template in enumerate(self.templates):
-            wild = template == WILD
-            same = float(((template == words) & ~wild).sum()) / len(words) if len(words) else 1.0
-            rank = (same, int(wild.sum()))
-            if rank > best_rank:
-                best, best_rank = i, rank
-        if best is None or best_rank[0] < self.similarity:
-            self.templates.append(words)
+    def add(self, words: list[str], position: int, lines: int) -> None:
+        row = np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int64)
+        known = len(self.lines)
+        best = -1
+        if known:
+            rows = self.matrix[:known]
+            same = ((rows == row) & (rows != 0)).sum(axis=1)
+            wild = (rows == 0).sum(axis=1)
+            best = int(np.argmax(same * (len(row) + 1) + wild))  # most equal tokens, then most wildcards, then the oldest
+            if (same[best] / len(row) if len(row) else 1.0) < self.similarity:
+                best = -1
+        if best < 0:
+            if known == len(self.matrix):
+                self.matrix = np.concatenate((self.matrix, np.zeros_like(self.matrix)))
+            self.matrix[known] = row
             self.first_pos.append(position)
             self.lines.append(lines)
             return
-        current = self.templates[best]
-        if not np.array_equal(current, words):
-            self.templates[best] = np.where(current == words, current, WILD).astype(object)
+        self.matrix[best][self.matrix[best] != row] = 0
         self.first_pos[best] = min(self.first_pos[best], position)
         self.lines[best] += lines
 
     def frame(self, key: tuple) -> pd.DataFrame:
+        names = list(self.numbers)
         return pd.DataFrame(
             {
                 "n_tokens": key[0],
                 "leaf": key[1],
-                "shards": key[2],
-                "tokens": [list(t) for t in self.templates],
+                "tokens": [[names[i] for i in row] for row in self.matrix[: len(self.lines)]],
                 "first_pos": self.first_pos,
                 "lines": self.lines,
             }
@@ -100,12 +108,12 @@ def _cluster(similarity: float):
         key, clusters = None, None
         for batch in batches:
             for row in batch.itertuples(index=False):
-                group = (row.n_tokens, row.leaf, row.shards, row.shard)
+                group = (row.n_tokens, row.leaf)
                 if group != key:
                     if clusters is not None:
                         yield clusters.frame(key)
-                    key, clusters = group, _Clusters(similarity)
-                clusters.add(np.asarray(row.tokens, dtype=object), row.first_pos, row.lines)
+                    key, clusters = group, _Clusters(similarity, row.n_tokens)
+                clusters.add(list(row.tokens), row.first_pos, row.lines)
         if clusters is not None:
             yield clusters.frame(key)
 
@@ -118,41 +126,26 @@ def mine_templates(
     max_children: int = TEMPLATE_MAX_CHILDREN,
     content: str = "content",
     position: str = "position",
-    leaf_rows: int = LEAF_ROWS,
+    prefix: int = 1,
 ) -> DataFrame:
     """(template_id, n_tokens, leaf, tokens, first_pos, lines) mined from the lines.
 
-    Distinct masked lines are clustered leaf by leaf in order of appearance. A leaf with more than
-    ``leaf_rows`` distinct lines is cut into hash shards; only such a leaf's shard templates are then
-    clustered again by the same rule, so no task sees more than a shard.
+    Distinct masked lines are clustered leaf by leaf in order of appearance; a task streams its leaves and holds their
+    templates only. A leaf is (token count, first ``prefix`` tokens). The published tree has one such token; more of them are
+    another, finer tree, for logs in which one first token opens most shapes.
     """
     # The log is read and masked once; the distinct shapes are used by several stages.
-    leaves = with_leaf(cut_lineage(distinct_masked(lines, content, position)), max_children)
-    sizes = leaves.groupBy("n_tokens", "leaf").agg(F.count("*").alias("leaf_size"))
-    sized = leaves.join(sizes, ["n_tokens", "leaf"])
-    shards = F.ceil(F.col("leaf_size") / F.lit(leaf_rows)).cast("long")
-    sharded = sized.withColumn("shards", shards).withColumn(
-        "shard", F.pmod(F.xxhash64("masked"), F.col("shards"))
+    leaves = with_leaf(cut_lineage(distinct_masked(lines, content, position)), max_children, prefix)
+    found = (
+        leaves.select("n_tokens", "leaf", "tokens", "first_pos", "lines")
+        .repartition("n_tokens", "leaf")
+        .sortWithinPartitions("n_tokens", "leaf", "first_pos")
+        .mapInPandas(_cluster(similarity), "n_tokens int, leaf string, tokens array<string>, first_pos long, lines long")
     )
-    found = _run_clusters(sharded, similarity)
-    split = found.where("shards > 1").withColumn("shard", F.lit(0).cast("long"))
-    merged = found.where("shards <= 1").unionByName(_run_clusters(split, similarity))
-    ordered = with_ordinal(cut_lineage(merged), "first_pos", "template_id")
+    ordered = with_ordinal(cut_lineage(found), "first_pos", "template_id")
     return ordered.select("template_id", "n_tokens", "leaf", "tokens", "first_pos", "lines")
 
 
-def _run_clusters(rows: DataFrame, similarity: float) -> DataFrame:
-    return (
-        rows.select("n_tokens", "leaf", "shards", "shard", "tokens", "first_pos", "lines")
-        .repartition("n_tokens", "leaf", "shard")
-        .sortWithinPartitions("n_tokens", "leaf", "shards", "shard", "first_pos")
-        .mapInPandas(
-            _cluster(similarity),
-            "n_tokens int, leaf string, shards long, tokens array<string>, first_pos long, lines long",
-        )
-    )
-
-
 def match_masked(distinct: DataFrame, templates: DataFrame) -> DataFrame:
     """(masked, template_id): every token equal or wildcard; null when nothing matches.
 
@@ -182,7 +175,7 @@ def match_masked(distinct: DataFrame, templates: DataFrame) -> DataFrame:
 
 def match_templates(lines: DataFrame, templates: DataFrame, content: str = "content") -> DataFrame:
     """Add ``template_id``; null for a line no template covers. No template is ever created."""
-    masked = lines.withColumn("__masked", sealed(F.lit(True), mask(F.col(content))))
+    masked = settled(lines, "__masked", mask(F.col(content)))
     distinct = (
         masked.select(F.col("__masked").alias("masked")).distinct()
         .withColumn("tokens", tokens(F.col("masked"))).withColumn("n_tokens", F.size("tokens"))

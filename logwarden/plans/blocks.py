@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ VERBS = {
     "signup": "Deleting block", "error": "Got exception while serving",
 }
 _VERB_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VERBS.items())
+# Lines of some users open with a role, which makes more templates than any fixed width would hold.
+_ROLE_SQL = "CASE user_id % 3 WHEN 0 THEN 'client:' WHEN 1 THEN 'mover:' ELSE '' END"
 LOG_SQL = f"""
 ln AS (
   SELECT event_id + 1 AS position, user_id, event_type,
@@ -30,9 +33,9 @@ ln AS (
 ),
 log AS (
   SELECT *, CASE WHEN len(blocks) = 0 THEN 'Starting periodic scan ' || position
-    ELSE CASE event_type {_VERB_SQL} END || ' ' || array_to_string(blocks, ' and ') || ' size ' || position END AS content,
+    ELSE {_ROLE_SQL} || CASE event_type {_VERB_SQL} END || ' ' || array_to_string(blocks, ' and ') || ' size ' || position END AS content,
     CASE WHEN len(blocks) = 0 THEN 'Starting periodic scan <NUM>'
-    ELSE replace(CASE event_type {_VERB_SQL} END, ' 1 ', ' <NUM> ') || ' ' || array_to_string(list_transform(blocks, lambda b: '<BLK>'), ' and ') || ' size <NUM>' END AS masked
+    ELSE {_ROLE_SQL} || replace(CASE event_type {_VERB_SQL} END, ' 1 ', ' <NUM> ') || ' ' || array_to_string(list_transform(blocks, lambda b: '<BLK>'), ' and ') || ' size <NUM>' END AS masked
   FROM ln
 ),
 bl AS (SELECT position, user_id, content, masked, unnest(blocks) AS block_id FROM log),
@@ -55,9 +58,10 @@ def block_log(spark: SparkSession, sf: str) -> DataFrame:
     verb = F
     for kind, words in VERBS.items():
         verb = verb.when(F.col("event_type") == kind, words)
+    role = F.when(user % 3 == 0, "client:").when(user % 3 == 1, "mover:").otherwise("")
     position = event_id + 1
     content = F.when(names.isNull(), F.concat(F.lit("Starting periodic scan "), position.cast("string"))).otherwise(
-        F.concat(verb, F.lit(" "), names, F.lit(" size "), position.cast("string"))
+        F.concat(role, verb, F.lit(" "), names, F.lit(" size "), position.cast("string"))
     )
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyMMdd HHmmss")
     line = F.concat(stamp, F.lit(" 148 INFO dfs.DataNode: "), content)
@@ -104,7 +108,7 @@ def mine_document_templates(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "documents").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "content")
     ).where("trim(content) <> ''")
-    lines = lines.withColumn("position", F.col("doc_id") * 100_000 + F.col("i"))
+    lines = ordering.with_ordinal(lines, "doc_id", "position", width=1 << 14, ties=("i",))
     return tpl.mine_templates(lines).select("template_id", "n_tokens", "lines")
 
 
@@ -129,17 +133,25 @@ def counts_and_vocab(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
     return matched, counts, blk.vocabulary(counts)
 
 
-WIDTH = 16
-
-
 def matrix(spark: SparkSession, sf: str) -> DataFrame:
     _, counts, vocab = counts_and_vocab(spark, sf)
-    return blk.labelled(blk.to_vectors(counts, vocab, WIDTH), block_labels(spark, sf))
+    return blk.labelled(blk.to_vectors(counts, vocab), block_labels(spark, sf))
 
 
-@query("block_matrix", sql(MATRIX_SQL, "SELECT block_id, vec, label FROM mat"))
+@query(
+    "block_matrix",
+    sql(
+        MATRIX_SQL,
+        """SELECT block_id, vec, label, features FROM mat JOIN (
+             SELECT block_id, string_agg(coalesce(n, 0), ',' ORDER BY col) AS features
+             FROM (SELECT DISTINCT block_id FROM cnt) b CROSS JOIN voc LEFT JOIN cnt USING (block_id, template_id) GROUP BY block_id) USING (block_id)""",
+    ),
+)
 def block_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return matrix(spark, sf).select("block_id", blk.vector_key(F.col("entries")).alias("vec"), "label")
+    cells = F.transform(vector_to_array("features"), lambda x: x.cast("long").cast("string"))
+    return matrix(spark, sf).select(
+        "block_id", blk.vector_key(F.col("entries")).alias("vec"), "label", F.array_join(cells, ",").alias("features")
+    )
 
 
 @query(
@@ -285,11 +297,10 @@ lc AS (SELECT template_id, row_number() OVER (ORDER BY template_id) - 1 AS col F
 lb AS (SELECT position, unnest(blocks) AS block_id, template_id FROM lt),
 run AS (
   SELECT position, block_id, count(*) OVER w AS lines,
-    -1.5::DOUBLE + """ + " + ".join(f"{0.25 * (i - 3)}::DOUBLE * count(*) FILTER (WHERE col = {i}) OVER w" for i in range(WIDTH)) + """ AS margin
+    -1.5 + coalesce(sum(0.25 * (col - 3)) OVER w, 0)::DOUBLE AS margin
   FROM lb LEFT JOIN lc USING (template_id) WINDOW w AS (PARTITION BY block_id ORDER BY position ROWS UNBOUNDED PRECEDING)
 ),
 live AS (SELECT position, block_id, lines, round(1 / (1 + exp(-margin)), 4) AS probability FROM run)"""
-COEFFICIENTS = [0.25 * (i - 3) for i in range(WIDTH)]
 
 
 def live_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -303,9 +314,10 @@ def live_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def live_scores(spark: SparkSession, sf: str) -> DataFrame:
-    lines, _ = live_lines(spark, sf)
+    """A model whose weights follow a rule over the whole vocabulary, so that SQL can score it too."""
+    lines, vocab = live_lines(spark, sf)
     rows = lines.select("position", "column", F.explode("blocks").alias("block_id"))
-    return blk.partial_block_scores(rows, -1.5, COEFFICIENTS)
+    return blk.partial_block_scores(rows, -1.5, vocab.select("column", (0.25 * (F.col("column") - 3)).alias("weight")))
 
 
 @query("partial_block_scores", sql(LIVE_SQL, "SELECT position, block_id, lines, probability FROM live"))
@@ -370,7 +382,7 @@ def fit_tree(spark: SparkSession, sf: str) -> DataFrame:
 @query("fit_isolation")
 def fit_isolation(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _halves(spark, sf)
-    scored = blk.score_isolation(test, blk.fit_isolation(train, trees=50))
+    scored = blk.score_isolation(test, blk.fit_isolation(train))
     return metrics.confusion(scored, "label", "isolation_anomaly", undefined="zero")
 
 

@@ -248,15 +248,15 @@ def event_view(spark: SparkSession, sf: str) -> DataFrame:
         EVENTS_SQL,
         """SELECT origin, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (
              SELECT id, 'file' AS origin FROM ev UNION ALL SELECT o_orderkey, 'replay:hdfs' FROM orders
-             UNION ALL SELECT conv_id * 1000 + turn, 'syslog' FROM conversations) GROUP BY origin""",
+             UNION ALL SELECT id, 'syslog' FROM (SELECT row_number() OVER (ORDER BY conv_id, turn) AS id FROM conversations)) GROUP BY origin""",
     ),
 )
 def multi_source_union(spark: SparkSession, sf: str) -> DataFrame:
     merged = multi_source(
         actor_events(spark, sf).select("id", "ip", F.lit("file").alias("origin")),
         table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("replay:hdfs").alias("origin")),
-        table(spark, sf, "conversations").select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("syslog").alias("origin")
+        ordering.with_ordinal(table(spark, sf, "conversations"), "conv_id", "id", width=10_000, ties=("turn",)).select(
+            "id", F.lit("syslog").alias("origin")
         ),
     )
     return merged.groupBy("origin").agg(
@@ -367,8 +367,8 @@ PAGE_CURSOR = 400
         SELECT id, role, true AS has_more, (SELECT min(id) FROM p) AS next_cursor FROM p""",
 )
 def review_page(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations").withColumn("key", F.col("conv_id") * 100_000 + F.col("turn"))
-    numbered = ordering.with_ordinal(turns, "key", "id", width=1_000_000).select("id", "role")
+    turns = table(spark, sf, "conversations")
+    numbered = ordering.with_ordinal(turns, "conv_id", "id", width=10_000, ties=("turn",)).select("id", "role")
     page, info = ordering.keyset_page(numbered, "id", PAGE_CURSOR, 100)
     return page.withColumn("info", info.select(F.struct("*")).scalar()).select("id", "role", "info.*")
 

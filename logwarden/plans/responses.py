@@ -265,8 +265,8 @@ walk AS (
 
 
 def review_steps(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations").withColumn("key", F.col("conv_id") * 100_000 + F.col("turn"))
-    numbered = with_ordinal(turns, "key", "id", width=1_000_000)
+    turns = table(spark, sf, "conversations")
+    numbered = with_ordinal(turns, "conv_id", "id", width=10_000, ties=("turn",))
     kind = (F.col("conv_id") + F.length("text")) % 5
     target = F.when(kind == 0, "new").when(kind.isin(1, 2), "closed").otherwise("investigating")
     requests = numbered.select(F.col("conv_id").alias("alert_id"), "id", target.alias("target"))

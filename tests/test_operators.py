@@ -2,10 +2,11 @@ import ipaddress
 import random
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from logwarden.functions.net import cidr_bounds, ip_scope, ip_to_long, long_to_ip
-from logwarden.operators import blocks, metrics, ordering, profile, reputation, templates
+from logwarden.operators import blocks, metrics, models, ordering, profile, reputation, templates
 from logwarden.sources import feeds
 from logwarden.streaming import sinks
 
@@ -120,6 +121,50 @@ def test_labeled_runs(spark):
     assert (cells.tp, cells.fp, cells.fn, cells.tn) == (1, 1, 3, 5)
 
 
+def test_labels_fail_loudly(spark):
+    lines, stray = spark.range(1, 4).withColumnRenamed("id", "line"), spark.createDataFrame([(2,), (9,)], "line long")
+    assert [(r.line, r.violation) for r in metrics.unparsed_labels(lines, stray, ["line"]).collect()] == [(9, "line_not_parsed")]
+    with pytest.raises(Exception, match="unparsed line: 9"):
+        metrics.line_confusion(metrics.line_flags(lines, stray, stray.limit(0), ["line"])).collect()
+    cells = metrics.line_confusion(metrics.line_flags(lines, None, stray.where("line = 2"), ["line"])).first()
+    assert (cells.rows, cells.tp, cells.fp, cells.fn, cells.tn, cells.recall) == (3, None, None, None, None, None)
+
+
+def test_isolation_ranks_planted_outliers_first(spark):
+    rnd = random.Random(3)
+    rows = [(f"b{i}", [rnd.gauss(5, 1), rnd.gauss(3, 1), float(rnd.randrange(2))]) for i in range(600)]
+    rows += [(f"odd{i}", [40.0 + i, -30.0 - i, 9.0]) for i in range(6)]
+    df = spark.createDataFrame(rows, "block_id string, v array<double>").select("block_id", array_to_vector("v").alias("features"))
+    forest = blocks.fit_isolation(df)
+    assert forest.count() == 100 and {r.size for r in forest.select("size").collect()} == {256}
+    scored = blocks.score_isolation(df, forest).orderBy(F.desc("isolation_score")).limit(6)
+    assert {r.block_id for r in scored.collect()} == {f"odd{i}" for i in range(6)}
+
+
+def test_partial_scores_end_at_the_fitted_model(spark):
+    rnd = random.Random(9)
+    lines = [(f"b{b}", b * 100 + j, f"t{rnd.randrange(20)}" if b % 3 else f"t{rnd.randrange(3)}") for b in range(60) for j in range(rnd.randrange(5, 30))]
+    matched = spark.createDataFrame(lines, "block_id string, position long, template_id string")
+    counts = blocks.block_counts(matched)
+    vocab = blocks.vocabulary(counts)
+    vectors = blocks.to_vectors(counts, vocab).withColumn("label", (F.substring("block_id", 2, 3).cast("int") % 3 == 0).cast("int"))
+    assert vectors.first().features.size == vocab.count() == 20
+    model = models.fit_logistic(vectors)
+    weights = blocks.model_weights(vocab, list(model.coefficients))
+    live = blocks.partial_block_scores(matched.join(vocab, "template_id"), model.intercept, weights)
+    last = live.groupBy("block_id").agg(F.max_by("probability", "position").alias("p"))
+    whole = models.predict(model, vectors).select("block_id", "score")
+    assert last.join(whole, "block_id").where("abs(p - score) > 1e-3").count() == 0
+    with pytest.raises(ValueError):
+        blocks.model_weights(vocab, [0.0])
+
+
+def test_a_tree_grows_as_deep_as_its_rule(spark):
+    rows = [(float(i), i // 3 % 2) for i in range(75)]
+    df = spark.createDataFrame(rows, "x double, label int").select(array_to_vector(F.array("x")).alias("features"), "label")
+    assert models.predict(models.fit_tree(df), df).where("predicted <> label").count() == 0
+
+
 def test_undefined_ratios(spark):
     df = spark.createDataFrame([(0, 0)], "y int, p int")
     assert metrics.confusion(df, "y", "p").first().precision is None
@@ -159,10 +204,33 @@ LOG = [
 ]
 
 
-@pytest.mark.parametrize("leaf_rows", [1000, 1])
-def test_template_mining(spark, leaf_rows):
+def drain(lines, similarity=0.4):
+    """Templates of lines that share a leaf, one line after the other."""
+    found = []
+    for line in dict.fromkeys(lines):
+        words = line.split()
+        ranks = [(sum(a == b and a != "<*>" for a, b in zip(t, words)) / len(words), t.count("<*>"), -i) for i, t in enumerate(found)]
+        best = max(ranks, default=(0, 0, 0))
+        if not ranks or best[0] < similarity:
+            found.append(words)
+        else:
+            found[-best[2]] = [a if a == b else "<*>" for a, b in zip(found[-best[2]], words)]
+    return {" ".join(t) for t in found}
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_mining_follows_the_order_of_lines(spark, parts):
+    words = ["red", "blue", "green", "gold", "grey", "pink", "teal"]
+    lines = [f"unit {words[i % 7]} {words[i % 5]} {words[i // 3 % 7]} {words[i * i % 7]} done" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(lines)), "position long, content string").repartition(parts)
+    assert {" ".join(r.tokens) for r in templates.mine_templates(df).collect()} == drain(lines)
+    finer = templates.mine_templates(df, prefix=2).collect()
+    assert {" ".join(r.tokens) for r in finer} == {t for w in words for t in drain([x for x in lines if x.split()[1] == w])}
+
+
+def test_template_mining(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(LOG)], "position long, content string")
-    mined = templates.mine_templates(df, leaf_rows=leaf_rows).orderBy("template_id").collect()
+    mined = templates.mine_templates(df).orderBy("template_id").collect()
     texts = [" ".join(r.tokens) for r in mined]
     assert "Receiving block <BLK> src <IP>" in texts
     assert "job <*> finished well today" in texts
