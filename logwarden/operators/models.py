@@ -34,10 +34,13 @@ def fit_logistic(train: DataFrame, label: str = "label", max_iter: int = 2000):
     ).fit(weighted)
 
 
-def fit_tree(train: DataFrame, label: str = "label", max_depth: int = 30):
-    """A decision tree grown until leaves are pure; 30 levels are the most that Spark builds."""
+def fit_tree(train: DataFrame, label: str = "label", max_depth: int = 30, max_bins: int = 1024):
+    """A decision tree grown until leaves are pure; 30 levels are the most that Spark builds.
+
+    ``max_bins`` bounds the thresholds tried per feature; counts with fewer distinct values are all tried.
+    """
     return DecisionTreeClassifier(
-        featuresCol="features", labelCol=label, seed=SEED, maxDepth=max_depth
+        featuresCol="features", labelCol=label, seed=SEED, maxDepth=max_depth, maxBins=max_bins
     ).fit(train)
 
 

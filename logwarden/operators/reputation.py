@@ -117,7 +117,7 @@ def classify_addresses(addresses: DataFrame, exact: DataFrame, ranges: DataFrame
         F.when(F.col("is_v6"), "Reputation not checked: IPv6 — neither feed publishes IPv6 entries")
         .when(F.col("ip_int").isNull(), "Reputation not checked: unparseable address")
         .when(inner, F.concat(noun, F.lit(" — "), F.col("scope.detail")))
-        .when(~F.col("usable"), "Reputation unavailable — no threat feed cached; run `make feeds`")
+        .when(~F.col("usable"), "Reputation unavailable — no threat feed loaded")
         .when(~hit, F.concat(F.lit("Not listed in "), F.col("names")))
         .otherwise(
             F.concat(F.lit("Listed in "), F.array_join(F.transform("hits", lambda h: h["cite"]), " + "))

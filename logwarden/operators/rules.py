@@ -94,12 +94,12 @@ def rule_windows(
     )
 
 
-EXTRA_RULES: dict[str, tuple[Column, int]] = {}
+Rules = dict[str, tuple[Column, int]]
 
 
-def register_rule(name: str, condition: Column, weight_hundredths: int) -> None:
-    """Add a weighted condition; its name becomes the reason."""
-    EXTRA_RULES[name] = (condition, weight_hundredths)
+def register_rule(rules: Rules, name: str, condition: Column, weight_hundredths: int) -> Rules:
+    """``rules`` and one more weighted condition, for ``score_rules``; its name becomes the reason."""
+    return {**rules, name: (condition, weight_hundredths)}
 
 
 def failed_login_points(count: Column) -> Column:
@@ -125,10 +125,9 @@ def score_rules(
     threshold: int = ALERT_THRESHOLD,
     failed_seconds: int = FAILED_LOGIN_WINDOW_S,
     frequency_seconds: int = FREQUENCY_WINDOW_S,
-    rules: dict[str, tuple[Column, int]] | None = None,
+    rules: Rules | None = None,
 ) -> DataFrame:
     """Score in exact hundredths, reasons in rule order, and whether the threshold is reached."""
-    rules = EXTRA_RULES if rules is None else rules
     has_rep = "rep_hundredths" in df.columns
     rep = F.coalesce(F.col("rep_hundredths"), F.lit(0)) if has_rep else F.lit(0)
     detail = F.coalesce(F.col("rep_detail"), F.lit("")) if "rep_detail" in df.columns else F.lit("")
@@ -147,7 +146,7 @@ def score_rules(
             F.concat(freq.cast("string"), F.lit(" events from "), "ip", F.lit(f" in {frequency_seconds}s")),
         ),
     ]
-    for name, (condition, weight) in rules.items():
+    for name, (condition, weight) in (rules or {}).items():
         total = total + F.when(condition, weight).otherwise(0)
         reasons.append(F.when(condition, F.lit(name)))
     score = F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int")

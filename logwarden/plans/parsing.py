@@ -143,14 +143,14 @@ body AS (
 @query(
     "parse_openssh",
     f"""WITH {EVENT_LINES_SQL}, {SSHD_SQL}
-        SELECT id, second_ms AS ts_ms, 'LabSZ' AS source,
+        SELECT id, second_ms AS ts_ms, 'bastion4' AS source,
           coalesce(auth, CASE WHEN k = 8 THEN 'log_warning' ELSE 'log_info' END) AS event,
           CASE WHEN auth IS NULL THEN '127.0.0.1' ELSE ip END AS ip,
           CASE WHEN auth IS NULL THEN 'unknown' ELSE "user" END AS "user", msg AS message FROM body""",
 )
 def parse_openssh(spark: SparkSession, sf: str) -> DataFrame:
     e = event_lines(spark, sf)
-    lines = e.select("id", F.concat("stamp", F.lit(" LabSZ sshd[24200]: "), _sshd_body(e)).alias("value"))
+    lines = e.select("id", F.concat("stamp", F.lit(" bastion4 sshd[713]: "), _sshd_body(e)).alias("value"))
     events, _ = parsers.parse_lines(lines, "openssh", year=2024)
     return events.select("id", "ts_ms", "source", "event", "ip", "user", "message")
 
@@ -178,13 +178,13 @@ FILE_SQL = f"""{EVENT_LINES_SQL}, k AS (
     "parse_syslog_file",
     f"""WITH {FILE_SQL}
         SELECT id, CASE WHEN k IN (6, 7) THEN 1700000000000 ELSE second_ms END AS ts_ms,
-          CASE WHEN k = 7 THEN 'system.log' ELSE 'mymac' END AS source,
+          CASE WHEN k = 7 THEN 'system.log' ELSE 'harbor9' END AS source,
           CASE k WHEN 0 THEN 'privilege_escalation' WHEN 1 THEN 'log_info' WHEN 2 THEN 'log_error' WHEN 3 THEN 'log_warning'
             ELSE 'log_info' END AS event,
           CASE WHEN k IN (4, 5) THEN '010.' || (id % 250) || '.1.9'
             WHEN k = 6 THEN '010.' || (id % 250) || '.1.99' ELSE '127.0.0.1' END AS ip,
           CASE k WHEN 0 THEN 'www-data' ELSE 'unknown' END AS "user",
-          CASE k WHEN 0 THEN 'su[27950]: Successful su for ' || "user" || ' by www-data'
+          CASE k WHEN 0 THEN 'su[886]: Successful su for ' || "user" || ' by www-data'
             WHEN 1 THEN 'su: Successful su for nginx by nginx' WHEN 2 THEN 'app: Connection REFUSED by peer'
             WHEN 3 THEN 'app: unable to reach ' || "user" WHEN 7 THEN '-- marker ' || id || ' --'
             ELSE 'app[9]: closed by 010.' || (id % 250) || '.1.9' || CASE k WHEN 6 THEN '9.9.9.9x' ELSE '' END END AS message
@@ -194,7 +194,7 @@ def parse_syslog_file(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("user_id") % 8
     address = F.concat(F.lit("010."), (F.col("id") % 250).cast("string"), F.lit(".1.9"))
     body = (
-        F.when(kind == 0, F.concat(F.lit("su[27950]: Successful su for "), "user", F.lit(" by www-data")))
+        F.when(kind == 0, F.concat(F.lit("su[886]: Successful su for "), "user", F.lit(" by www-data")))
         .when(kind == 1, F.lit("su: Successful su for nginx by nginx"))
         .when(kind == 2, F.lit("app: Connection REFUSED by peer"))
         .when(kind == 3, F.concat(F.lit("app: unable to reach "), "user"))
@@ -203,7 +203,7 @@ def parse_syslog_file(spark: SparkSession, sf: str) -> DataFrame:
     )
     stamp = F.when(kind == 6, F.lit("Feb 31 10:00:00")).otherwise(F.col("stamp"))
     line = F.when(kind == 7, F.concat(F.lit("-- marker "), F.col("id").cast("string"), F.lit(" --"))).otherwise(
-        F.concat(stamp, F.lit(" mymac "), body)
+        F.concat(stamp, F.lit(" harbor9 "), body)
     )
     e = event_lines(spark, sf).select("id", line.alias("value"))
     # Blank lines are the only ones that give no event.

@@ -67,6 +67,14 @@ def test_cooldown_is_greedy(spark, chunk):
     assert {r.id for r in got.collect()} == want
 
 
+def test_registered_rules_are_arguments(spark):
+    df = spark.createDataFrame([(1, "10.0.0.1", "log_info", 0, 0), (2, "10.0.0.2", "log_info", 0, 0)], "id int, ip string, event string, failed_attempts_count int, request_frequency int")
+    extra = rules.register_rule({}, "Second host", F.col("ip") == "10.0.0.2", 45)
+    got = {r.id: (r.score_hundredths, r.reasons, r.is_anomaly) for r in rules.score_rules(df, rules=extra).collect()}
+    assert got == {1: (0, ["No rule matched"], False), 2: (45, ["Second host"], True)}
+    assert {r.score_hundredths for r in rules.score_rules(df).collect()} == {0}
+
+
 def test_cooldown_resets(spark):
     df = spark.createDataFrame([(1, "a", 0, "x", 0), (2, "a", 1000, "x", 0), (3, "a", 3000, "x", 0)], SCHEMA)
     resets = spark.createDataFrame([("a", 2000)], "ip string, ingested_ts_ms long")

@@ -121,6 +121,21 @@ def test_labeled_runs(spark):
     assert (cells.tp, cells.fp, cells.fn, cells.tn) == (1, 1, 3, 5)
 
 
+def test_a_batch_is_recorded_before_the_response(spark, tmp_path):
+    seen = []
+
+    def respond(batch, epoch):
+        written = spark.read.parquet(f"{tmp_path}/rows/batch_id={epoch}")
+        seen.append((epoch, batch.count(), written.count()))
+
+    for i in range(3):  # stopped and started again between files
+        spark.range(i * 10, i * 10 + 4).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        sinks.record_batches(source, f"{tmp_path}/rows", f"{tmp_path}/cp", respond).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(0, 4, 4), (1, 4, 4), (2, 4, 4)]
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/rows").collect()) == [i * 10 + j for i in range(3) for j in range(4)]
+
+
 def test_labels_fail_loudly(spark):
     lines, stray = spark.range(1, 4).withColumnRenamed("id", "line"), spark.createDataFrame([(2,), (9,)], "line long")
     assert [(r.line, r.violation) for r in metrics.unparsed_labels(lines, stray, ["line"]).collect()] == [(9, "line_not_parsed")]
