@@ -5,8 +5,9 @@
 2. Similar sets share a shingle among their rarest n - ceil(t n) + 1. Only these prefixes are dealt out, packed; shingles
    met in one node's prefix alone are dropped.
 3. Candidates of a shingle are compared star-wise: with the node whose prefix others share most, not all pairs. Nodes that
-   are in one component already need no more; when few pairs across components are left, all of them are compared. Pairs
-   pass length and positional filters, are verified once on whole texts behind a suffix filter, and no pair is left out.
+   are in one component already need no more; pairs across components that remain are all taken up at the end. Pairs pass
+   length and positional filters inside the join; the positional one counts, of the rarer shingles, only those that another
+   node has. What passes is verified once on whole texts, behind a suffix filter, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import arrays
@@ -36,7 +37,7 @@ HOT = 50_000  # a shingle counted more often is not gathered into one part
 FLUSH = 4 << 20  # prefix entries a task holds
 SIEVE_BITS = 24
 STARS = 6  # star rounds at most before the rest is compared pair by pair
-FEW = 4  # remaining pairs per node that are compared at once
+FEW = 1000  # remaining pairs per prefix entry, counted per shingle, that the filters may face at once
 _BUCKET = np.uint64(64 - BUCKET_BITS)
 
 
@@ -162,11 +163,14 @@ def shared_prefixes(rows: DataFrame, counts: np.ndarray, total: int, k: int, per
     return stored(dealt.groupBy("part").applyInPandas(meet, "sh long, node long, np long"), "prefixes")
 
 
-def _may_link(a: Column, b: Column, percent: int) -> Column:
-    """Length and positional filter on two np values of a common prefix shingle."""
+def _may_link(a: Column, b: Column, before_a: Column, before_b: Column, percent: int) -> Column:
+    """Length and positional filter on two np values of a common prefix shingle.
+
+    Rarer shingles that the two sets may share are among the ``before`` of each that any other node has.
+    """
     na, nb = F.shiftright(a, 32), F.shiftright(b, 32)
     i, j = a.bitwiseAND(0xFFFFFFFF), b.bitwiseAND(0xFFFFFFFF)
-    most = F.least(i, j) + 1 + F.least(na - i - 1, nb - j - 1)
+    most = F.least(before_a, before_b) + 1 + F.least(na - i - 1, nb - j - 1)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
 
 
@@ -264,27 +268,30 @@ def find_links(rows: DataFrame, shared: DataFrame, classes: DataFrame, k: int, p
     weighed = shared.groupBy("node").agg((F.count("*") * 1_000_000 / F.max(prefix)).cast("long").alias("weight"))
     nodes = stored(weighed, "nodes")
     texts = texts_of(rows, nodes.join(classes, "node").select("node", F.col("rep").alias("key")))
-    few = FEW * max(nodes.count(), 1000)
+    few = FEW * max(shared.count(), 1000)
+    ranked = shared.withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("np")) - 1)
     roots: DataFrame | None = None
     tested: DataFrame | None = None
     links: DataFrame | None = None
     for round_ in range(STARS + 1):
         placed = nodes if roots is None else nodes.join(roots, "node", "left")
         placed = placed.select("node", "weight", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("comp"))
-        entries = shared.join(placed, "node")
+        entries = ranked.join(placed, "node")
         rank = F.col("weight") if round_ == 0 else F.xxhash64("node", F.lit(round_))
         stars = entries.groupBy("sh").agg(
-            F.max(F.struct(rank.alias("rank"), "node", "np", "comp")).alias("star"), F.min("comp").alias("low"), F.max("comp").alias("high")
+            F.max(F.struct(rank.alias("rank"), "node", "np", "before", "comp")).alias("star"), F.min("comp").alias("low"), F.max("comp").alias("high")
         )
         stars = stored(stars.where("low <> high").select("sh", "star"), "stars")
         last = round_ == STARS or (round_ > 0 and _remaining(entries, stars) <= few)
         if last:
-            one = entries.join(stars.select("sh"), "sh").select("sh", "node", "np", "comp")
-            two = one.select("sh", F.col("node").alias("node2"), F.col("np").alias("np2"), F.col("comp").alias("comp2"))
-            met = one.join(two, (one.sh == two.sh) & (F.col("comp") < F.col("comp2")) & _may_link(F.col("np"), F.col("np2"), percent))
+            one = entries.join(stars.select("sh"), "sh").select("sh", "node", "np", "before", "comp")
+            two = one.select("sh", *[F.col(c).alias(f"{c}2") for c in ("node", "np", "before", "comp")])
+            may = _may_link(F.col("np"), F.col("np2"), F.col("before"), F.col("before2"), percent)
+            met = one.join(two, (one.sh == two.sh) & (F.col("comp") < F.col("comp2")) & may)
             pairs = met.select(*_pair(F.col("node"), F.col("node2")))
         else:
-            met = entries.join(stars, "sh").where((F.col("comp") != F.col("star.comp")) & _may_link(F.col("np"), F.col("star.np"), percent))
+            may = _may_link(F.col("np"), F.col("star.np"), F.col("before"), F.col("star.before"), percent)
+            met = entries.join(stars, "sh").where((F.col("comp") != F.col("star.comp")) & may)
             pairs = met.select(*_pair(F.col("node"), F.col("star.node")))
         pairs = pairs.distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
