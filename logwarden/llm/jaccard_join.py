@@ -293,8 +293,7 @@ def find_links(rows: DataFrame, shared: DataFrame, classes: DataFrame, k: int, p
             may = _may_link(F.col("np"), F.col("star.np"), F.col("before"), F.col("star.before"), percent)
             met = entries.join(stars, "sh").where((F.col("comp") != F.col("star.comp")) & may)
             pairs = met.select(*_pair(F.col("node"), F.col("star.node")))
-        pairs = pairs.distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = stored(_new_pairs(pairs, tested), "pairs")
         found = stored(verify(pairs, texts, k, percent), "links")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -304,6 +303,14 @@ def find_links(rows: DataFrame, shared: DataFrame, classes: DataFrame, k: int, p
     return roots
 
 
+def _new_pairs(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """The distinct pairs that are not among ``tested``: one grouping, since an anti join would run before the distinct."""
+    if tested is None:
+        return pairs.distinct()
+    marked = pairs.withColumn("old", F.lit(False)).unionByName(tested.withColumn("old", F.lit(True)))
+    return marked.groupBy("a", "b").agg(F.bool_or("old").alias("old")).where("NOT old").select("a", "b")
+
+
 def _remaining(entries: DataFrame, stars: DataFrame) -> int:
     """How many pairs of nodes in different components share a prefix shingle, counted per shingle."""
     sizes = entries.join(stars.select("sh"), "sh").groupBy("sh", "comp").agg(F.count("*").alias("m"))
