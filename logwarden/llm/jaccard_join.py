@@ -276,7 +276,7 @@ def find_links(rows: DataFrame, shared: DataFrame, classes: DataFrame, k: int, p
     for round_ in range(STARS + 1):
         placed = nodes if roots is None else nodes.join(roots, "node", "left")
         placed = placed.select("node", "weight", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("comp"))
-        entries = ranked.join(placed, "node")
+        entries = stored(ranked.join(placed, "node"), "entries")
         rank = F.col("weight") if round_ == 0 else F.xxhash64("node", F.lit(round_))
         stars = entries.groupBy("sh").agg(
             F.max(F.struct(rank.alias("rank"), "node", "np", "before", "comp")).alias("star"), F.min("comp").alias("low"), F.max("comp").alias("high")
