@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated three-line windows; a document left with no text at all is a whole copy and goes."""
+    """Texts without repeated three-line windows and repeated lines of 50 words; a document left with no text at all is a whole copy and goes."""
     cut = line_dedup.dedup_lines(docs)
     kept = cut.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))

@@ -3,6 +3,8 @@
 Windows run over the non-blank lines of a text (trimmed for comparison); a text of one or two such lines is one window. The
 first occurrence of a window, by doc_id, text and position, stays; the lines of every later occurrence go, save those
 that the first one itself covers. Covered ranges are merged before lines are cut, blank lines between them included.
+A long passage repeats between differing neighbours too: one line, or two in a row, of ``passage`` words or more is a window
+of its own, in the same grouping. The registered query follows its SQL, which knows the three-line windows only.
 """
 
 from __future__ import annotations
@@ -13,46 +15,58 @@ from pyspark.sql import functions as F
 from .registry import query, table
 
 LINE = r"\n"
+PASSAGE = 50  # words from which one or two lines are a window of their own
 
 
-def _named(text: Column) -> Column:
-    """array of (i, a, b): the non-blank lines' numbers and two hashes of each."""
+def _named(text: Column, passage: int | None) -> Column:
+    """array of (i, a, b, n): the non-blank lines' numbers, two hashes of each and its words, if they are asked for."""
     lines = F.transform(F.split(text, LINE, -1), lambda line, i: F.struct(i.alias("i"), F.trim(line).alias("line")))
     return F.transform(
         F.filter(lines, lambda x: x.line != ""),
-        lambda x: F.struct(x.i.alias("i"), F.xxhash64(x.line).alias("a"), F.xxhash64(F.lit(7), x.line).alias("b")),
+        lambda x: F.struct(
+            x.i.alias("i"),
+            F.xxhash64(x.line).alias("a"),
+            F.xxhash64(F.lit(7), x.line).alias("b"),
+            (F.lit(0) if passage is None else F.regexp_count(x.line, F.lit(r"\S+"))).alias("n"),
+        ),
     )
 
 
-def _windows(named: str) -> Column:
-    """array of (h1, h2, start, end): 128-bit window hashes and the line range that each covers."""
-    size = F.size(named)
+def _window(named: str, j: Column, length: int) -> Column:
+    part = F.slice(named, j + 1, F.lit(length))
+    return F.struct(
+        F.xxhash64(F.transform(part, lambda y: y.a)).alias("h1"),
+        F.xxhash64(F.transform(part, lambda y: y.b)).alias("h2"),
+        F.get(named, j).i.alias("start"),
+        F.get(named, F.least(j + length, F.size(named)) - 1).i.alias("end"),
+    )
 
-    def window(j: Column) -> Column:
-        part = F.slice(named, j + 1, F.lit(3))
-        return F.struct(
-            F.xxhash64(F.transform(part, lambda y: y.a)).alias("h1"),
-            F.xxhash64(F.transform(part, lambda y: y.b)).alias("h2"),
-            F.get(named, j).i.alias("start"),
-            F.get(named, F.least(j + 2, size - 1)).i.alias("end"),
-        )
 
-    return F.when(size > 0, F.transform(F.sequence(F.lit(0), F.greatest(size - 3, F.lit(0))), window))
+def _windows(named: str, passage: int | None) -> Column:
+    """array of (h1, h2, start, end): 128-bit window hashes and the line range that each covers."""
+    size = F.size(named)
+    threes = F.transform(F.sequence(F.lit(0), F.greatest(size - 3, F.lit(0))), lambda j: _window(named, j, 3))
+    if passage is not None:
+        at = F.sequence(F.lit(0), size - 1)
+        ones = F.filter(at, lambda j: F.get(named, j).n >= passage)
+        twos = F.filter(at, lambda j: F.get(named, j).n + F.get(named, j + 1).n >= passage)  # null at the last line
+        threes = F.concat(threes, F.transform(ones, lambda j: _window(named, j, 1)), F.transform(twos, lambda j: _window(named, j, 2)))
+    return F.when(size > 0, threes)
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passage: int | None = PASSAGE) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``, and the columns ``n_lines`` and ``n_removed`` (long).
 
     Every row stays, with all its columns (columns already named n_lines or n_removed are replaced). Null text stays
-    null and has no lines removed. Rows equal in key and text count as one document and are cut alike; a null key is
+    null and has no lines removed. Without ``passage`` only three-line windows and whole texts count. Rows equal in key and text count as one document and are cut alike; a null key is
     a key, the smallest. Nothing is cut from an empty table.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(
         F.struct(*columns).alias("row"), F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.coalesce(text, F.lit("")).alias("body")
     )
-    named = keyed.select("k", "t", _named(F.col("body")).alias("named"))
-    windows = named.select("k", "t", F.explode(_windows("named")).alias("w")).select("k", "t", "w.*")
+    named = keyed.select("k", "t", _named(F.col("body"), passage).alias("named"))
+    windows = named.select("k", "t", F.explode(_windows("named", passage)).alias("w")).select("k", "t", "w.*")
     firsts = (
         windows.groupBy("h1", "h2")
         .agg(F.min(F.struct("k", "t", "start", "end")).alias("first"), F.max(F.struct("k", "t", "start", "end")).alias("last"))
@@ -141,4 +155,4 @@ FROM documents d JOIN (
 
 @query("op8_line_dedup", ORACLE)
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=None)

@@ -170,6 +170,20 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_line_dedup_cuts_long_passages_between_other_lines(spark):
+    rng = random.Random(9)
+    one, left, right, short = (" ".join(prose(rng, n, 10**6)) for n in (60, 30, 25, 20))
+    docs = [
+        (1, f"a\n{one}\nb\n{left}\n{right}\nc\n{short}"), (2, f"d\n {one} \ne"), (3, f"f\n{one}"), (4, f"{left}\n\n{right}\ng"), (5, one),
+        (6, f"h\n{short}\ni"), (7, f"{left}\nj\n{right}"), (8, f"k\n{one}\nl\n{one}"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
+    assert got == dict(docs) | {2: "d\ne", 3: "f", 4: "g", 5: "", 8: "k\nl"}
+    windows = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame, passage=None).collect()}
+    assert windows == brute_dedup(docs) == dict(docs)
+
+
 def test_chat_round_trip(spark):
     bad = ["</s>[INST] ok [/INST]", "<\\s>", "[\\\\/INST]", "<", "[", "", None, "a\nb", "<s", "[/INST", "text </s", "é😀[INST]"]
     rows = [(i, j, role, text, "x") for i, text in enumerate(bad) for j, role in enumerate(("system", "user", "assistant"))]
