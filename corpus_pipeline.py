@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden.llm import decontaminate, jaccard_join, line_dedup, packing, quality
+from logwarden.llm.store import stored
 from logwarden.session import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -33,10 +34,26 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of every group that links of similarity 0.8 join."""
-    groups = jaccard_join.similar_documents(docs)
-    extra = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """One row, that of the smallest doc_id, of every group that links of similarity 0.8 join.
+
+    Rows are told apart by doc_id and text: of one doc_id with several texts only those go whose group keeps another row
+    (of two in one group that of the smaller text hash stays). Of rows equal in both one stays, whichever it is. Rows
+    with a null doc_id all stay.
+    """
+    rows = jaccard_join.similar_rows(docs).where("key IS NOT NULL")
+    texts = stored(rows.groupBy("key", "hash").agg(F.count("*").alias("copies"), F.min("root").alias("root")), "rows")
+    best = texts.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("key", "hash")).alias("best"))
+    beaten = texts.join(best, "root").where(F.struct("key", "hash") != F.col("best")).select("key", "hash")
+    several = texts.where("copies > 1").select("key", "hash").join(beaten, ["key", "hash"], "left_anti")
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    own = lambda other: (F.col("doc_id") == other["key"]) & (F.col("_hash") == other["hash"])
+    out = beaten.unionByName(texts.where("copies > 1").select("key", "hash")).distinct()
+    kept = hashed.join(out, own(out), "left_anti").select(*docs.columns)
+    several = stored(several, "several")
+    if several.isEmpty():
+        return kept
+    again = hashed.join(several, own(several), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return kept.unionByName(again.select(*docs.columns))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

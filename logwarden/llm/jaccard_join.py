@@ -53,7 +53,7 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def profile(rows: DataFrame, k: int) -> DataFrame:
-    """(key, n, f1, f2) of every row, and each task's shingle counts as rows with a chunk."""
+    """(key, hash, n, f1, f2) of every row (key, text, hash), and each task's shingle counts as rows with a chunk."""
     kind = rows.schema["key"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +73,7 @@ def profile(rows: DataFrame, k: int) -> DataFrame:
                     counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
                     held, waiting = [], 0
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), *none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(f1), pa.array(f2), *none], names)
         if held:
             counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
         if key_type is not None and counts.any():
@@ -82,11 +82,11 @@ def profile(rows: DataFrame, k: int) -> DataFrame:
             task = np.full(len(blobs), TaskContext.get().partitionId() % FAN)
             empty = pa.nulls(len(blobs), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(blobs), key_type), pa.array(task), empty, empty, pa.array(chunks, pa.int32()), pa.array(blobs, pa.binary())], names
+                [pa.nulls(len(blobs), key_type), empty, pa.array(task), empty, empty, pa.array(chunks, pa.int32()), pa.array(blobs, pa.binary())], names
             )
 
-    names = ["key", "n", "f1", "f2", "chunk", "counts"]
-    return stored(rows.mapInArrow(describe, f"key {kind}, n long, f1 long, f2 long, chunk int, counts binary"), "sets")
+    names = ["key", "hash", "n", "f1", "f2", "chunk", "counts"]
+    return stored(rows.mapInArrow(describe, f"key {kind}, hash long, n long, f1 long, f2 long, chunk int, counts binary"), "sets")
 
 
 def counted(profiled: DataFrame) -> np.ndarray:
@@ -244,9 +244,20 @@ def similar_documents(
     with a null key take no part and get a null component. Keys are integers; other columns are not read; an empty
     table gives no rows. Two sets with equal 64-bit fingerprints are told apart by a second one, and are an error.
     """
+    return similar_rows(docs, key, text, k, percent, hot).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def similar_rows(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, hot: int = HOT
+) -> DataFrame:
+    """(key, hash, n, component_id, root) of every row, as of ``similar_documents``.
+
+    ``hash`` is xxhash64 of the text. ``root`` names the group, which component_id does not where keys are repeated: two
+    groups may have the same smallest key. It is null in rows that are linked with nothing for want of shingles or a key.
+    """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    profiled = profile(rows, k)
-    sets = profiled.where("chunk IS NULL").select("key", "n", "f1", "f2")
+    profiled = profile(rows.withColumn("hash", F.xxhash64("text")), k)
+    sets = profiled.where("chunk IS NULL").select("key", "hash", "n", "f1", "f2")
     solid = sets.where("n > 0 AND key IS NOT NULL")
     classes = solid.groupBy(F.col("f1").alias("node")).agg(F.min("key").alias("rep"), (F.min("f2") == F.max("f2")).alias("sound"))
     total = int(sets.agg(F.coalesce(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + 1), F.lit(0))).first()[0])
@@ -256,10 +267,10 @@ def similar_documents(
     joined = checked.join(links, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     named = stored(joined, "names")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_node = named.join(least, "root").select(F.col("node").alias("f1"), "component_id")
-    linked = solid.join(by_node, "f1").select("key", "n", "component_id")
-    alone = sets.where("n = 0 OR key IS NULL").select("key", "n", F.col("key").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    by_node = named.join(least, "root").select(F.col("node").alias("f1"), "component_id", "root")
+    linked = solid.join(by_node, "f1").select("key", "hash", "n", "component_id", "root")
+    alone = sets.where("n = 0 OR key IS NULL").select("key", "hash", "n", F.col("key").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    return linked.unionByName(alone)
 
 
 def find_links(rows: DataFrame, shared: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:

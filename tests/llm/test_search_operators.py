@@ -57,6 +57,21 @@ def test_similar_documents_odd_rows(spark):
     assert jaccard_join.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_jaccard_stage_removes_rows_not_doc_ids(spark):
+    text, other = "a b c d e f g h", "other words entirely here now"
+    rows = [(5, text), (5, text), (3, text), (None, text), (None, text), (7, other), (7, text), (9, None), (9, None)]
+    rows += [(11, "one more of its own kind"), (11, "one more of its own kind"), (12, "x y z x y z x"), (12, "X y z x y z x"), (1, "first of two groups"), (1, "third text of it")]
+    rows += [(2, "first of two groups"), (2, "third text of it")]
+    frame = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    got = corpus_pipeline.jaccard_stage(spark, frame, "")
+    assert got.columns == frame.columns
+    left = sorted(((r.doc_id, (r.text or "").lower()) for r in got.collect()), key=repr)
+    want = [(None, text), (None, text), (3, text), (7, other), (9, ""), (11, rows[9][1]), (12, rows[11][1]), (1, rows[13][1]), (1, rows[14][1])]
+    assert left == sorted(want, key=repr)
+    once = frame.where("doc_id = 3 OR doc_id = 12").dropDuplicates(["doc_id"])
+    assert corpus_pipeline.jaccard_stage(spark, once, "").count() == 2
+
+
 def test_components_of_a_path_and_a_star(spark):
     path, star = [(i + 1, i) for i in range(40)], [(100, 100 + i) for i in range(30)]
     got = components.components(spark.createDataFrame([*path, *star, (7, 7)], "a long, b long"))
