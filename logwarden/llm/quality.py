@@ -191,8 +191,11 @@ def sample_labels(labels: DataFrame, key: str, label: str, sample: int) -> DataF
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE
 ) -> Model:
+    """A model of the labelled rows of ``docs``. Of a key's rows one is used, that of the smallest text hash."""
     chosen = F.broadcast(sample_labels(labels, key, label, sample))  # at most ``sample`` rows of two numbers
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key")
+    copies = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "y")).alias("first")  # one row a key, chosen before the shuffle too
+    rows = copies.groupBy("key").agg(first).select("key", "first.text", "first.y")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +209,7 @@ def fit(
                     yield pa.RecordBatch.from_arrays([row.column(0), row.column(2), data], ["key", "y", "x"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    found = rows.mapInArrow(describe, f"key {kind}, y int, x binary").collect()  # bounded by sample and BAG
+    found = rows.mapInArrow(describe, f"key {kind}, y int, x binary").collect()  # one row a chosen key: bounded by sample and BAG
     found.sort(key=lambda r: (repr(r.key), bytes(r.x)))
     parts = [np.frombuffer(r.x, "<f2").reshape(-1, WIDTH).astype(np.float32) for r in found]
     bags = np.repeat(np.arange(len(parts)), [len(p) for p in parts])

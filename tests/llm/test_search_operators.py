@@ -92,6 +92,19 @@ def test_quality_learns_junk(spark):
     assert quality.scores(frame.limit(0), model).count() == 0
 
 
+def test_quality_fits_on_one_row_a_key(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, " ".join(prose(rng, 20))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int")
+    used = []
+    monkeypatch.setattr(quality, "fit_bags", lambda x, bags, y: used.append((x.tolist(), y.tolist())))
+    held = {r.doc_id for r in labels.where(quality.held_out("doc_id")).collect()}
+    often = next(i for i, _ in docs if i not in held)
+    for more in ([], [docs[often]] * 500, [(often, docs[often][1])] + [(often, f"w{i}") for i in range(50)]):
+        quality.fit(spark.createDataFrame(docs + more, "doc_id long, text string").repartition(3), labels)
+    assert used[0] == used[1] and len(used[2][1]) == len(used[0][1]) == 60 - len(held)
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     x, bags, y = rng.standard_normal((7, quality.WIDTH)), np.array([0, 0, 0, 1, 2, 2, 2]), np.array([1.0, 0.0, 1.0])
