@@ -121,8 +121,9 @@ def search_block(candidates: DataFrame, ids: np.ndarray, vectors: list[np.ndarra
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best ``vectors`` (key, v) of each distinct row of ``queries`` (key, v).
+    """(query_id, rank, vec_id, score): the k best ``vectors`` (key, v) of each key of ``queries`` (key, v).
 
+    Equal query rows count once; different vectors under one key share its k places, however queries fall into blocks.
     A query's own key is no candidate; vectors meet queries of equal dimension only. Repeated candidate rows count
     each; ties go to the smaller key. Fewer candidates than k give fewer rows, empty tables none. Scores are 64-bit
     integers: components whose products leave that range wrap. Queries are broadcast in blocks of at most
@@ -151,7 +152,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return best_per_query(out, k) if len(found) > 1 else out  # a key may be in several blocks
 
 
 def best_per_query(found: DataFrame, k: int) -> DataFrame:

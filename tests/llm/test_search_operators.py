@@ -170,6 +170,16 @@ def test_top_k_matches_brute_force(spark):
     assert top_k.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_top_k_of_a_repeated_query_id_does_not_depend_on_blocks(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [i, 20 - i]) for i in range(20)], "key long, v array<bigint>")
+    queries = spark.createDataFrame([(100, [1, 0]), (100, [0, 1]), (100, [0, 1]), (101, [1, 1])], "key long, v array<bigint>")
+    got = []
+    for size in (top_k.QUERY_BYTES, 1):
+        monkeypatch.setattr(top_k, "QUERY_BYTES", size)
+        got.append(sorted(map(tuple, top_k.top_k(vectors, queries, 4).collect())))
+    assert got[0] == got[1] == [(100, 1, 0, 20), (100, 2, 1, 19), (100, 3, 19, 19), (100, 4, 2, 18)] + [(101, i + 1, i, 20) for i in range(4)]
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     rng = random.Random(8)
     docs = [(i, t, "en", "s", len(t or "")) for i, t in corpus()]
