@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = (
     "packing", "pii", "decontaminate", "token_counts", "jaccard_join", "quality", "url_filter", "line_dedup",
-    "chat_format", "top_k", "suffix_dedup", "repair",
+    "chat_format", "top_k", "suffix_dedup", "prefix_trie", "repair",
 )
 
 
