@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.net import settled
 from ..functions.text import block_ids, line_content
-from .ordering import running_sums
+from .ordering import carry_last, running_sums
 
 
 def with_blocks(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -214,6 +214,7 @@ def table_digest(df: DataFrame, cols: list[str], buckets: int = 4096) -> DataFra
 
 
 # --- live scoring ---------------------------------------------------------------------------------
+BASIS = "partial block"  # what a live score rests on; it is not the published score of whole blocks
 WEIGHT_UNITS = 10**9  # weights are summed as whole billionths, so the order of addition does not matter
 
 
@@ -225,21 +226,42 @@ def model_weights(vocab: DataFrame, coefficients: list[float]) -> DataFrame:
     return vocab.sparkSession.createDataFrame(rows, "column int, weight double")
 
 
-def partial_block_scores(
-    lines: DataFrame, intercept: float, weights: DataFrame, position: str = "position", bucket: int = 1 << 20
+def running_counts(
+    touches: DataFrame, position: str = "position", place: str = "place", key: str = "block_id", width: int = 1 << 20
 ) -> DataFrame:
+    """``touches`` of ``recency.tracked`` with ``lines``, the touches of the key since it was last taken up."""
+    return running_sums(touches, position, {"lines": F.lit(1).cast("long")}, by=(key, "episode"), ties=(place,), width=width)
+
+
+def idle_episodes(
+    touches: DataFrame, idle_ms: int, ms: str = "ms", position: str = "position", key: str = "block_id", width: int = 1 << 20
+) -> DataFrame:
+    """Add ``episode``: how often the key had paused for more than ``idle_ms`` before this touch."""
+    paused = F.coalesce(F.col(ms) - F.col("__last") > idle_ms, F.lit(False)).cast("long")
+    last = carry_last(touches, position, {"__last": F.col(ms)}, by=(key,), width=width)
+    return running_sums(last, position, {"episode": paused}, by=(key,), width=width).drop("__last")
+
+
+def probability(margin: Column) -> Column:
+    return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)), 4)
+
+
+def partial_block_scores(
+    lines: DataFrame, intercept: float, weights: DataFrame, position: str = "position", bucket: int = 1 << 20,
+    by: tuple[str, ...] = ("block_id",),
+) -> DataFrame:
     """Per (line, block) in arrival order: ``lines`` of the block so far and the probability of the partial block.
 
     ``lines`` needs block_id, position and ``column`` (null for a line without a known template); ``weights`` has one
-    row (column, weight) per model column. A linear score of counts is the running sum of the lines' weights.
+    row (column, weight) per model column. A linear score of counts is the running sum of the lines' weights. With
+    ``by`` of block_id and ``episode`` (``recency.tracked``) a block that was evicted starts anew.
     """
     units = F.round(F.col("weight") * WEIGHT_UNITS).cast("long")
     weighed = lines.join(weights.select("column", units.alias("__units")), "column", "left")
     sums = {"lines": F.lit(1).cast("long"), "__sum": F.coalesce("__units", F.lit(0).cast("long"))}
-    summed = running_sums(weighed, position, sums, by=("block_id",), width=bucket)
+    summed = running_sums(weighed, position, sums, by=by, width=bucket)
     margin = F.lit(float(intercept)) + F.col("__sum") / F.lit(float(WEIGHT_UNITS))
-    probability = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
-    return summed.withColumn("probability", F.round(probability, 4)).drop("__units", "__sum")
+    return summed.withColumn("probability", probability(margin)).drop("__units", "__sum")
 
 
 def with_model_column(matched: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -18,6 +18,11 @@ from .ordering import with_ordinal
 WILD = "<*>"
 
 
+def with_mask(lines: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``masked``, computed once however often it is read."""
+    return settled(lines, "masked", mask(F.col(content)))
+
+
 def distinct_masked(lines: DataFrame, content: str = "content", position: str = "position") -> DataFrame:
     """Distinct masked contents with their count and first position; the pre-aggregation of mining."""
     return (

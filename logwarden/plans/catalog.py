@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("detection", "dashboards", "parsing", "reputation", "responses", "ledgers", "blocks", "evaluation")
+MODULES = ("detection", "dashboards", "parsing", "reputation", "responses", "ledgers", "blocks", "tracking", "evaluation")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
