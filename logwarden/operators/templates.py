@@ -69,7 +69,7 @@ class _Clusters:
     def __init__(self, similarity: float, width: int):
         self.similarity = similarity
         self.numbers: dict[str, int] = {WILD: 0}
-        self.matrix = np.zeros((16, width), np.int64)
+        self.matrix = np.zeros((1, width), np.int64)
         self.first_pos: list[int] = []
         self.lines: list[int] = []
 
@@ -95,32 +95,34 @@ class _Clusters:
         self.first_pos[best] = min(self.first_pos[best], position)
         self.lines[best] += lines
 
-    def frame(self, key: tuple) -> pd.DataFrame:
+    def rows(self, key: tuple) -> Iterator[tuple]:
         names = list(self.numbers)
-        return pd.DataFrame(
-            {
-                "n_tokens": key[0],
-                "leaf": key[1],
-                "tokens": [[names[i] for i in row] for row in self.matrix[: len(self.lines)]],
-                "first_pos": self.first_pos,
-                "lines": self.lines,
-            }
-        )
+        for words, first_pos, lines in zip(self.matrix.tolist(), self.first_pos, self.lines, strict=False):
+            yield (*key, [names[i] for i in words], first_pos, lines)
+
+
+FOUND = ("n_tokens", "leaf", "part", "tokens", "first_pos", "lines")
+OUT_ROWS = 2000  # templates that leave a task together
 
 
 def _cluster(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, clusters = None, None
+        key, clusters, done = None, None, []
         for batch in batches:
             for row in batch.itertuples(index=False):
-                group = (row.n_tokens, row.leaf)
+                group = (row.n_tokens, row.leaf, row.part)
                 if group != key:
                     if clusters is not None:
-                        yield clusters.frame(key)
+                        done.extend(clusters.rows(key))
+                    if len(done) >= OUT_ROWS:
+                        yield pd.DataFrame(done, columns=FOUND)
+                        done = []
                     key, clusters = group, _Clusters(similarity, row.n_tokens)
                 clusters.add(list(row.tokens), row.first_pos, row.lines)
         if clusters is not None:
-            yield clusters.frame(key)
+            done.extend(clusters.rows(key))
+        if done:
+            yield pd.DataFrame(done, columns=FOUND)
 
     return run
 
@@ -132,21 +134,26 @@ def mine_templates(
     content: str = "content",
     position: str = "position",
     prefix: int = 1,
+    digits: int = 0,
 ) -> DataFrame:
     """(template_id, n_tokens, leaf, tokens, first_pos, lines) mined from the lines.
 
     Distinct masked lines are clustered leaf by leaf in order of appearance; a task streams its leaves and holds their
     templates only. A leaf is (token count, first ``prefix`` tokens). The published tree has one such token; more of them are
     another, finer tree, for logs in which one first token opens most shapes.
+
+    With ``digits`` a leaf is no task's own: its shapes fall into 16^digits parts by a digest of their tokens, which are
+    clustered apart, and the templates of 16 parts are merged by the same rule in each of ``digits`` further rounds, so that the
+    last one meets templates only. Where templates are well apart the result is that of one pass.
     """
     # The log is read and masked once; the distinct shapes are used by several stages.
     leaves = with_leaf(cut_lineage(distinct_masked(lines, content, position)), max_children, prefix)
-    found = (
-        leaves.select("n_tokens", "leaf", "tokens", "first_pos", "lines")
-        .repartition("n_tokens", "leaf")
-        .sortWithinPartitions("n_tokens", "leaf", "first_pos")
-        .mapInPandas(_cluster(similarity), "n_tokens int, leaf string, tokens array<string>, first_pos long, lines long")
-    )
+    schema = "n_tokens int, leaf string, part string, tokens array<string>, first_pos long, lines long"
+    found = leaves.withColumn("part", F.md5(F.array_join("tokens", " ")))
+    for kept in range(digits, -1, -1):
+        group = ("n_tokens", "leaf", "part")
+        rows = found.select("n_tokens", "leaf", F.substring("part", 1, kept).alias("part"), "tokens", "first_pos", "lines")
+        found = rows.repartition(*group).sortWithinPartitions(*group, "first_pos").mapInPandas(_cluster(similarity), schema)
     ordered = with_ordinal(cut_lineage(found), "first_pos", "template_id")
     return ordered.select("template_id", "n_tokens", "leaf", "tokens", "first_pos", "lines")
 
@@ -155,20 +162,26 @@ def match_masked(distinct: DataFrame, templates: DataFrame) -> DataFrame:
     """(masked, template_id): every token equal or wildcard; null when nothing matches.
 
     Runs on distinct masked lines. Among several matches the line's own leaf comes first, then the
-    template with most wildcards, then the oldest one. Templates meet lines on the token count and
-    the first token (equal, or a wildcard in the template), never all against all.
+    template with most wildcards, then the oldest one. Templates meet lines on the token count and their
+    first fixed token; a line is looked up once for each place at which a template of its length has
+    that token, which is the first place but for templates that open with a wildcard.
     """
+    at = lambda words: F.coalesce(F.get(words, F.col("place")), F.lit(""))
     t = templates.select(
         "template_id", F.col("n_tokens").alias("t_n"), F.col("leaf").alias("t_leaf"),
         F.col("tokens").alias("t_tokens"),
-        F.coalesce(F.get("tokens", F.lit(0)), F.lit("")).alias("t_first"),
+        # without a fixed token: the place after the last one
+        F.array_position(F.transform("tokens", lambda x: x != WILD), True).cast("int").alias("__p"),
         F.size(F.filter("tokens", lambda x: x == WILD)).alias("wilds"),
-    )
-    first = F.coalesce(F.get("tokens", F.lit(0)), F.lit(""))
-    lines = distinct.select("masked", "tokens", "n_tokens", F.explode(F.array_distinct(F.array(first, F.lit(WILD)))).alias("probe"))
+    ).withColumn("place", F.when(F.col("__p") > 0, F.col("__p") - 1).otherwise(F.col("t_n"))).drop("__p")
+    t = t.withColumn("t_fixed", at("t_tokens"))
+    places = t.select(F.col("t_n").alias("n_tokens"), "place").distinct()
+    lines = distinct.select("masked", "tokens", "n_tokens").join(places, "n_tokens")
+    lines = lines.withColumn("fixed", at("tokens"))
     own_leaf = F.when(F.col("n_tokens") <= 1, "").otherwise(_leaf_key(F.get("tokens", F.lit(0))))
     agrees = F.forall(F.zip_with("tokens", "t_tokens", lambda a, b: (a == b) | (b == WILD)), lambda x: x)
-    hits = lines.join(t, (F.col("n_tokens") == F.col("t_n")) & (F.col("probe") == F.col("t_first"))).where(agrees)
+    same = (F.col("n_tokens") == F.col("t_n")) & (lines["place"] == t["place"]) & (F.col("fixed") == F.col("t_fixed"))
+    hits = lines.join(t, same).where(agrees)
     order = F.struct(
         (F.col("t_leaf") == own_leaf).cast("int").alias("a"),
         F.col("wilds").alias("b"),

@@ -102,14 +102,124 @@ def mine_templates(spark: SparkSession, sf: str) -> DataFrame:
     return mined(spark, sf).select("template_id", tpl.template_text(F.col("tokens")).alias("template"), "first_pos", "lines")
 
 
-@query("mine_document_templates")
+# --- Mining in SQL: masks, leaves, and the clustering of parts in rounds -------------------------
+_WORD = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
+_NOT_WORD = r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
+
+
+def mask_sql(text: str) -> str:
+    """The five masks; a number between two others shares its borders, so numbers are replaced twice."""
+    number = rf"'(^|{_NOT_WORD})\p{{Nd}}+($|{_NOT_WORD})', '\1<NUM>\2', 'g')"
+    for pattern, name in (
+        (r"blk_-?\p{Nd}+", "<BLK>"), (r"(\p{Nd}+\.){3}\p{Nd}+(:\p{Nd}+)?", "<IP>"),
+        (r"/[-\p{L}\p{M}\p{Nd}\p{Pc}./]+", "<PATH>"), (r"0x[0-9a-fA-F]+", "<HEX>"),
+    ):
+        text = f"regexp_replace({text}, '{pattern}', '{name}', 'g')"
+    return f"regexp_replace(regexp_replace({text}, {number}, {number}"
+
+
+def mining_sql(lines: str, digits: int) -> str:
+    """CTEs from ``lines`` (position, content) to ``mined`` (template_id, n, toks, first_pos, lines)."""
+    ctes = [rf"""masked AS (
+  SELECT masked, min(position) AS first_pos, count(*) AS lines FROM (SELECT position, {mask_sql("content")} AS masked FROM {lines}) GROUP BY masked
+), shapes AS (
+  SELECT *, len(toks) AS n, CASE WHEN len(toks) <= 1 THEN '' WHEN regexp_matches(toks[1], '\p{{Nd}}') THEN '<*>' ELSE toks[1] END AS key FROM (
+    SELECT *, CASE WHEN t = '' THEN [] ELSE regexp_split_to_array(t, '\s+') END AS toks FROM (SELECT *, regexp_replace(masked, '^\s+|\s+$', '', 'g') AS t FROM masked))
+), firsts AS (
+  SELECT n, key FROM (SELECT n, key, row_number() OVER (PARTITION BY n ORDER BY min(first_pos), key) AS r FROM shapes WHERE key <> '<*>' GROUP BY n, key) WHERE r < 100
+), found_{digits + 1} AS (
+  SELECT n, coalesce(f.key, '<*>') AS leaf, md5(array_to_string(toks, ' ')) AS part, toks, first_pos, lines FROM shapes LEFT JOIN firsts f USING (n, key)
+)"""]
+    for d in range(digits, -1, -1):
+        ctes.append(f"""rows_{d} AS (
+  SELECT n, leaf, substring(part, 1, {d}) AS part, toks, first_pos, lines,
+    row_number() OVER (PARTITION BY n, leaf, substring(part, 1, {d}) ORDER BY first_pos) AS k FROM found_{d + 1}
+), fold_{d} AS (
+  SELECT n, leaf, part, k, [{{'toks': toks, 'first_pos': first_pos, 'lines': lines}}] AS found FROM rows_{d} WHERE k = 1
+  UNION ALL
+  SELECT n, leaf, part, k, CASE WHEN n > 0 AND same[best] < 0.4 * n THEN list_append(found, {{'toks': toks, 'first_pos': first_pos, 'lines': lines}})
+    ELSE list_transform(found, lambda t, i: CASE WHEN i <> best THEN t ELSE
+      {{'toks': list_transform(t.toks, lambda w, j: CASE WHEN w = toks[j] THEN w ELSE '<*>' END), 'first_pos': least(t.first_pos, first_pos), 'lines': t.lines + lines}} END) END
+  FROM (
+    SELECT *, list_position(ranks, list_max(ranks)) AS best FROM (
+      SELECT *, list_transform(found, lambda t, i: same[i] * (n + 1) + len(list_filter(t.toks, lambda w: w = '<*>'))) AS ranks FROM (
+        SELECT f.n, f.leaf, f.part, r.k, f.found, r.toks, r.first_pos, r.lines,
+          list_transform(f.found, lambda t: len(list_filter(t.toks, lambda w, j: w <> '<*>' AND w = r.toks[j]))) AS same
+        FROM fold_{d} f JOIN rows_{d} r ON r.n = f.n AND r.leaf = f.leaf AND r.part = f.part AND r.k = f.k + 1)))
+), found_{d} AS (
+  SELECT n, leaf, part, t.toks AS toks, t.first_pos AS first_pos, t.lines AS lines FROM (
+    SELECT n, leaf, part, unnest(found) AS t FROM (SELECT *, max(k) OVER (PARTITION BY n, leaf, part) AS last FROM fold_{d}) WHERE k = last)
+)""")
+    ctes.append("mined AS (SELECT row_number() OVER (ORDER BY first_pos) AS template_id, n, toks, first_pos, lines FROM found_0)")
+    return ",\n".join(ctes)
+
+
+DIGITS = 2
+DOCUMENT_LINES_SQL = """doc_lines AS (
+  SELECT row_number() OVER (ORDER BY doc_id, i) AS position, content
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+  WHERE trim(content) <> ''
+)"""
+
+
+@query(
+    "mine_document_templates",
+    sql(
+        DOCUMENT_LINES_SQL + ",\n" + mining_sql("doc_lines", DIGITS),
+        "SELECT template_id, n AS n_tokens, lines, array_to_string(toks, ' ') AS template FROM mined",
+    ),
+)
 def mine_document_templates(spark: SparkSession, sf: str) -> DataFrame:
     """Templates of all paragraphs of all documents: many shapes, in the order of appearance."""
     lines = table(spark, sf, "documents").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "content")
     ).where("trim(content) <> ''")
     lines = ordering.with_ordinal(lines, "doc_id", "position", width=1 << 14, ties=("i",))
-    return tpl.mine_templates(lines).select("template_id", "n_tokens", "lines")
+    mined = tpl.mine_templates(lines, digits=DIGITS)
+    return mined.select("template_id", "n_tokens", "lines", tpl.template_text(F.col("tokens")).alias("template"))
+
+
+# Service lines whose variable words no mask covers: only merging shapes gives their five templates.
+SERVICE_LINES = {
+    "click": ("session opened for ", " by operator on ", "user", "host"), "view": ("session closed for ", " after idle period in ", "user", "zone"),
+    "purchase": ("transfer of item ", " was accepted from ", "item", "user"), "signup": ("transfer by new ", " held back at ", "user", "host"),
+    "error": ("login ", " failed twice from ", "user", "host"),
+}
+_NAMES = {"user": (150, 1), "host": (12, 3), "zone": (9, 7), "item": (40, 5)}  # how many there are, and their step
+_SERVICE_SQL = " ".join(
+    f"WHEN '{k}' THEN '{a}' || '{x}' || (event_id * {_NAMES[x][1]} % {_NAMES[x][0]}) || 'x' || '{b}' || '{y}' || (event_id * {_NAMES[y][1]} % {_NAMES[y][0]}) || 'x'"
+    for k, (a, b, x, y) in SERVICE_LINES.items()
+)
+SERVICE_SQL = f"""service AS (SELECT event_id + 1 AS position, event_type, CASE event_type {_SERVICE_SQL} END AS content FROM events),
+words AS (SELECT position, event_type, unnest(string_split(content, ' ')) AS w, generate_subscripts(string_split(content, ' '), 1) AS j FROM service),
+places AS (SELECT event_type, j, CASE WHEN count(DISTINCT w) = 1 THEN min(w) ELSE '<*>' END AS w, min(position) AS first_pos, count(*) AS lines FROM words GROUP BY event_type, j),
+expected AS (
+  SELECT event_type, string_agg(w, ' ' ORDER BY j) AS template, min(first_pos) AS first_pos, min(lines) AS lines, row_number() OVER (ORDER BY min(first_pos)) AS template_id
+  FROM places GROUP BY event_type
+)"""
+
+
+def service_log(spark: SparkSession, sf: str) -> DataFrame:
+    event = F.col("event_id")
+    name = lambda kind: F.concat(F.lit(kind), (event * _NAMES[kind][1] % _NAMES[kind][0]).cast("string"), F.lit("x"))
+    content = F
+    for kind, (a, b, x, y) in SERVICE_LINES.items():
+        content = content.when(F.col("event_type") == kind, F.concat(F.lit(a), name(x), F.lit(b), name(y)))
+    return table(spark, sf, "events").select((event + 1).alias("position"), content.alias("content"))
+
+
+@query("mine_service_templates", sql(SERVICE_SQL, "SELECT template_id, template, first_pos, lines FROM expected"))
+def mine_service_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Five templates from thousands of shapes, merged over parts of each leaf."""
+    mined = tpl.mine_templates(service_log(spark, sf), digits=DIGITS)
+    return mined.select("template_id", tpl.template_text(F.col("tokens")).alias("template"), "first_pos", "lines")
+
+
+@query("service_template_match", sql(SERVICE_SQL, "SELECT position, template_id FROM service JOIN expected USING (event_type)"))
+def service_template_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line meets its template, all of which hold wildcards."""
+    lines = service_log(spark, sf)
+    return tpl.match_templates(lines, tpl.mine_templates(lines, digits=DIGITS)).select("position", "template_id")
 
 
 @query("template_match", sql(TEMPLATE_SQL, "SELECT position, template_id FROM log JOIN t USING (masked)"))

@@ -243,6 +243,26 @@ def test_mining_follows_the_order_of_lines(spark, parts):
     assert {" ".join(r.tokens) for r in finer} == {t for w in words for t in drain([x for x in lines if x.split()[1] == w])}
 
 
+def test_mining_in_parts(spark):
+    rnd = random.Random(12)
+    kinds = ["open file {} for user {} now", "close file {} of user {} again", "{} joined room {} late", "lost link to {} after {} tries"]
+    lines = [rnd.choice(kinds).format(f"n{rnd.randrange(300)}x", f"m{rnd.randrange(300)}x") for _ in range(900)]
+    want = {k.format("<*>", "<*>") for k in kinds}
+    results = set()
+    for parts, digits in ((1, 2), (7, 2), (3, 3), (2, 0)):
+        df = spark.createDataFrame(list(enumerate(lines)), "position long, content string").repartition(parts)
+        mined = templates.mine_templates(df, digits=digits)
+        results.add(tuple(sorted((r.template_id, " ".join(r.tokens), r.first_pos, r.lines) for r in mined.collect())))
+    assert len(results) == 1
+    (only,) = results
+    assert {r[1] for r in only} == want and sum(r[3] for r in only) == 900
+    matched = templates.match_templates(df.unionByName(spark.createDataFrame([(900, "nothing like it"), (901, "")], df.schema)), mined)
+    ids = {r[1]: r[0] for r in only}
+    for r in matched.collect():
+        shape = next((t for t in want if all(a in (b, "<*>") for a, b in zip(t.split(), r.content.split(), strict=False)) and len(t.split()) == len(r.content.split())), None)
+        assert r.template_id == ids.get(shape), r.content
+
+
 def test_template_mining(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(LOG)], "position long, content string")
     mined = templates.mine_templates(df).orderBy("template_id").collect()
