@@ -40,21 +40,26 @@ RANKED = (
 )
 
 
-def anchors(text: bytes | np.ndarray, length: int, gram: int, segment: int = SEGMENT) -> Iterator[tuple[np.ndarray, ...]]:
-    """(first, count, phase, name) of maximal runs of windows with one anchor; phase is the first's place in the anchor's reach.
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, segment: int = SEGMENT) -> tuple[np.ndarray, ...]:
+    """(row, first, count, phase, name) of maximal runs of windows with one anchor; phase is the first's place in the anchor's reach.
 
-    ``phase`` rises with the position: the window that ends with its anchor has phase 0. Long texts are hashed in segments;
-    a run over a border comes in two parts.
+    ``data`` holds rows from ``offsets`` on; windows lie within a row. ``phase`` rises with the position: the window that
+    ends with its anchor has the last one. Long data is hashed in segments; a run over a border comes in two parts.
     """
-    data = np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text
-    reach = length - gram + 1
+    reach, parts = length - gram + 1, []
     for low in range(0, max(len(data) - length + 1, 0), segment):
         part = data[low : low + segment + length - 1]
         names, n = _gram_names(part, gram), len(part) - length + 1
         at = _leftmost_least(names, reach)[:n]
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        count = np.diff(np.concatenate((first, [n])))
-        yield first + low, count, reach - 1 - (at[first] - first), names[at[first]]
+        row = np.searchsorted(offsets, np.arange(low, low + n), "right") - 1
+        whole = np.arange(low, low + n) + length <= offsets[row + 1]
+        new = whole.copy()
+        new[1:] &= (at[1:] != at[:-1]) | (row[1:] != row[:-1]) | ~whole[:-1]
+        first = np.flatnonzero(new)
+        upto = np.cumsum(whole)
+        count = np.diff(np.concatenate((upto[first] - 1, upto[-1:])))
+        parts.append((row[first], first + low - offsets[row[first]], count, reach - 1 - (at[first] - first), names[at[first]]))
+    return tuple(map(np.concatenate, zip(*parts))) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
 
 
 def _gram_names(data: np.ndarray, gram: int) -> np.ndarray:
@@ -86,10 +91,7 @@ def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _digest(*parts: bytes) -> bytes:
-    made = hashlib.blake2b(digest_size=16)
-    for part in parts:
-        made.update(part)
-    return made.digest()
+    return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
 
 
 def _children(text: bytes, at: int, k: int, phase: int, rank: bytes, span: int, parent: int, length: int) -> list[dict]:
@@ -105,7 +107,9 @@ def _children(text: bytes, at: int, k: int, phase: int, rank: bytes, span: int,
         start, end = j * span, (j + 1) * span  # phases
         a, b = end - 1 - phase, start - phase + length
         core = _digest(rank, j.to_bytes(4, "big"), text[a:left], b"|", text[right:b]) if parent else _digest(rank, j.to_bytes(4, "big"), text[a:b])
-        whole = _digest(core, text[start - phase : a], b"|", text[b : end - 1 - phase + length]) if start >= phase and end <= phase + k else None
+        whole = None
+        if start >= phase and end <= phase + k:
+            whole = core if span == 1 else _digest(core, text[start - phase : a], b"|", text[b : end - 1 - phase + length])
         first, last = max(start, phase), min(end, phase + k)
         out.append({"at": at + first - phase, "k": last - first, "phase": first, "core": core, "whole": whole})
     return out
@@ -129,11 +133,14 @@ def repeated_starts(docs: DataFrame, text: str = "text", length: int = LENGTH, g
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, body in zip(batch.column("t").to_pylist(), batch.column("body")):
-                found = [(name, len(first)) for first, _, _, name in anchors(body.as_buffer().to_pybytes(), length, gram)]
-                name, n = np.unique(np.concatenate([x[0] for x in found]), return_counts=True)
+            for i, _, data, offsets in arrays.slices(batch.column("body"), SEGMENT):
+                row, _, _, _, name = anchors(data, offsets, length, gram)
+                order = np.lexsort((name, row))
+                row, name = row[order], name[order]
+                cuts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (name[1:] != name[:-1]), [True])))
+                one = cuts[:-1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name.view(np.int64)), pa.array([t] * len(name), pa.binary()), pa.array(n.astype(np.int32))], ["gram", "t", "n"]
+                    [pa.array(name[one].view(np.int64)), batch.column("t").take(pa.array(row[one] + i)), pa.array(np.diff(cuts).astype(np.int32))], ["gram", "t", "n"]
                 )
 
     seen = texts.mapInArrow(grams, "gram long, t binary, n int").groupBy("gram", "t").agg(F.max("n").alias("n"))
@@ -143,22 +150,29 @@ def repeated_starts(docs: DataFrame, text: str = "text", length: int = LENGTH, g
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, body, wanted in zip(batch.column("t").to_pylist(), batch.column("body"), batch.column("grams")):
-                met: dict[tuple, dict] = {}
-                whole = body.as_buffer().to_pybytes()
-                grams = np.sort(wanted.values.to_numpy().view(np.uint64))
-                for first, count, phase, name in anchors(whole, length, gram):
+            for i, j, data, offsets in arrays.slices(batch.column("body"), SEGMENT):
+                rows, *runs = anchors(data, offsets, length, gram)
+                bounds = np.searchsorted(rows, np.arange(j - i + 1))
+                for r in range(j - i):
+                    grams = np.sort(batch.column("grams")[i + r].values.to_numpy().view(np.uint64))
+                    first, count, phase, name = (x[bounds[r] : bounds[r + 1]] for x in runs)
                     place = np.minimum(np.searchsorted(grams, name), len(grams) - 1)
-                    for i in np.flatnonzero(grams[place] == name).tolist():
-                        at, k = int(first[i]), int(count[i])
-                        part = whole[at : at + k - 1 + length]
-                        known = met.get((int(phase[i]), k, part))
-                        if known:
-                            known["also"].append(at)
-                            continue
-                        row = {"t": t, "at": at, "k": k, "phase": int(phase[i]), "rank": int(name[i]).to_bytes(8, "big"), "also": [], "text": part}
-                        met[row["phase"], k, part] = row | {"children": _children(part, at, k, row["phase"], row["rank"], spans[0], 0, length)}
-                yield from _batches(list(met.values()), ranked)
+                    shared = np.flatnonzero(grams[place] == name)
+                    text = data[offsets[r] : offsets[r + 1]].tobytes()
+                    chosen = zip(*(x[shared].tolist() for x in (first, count, phase, name)))
+                    yield from _batches(_first_blocks(batch.column("t")[i + r].as_py(), text, chosen), ranked)
+
+    def _first_blocks(t: bytes, text: bytes, runs: Iterator[tuple[int, int, int, int]]) -> list[dict]:
+        met: dict[tuple, dict] = {}
+        for at, k, phase, name in runs:
+            part = text[at : at + k - 1 + length]
+            known = met.get((phase, k, part))
+            if known:
+                known["also"].append(at)
+                continue
+            row = {"t": t, "at": at, "k": k, "phase": phase, "rank": name.to_bytes(8, "big"), "also": [], "text": part}
+            met[phase, k, part] = row | {"children": _children(part, at, k, phase, row["rank"], spans[0], 0, length)}
+        return list(met.values())
 
     schema = spark.createDataFrame([], RANKED).schema
     ranked = _arrow(schema)
@@ -168,30 +182,28 @@ def repeated_starts(docs: DataFrame, text: str = "text", length: int = LENGTH, g
     finished = [in_one_text]
     for span, smaller in zip(spans, (*spans[1:], 0)):
         child = level.select("t", F.col("at").alias("block"), F.explode("children").alias("c")).select("t", "block", "c.*")
-        by_whole = child.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("t", "block", "at")).alias("one"))
+        by_whole = child.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("t", "block", "at", "k", "phase")).alias("one"))
         whole = by_whole.where("n > 1 AND whole IS NOT NULL").select("core", F.col("whole").alias("same"))
         finished.append(stored(child.join(whole, (child["core"] == whole["core"]) & (child["whole"] == F.col("same"))).select("t", "at", "k"), "repeated"))
         if span == 1:
             break
         # a core with several kinds of blocks: one of each kind, and every partial block, are cut further
         kinds = by_whole.groupBy("core").agg(F.sum(F.when(F.col("whole").isNull(), F.col("n")).otherwise(1)).alias("kinds")).where("kinds > 1")
-        whole_ones = by_whole.where("whole IS NOT NULL").join(kinds, "core").select("one.*")
-        partial = child.where("whole IS NULL").join(kinds, "core").select("t", "block", "at")
-        open_ones = whole_ones.unionByName(partial).groupBy("t", F.col("block").alias("at")).agg(F.collect_set("at").alias("open"))
+        whole_ones = by_whole.where("whole IS NOT NULL").join(kinds, "core").select("core", "one.*")
+        partial = child.where("whole IS NULL").join(kinds, "core").select("core", "t", "block", "at", "k", "phase")
+        open_ones = whole_ones.unionByName(partial).groupBy("t", F.col("block").alias("at")).agg(F.collect_list(F.struct("at", "k", "phase", "core")).alias("open"))
 
         def cut(batches: Iterator[pa.RecordBatch], span: int = span, smaller: int = smaller) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
                 for block in batch.to_pylist():
-                    wanted = set(block["open"])
-                    for c in block["children"]:
-                        if c["at"] in wanted:
-                            low = c["at"] - block["at"]
-                            row = {x: c[x] for x in ("at", "k", "phase")} | {"t": block["t"], "rank": c["core"], "also": [], "text": block["text"][low : low + c["k"] - 1 + length]}
-                            rows.append(row | {"children": _children(row["text"], row["at"], row["k"], row["phase"], row["rank"], smaller, span, length)})
+                    for c in block["open"]:
+                        low = c["at"] - block["at"]
+                        row = {"t": block["t"], "at": c["at"], "k": c["k"], "phase": c["phase"], "rank": c["core"], "also": [], "text": block["text"][low : low + c["k"] - 1 + length]}
+                        rows.append(row | {"children": _children(row["text"], c["at"], c["k"], c["phase"], c["core"], smaller, span, length)})
                 yield from _batches(rows, ranked)
 
-        level = stored(level.join(open_ones, ["t", "at"]).mapInArrow(cut, schema), "blocks")
+        level = stored(level.select("t", "at", "text").join(open_ones, ["t", "at"]).mapInArrow(cut, schema), "blocks")
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)
