@@ -30,6 +30,7 @@ from ..fixed_values import (
     FREQUENCY_WINDOW_S,
 )
 from ..session import cut_lineage
+from .loop_paths import closed_loop_by_paths
 from .rules import event_points, rule_windows, score_rules
 
 DEFAULT_PARAMS = {
@@ -39,6 +40,7 @@ DEFAULT_PARAMS = {
     "threshold": ALERT_THRESHOLD,
 }
 WAVE_ROWS = 2_000_000
+SPANS = 64  # longest effects in a bucket of the searches
 FOLD_INPUT = "ip string, episode long, ms long, id long, kind int, event string, base int, ttl_s long, state string"
 FOLD_OUTPUT = (
     "ip string, episode long, kind int, id long, dropped boolean, failed_attempts_count long, "
@@ -234,16 +236,23 @@ def closed_loop(
 
     ``events`` needs ip, event, ingested_ts_ms, id (unique, the arrival order of equal times) and
     may carry rep_hundredths. ``unblocks`` (ip, ingested_ts_ms, id) are manual block removals.
+
+    Where no block is removed or shorter than a window or the cooldown, the loop is followed as a path (``loop_paths``);
+    else in waves.
     """
     spark = events.sparkSession
     params = {**DEFAULT_PARAMS, **(params or {})}
     windows = {k: params[k] for k in ("failed_seconds", "frequency_seconds")}
-    # One number of the policy, a table with one row per playbook.
-    longest_ttl = block_ttls(policy).agg(F.max("ttl_s")).first()[0] or 0
+    # Two numbers of the policy, a table with one row per playbook.
+    shortest_ttl, longest_ttl = block_ttls(policy).agg(F.min("ttl_s"), F.max("ttl_s")).first()
+    longest_ttl = longest_ttl or 0
     span_ms = 1000 * (max(longest_ttl, params["cooldown_seconds"]) + max(windows.values()))
 
     plain = events.drop("dropped")
     rep = F.coalesce(F.col("rep_hundredths"), F.lit(0)) if "rep_hundredths" in events.columns else F.lit(0)
+    if unblocks is None and shortest_ttl and shortest_ttl >= max(params["cooldown_seconds"], *windows.values()):
+        based = with_block_ttl(plain, policy).withColumn("base", (rep + event_points(F.col("event"))).cast("int"))
+        return closed_loop_by_paths(based, plain.columns, params, width_ms=span_ms * SPANS)
     upper = score_rules(rule_windows(plain, **windows), params["threshold"], rules={}, **windows)
     upper = with_block_ttl(upper, policy).withColumn(
         "base", (rep + event_points(F.col("event"))).cast("int")

@@ -61,6 +61,20 @@ def running_sums(
     )
 
 
+def running_min(
+    df: DataFrame, order: str, values: dict[str, Column], by: tuple[str, ...] = (), ties: tuple[str, ...] = (), width: int = WIDTH,
+) -> DataFrame:
+    """Add inclusive running minima over ``order`` (then ``ties``), per ``by`` key."""
+    keys = [*by, "__bucket"]
+    rows = _bucketed(df, order, width)
+    totals = rows.groupBy(*keys).agg(*[F.min(c).alias(f"__t_{n}") for n, c in values.items()])
+    earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, *[F.min(f"__t_{n}").over(earlier).alias(f"__c_{n}") for n in values])
+    inside = Window.partitionBy(*keys).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.select("*", *[F.min(c).over(inside).alias(f"__l_{n}") for n, c in values.items()])
+    return _attach(local, carried, keys).select(*df.columns, *[F.least(f"__l_{n}", f"__c_{n}").alias(n) for n in values])
+
+
 def with_ordinal(
     df: DataFrame, order: str, out: str = "ordinal", by: tuple[str, ...] = (), width: int = WIDTH,
     ties: tuple[str, ...] = (),

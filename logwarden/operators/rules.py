@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +15,9 @@ from ..fixed_values import (
     FREQUENCY_WINDOW_S,
 )
 from ..functions.text import lookup
-from .ordering import running_sums
+from ..session import cut_lineage
+from .greedy import CHUNK, next_at_least, path
+from .ordering import running_sums, with_ordinal
 
 SLICE_WINDOWS = 8
 
@@ -164,90 +161,10 @@ def score_rules(
 
 
 # --- cooldown -------------------------------------------------------------------------------------
-# Selecting alerts greedily is a recurrence: a candidate alerts if the last alert of its group is at
-# least one cooldown old. A group is cut into time chunks. What a chunk does depends only on the
-# moment from which alerts are allowed again, and all those moments lie in its first cooldown. So
-# every chunk first tabulates (entry candidate -> exit moment) on its own, a short pass chains the
-# tables of a group, and then every chunk selects on its own.
-
-CHUNK_COOLDOWNS = 256
-
-
-def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
-    """Batches of a sorted partition cut at group borders: (rows, bounds of the groups in them)."""
-    held: pd.DataFrame | None = None
-    for batch in batches:
-        if batch.empty:
-            continue
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        change = np.zeros(len(rows), bool)
-        change[0] = True
-        for k in keys:
-            values = rows[k].to_numpy()
-            change[1:] |= values[1:] != values[:-1]
-        bounds = np.flatnonzero(change).tolist()
-        # The last group may go on in the next batch.
-        last = bounds.pop()
-        held = rows.iloc[last:].reset_index(drop=True)
-        if bounds:
-            yield rows.iloc[:last], [*bounds, last]
-    if held is not None:
-        yield held, [0, len(held)]
-
-
-def _chunk_tables(cooldown: int, chunk_ms: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, bounds in _whole_groups(batches, ["grp", "chunk"]):
-            groups, chunks = rows["grp"].to_numpy(), rows["chunk"].to_numpy()
-            every = rows["ms"].to_numpy()
-            out = []
-            for a, b in zip(bounds, bounds[1:]):
-                ms = every[a:b].tolist()
-                n = len(ms)
-                # Going back through the chunk, ``ahead`` is the first candidate a cooldown later.
-                exits, ahead = [0] * n, n
-                for i in range(n - 1, -1, -1):
-                    while ahead > i + 1 and ms[ahead - 1] >= ms[i] + cooldown:
-                        ahead -= 1
-                    exits[i] = exits[ahead] if ahead < n else ms[i] + cooldown
-                # Any entry moment falls into the first cooldown of the chunk, or before it.
-                border = int(chunks[a]) * chunk_ms + cooldown
-                entries = min(n, int(np.searchsorted(every[a:b], border, "right")) + 1)
-                out.append((groups[a], chunks[a], ms[:entries], exits[:entries]))
-            yield pd.DataFrame(out, columns=["grp", "chunk", "entry", "free_at"])
-
-    return run
-
+# Selecting alerts greedily is a path: from an alert to the first candidate of its group that is a
+# cooldown later. All these links come from one search, the path from doubled jumps.
 
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    group, free_at = None, None
-    for batch in batches:
-        out = []
-        for grp, chunk, entry, exits in zip(batch["grp"], batch["chunk"], batch["entry"], batch["free_at"]):
-            if grp != group:
-                group, free_at = grp, -(1 << 62)
-            out.append((grp, chunk, free_at))
-            at = bisect_left(entry, free_at)
-            if at < len(entry):
-                free_at = int(exits[at])
-        yield pd.DataFrame(out, columns=["grp", "chunk", "free_at"])
-
-
-def _select(cooldown: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, chunk, free_at = None, None, None
-        for batch in batches:
-            picked = []
-            columns = (batch[c].tolist() for c in ("grp", "chunk", "ms", "free_at"))
-            for i, (grp, part, ms, entry) in enumerate(zip(*columns)):
-                if part != chunk or grp != group:
-                    group, chunk, free_at = grp, part, entry
-                if ms >= free_at:
-                    picked.append(i)
-                    free_at = ms + cooldown
-            yield batch.iloc[picked][["grp", "ms", "seq"]]
-
-    return run
+CHUNK_COOLDOWNS = 256  # cooldowns in a bucket of the search
 
 
 def apply_cooldown(
@@ -259,10 +176,12 @@ def apply_cooldown(
     resets: DataFrame | None = None,
     actor: str = "ip",
     chunk_cooldowns: int = CHUNK_COOLDOWNS,
+    chunk_rows: int = CHUNK,
 ) -> DataFrame:
     """The candidates that become alerts: one per group and cooldown, first come first.
 
-    ``resets`` (actor, ``ts``) forget an address's earlier alerts from that moment on.
+    ``resets`` (actor, ``ts``) forget an address's earlier alerts from that moment on. A group may hold any share of the
+    rows: searches run in buckets of ``chunk_cooldowns`` cooldowns, paths in chunks of ``chunk_rows`` candidates.
     """
     cooldown = seconds * 1000
     if cooldown <= 0:
@@ -281,26 +200,12 @@ def apply_cooldown(
         rows = candidates.join(epochs, seq)
         group = F.to_json(F.struct(*[F.col(k) for k in keys], F.col("__epoch")))
     # Only the first candidate of a millisecond can be chosen, so one row per (group, ms) is enough.
-    firsts = (
-        rows.groupBy(group.alias("grp"), F.col(ts).alias("ms"))
-        .agg(F.min(seq).alias("seq"))
-        .withColumn("chunk", F.floor(F.col("ms") / F.lit(chunk_ms)).cast("long"))
-    )
-    sorted_chunks = firsts.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "ms")
-    tables = sorted_chunks.mapInPandas(
-        _chunk_tables(cooldown, chunk_ms),
-        "grp string, chunk long, entry array<long>, free_at array<long>",
-    )
-    entry = tables.repartition("grp").sortWithinPartitions("grp", "chunk").mapInPandas(
-        _chain, "grp string, chunk long, free_at long"
-    )
-    chosen = (
-        firsts.join(entry, ["grp", "chunk"])
-        .repartition("grp", "chunk")
-        .sortWithinPartitions("grp", "chunk", "ms")
-        .mapInPandas(_select(cooldown), "grp string, ms long, seq long")
-        .select(F.col("seq").alias("__seq"))
-    )
+    firsts = rows.groupBy(group.alias("grp"), F.col(ts).alias("ms")).agg(F.min(seq).alias("seq"))
+    firsts = cut_lineage(with_ordinal(firsts, "ms", "i", by=("grp",), width=chunk_ms))
+    points = firsts.select("grp", "i", F.col("ms").alias("key"))
+    free = firsts.select("grp", "i", (F.col("ms") + cooldown).alias("key"))
+    links = next_at_least(points, free, width=chunk_ms)
+    chosen = firsts.join(path(links, chunk_rows), ["grp", "i"]).select(F.col("seq").alias("__seq"))
     return candidates.join(chosen, F.col(seq) == F.col("__seq"), "left_semi")
 
 

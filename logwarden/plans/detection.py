@@ -129,6 +129,46 @@ def cooldown_counterfactual(spark: SparkSession, sf: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
+# Half of all rows on one address: what one busy source does to a log.
+HOT_IP = "45.0.0.1"
+HOT_COOLDOWN_SQL = CANDIDATES_SQL + f""",
+hot AS (
+  SELECT CASE WHEN user_id % 2 = 0 THEN '{HOT_IP}' ELSE ip END AS ip, event, id, ingested_ts_ms AS ms, 0 AS epoch FROM cand
+)"""
+RESET_SQL = CANDIDATES_SQL + """,
+hot AS (
+  SELECT ip, event, id, ingested_ts_ms AS ms, (ingested_ts_ms >= 1704844800000)::INT + (ingested_ts_ms >= 1705708800000)::INT AS epoch FROM cand
+)"""
+GREEDY_SQL = f""",
+sel(ip, event, epoch, id, ms) AS (
+  SELECT ip, event, epoch, arg_min(id, (ms, id)), min(ms) FROM hot GROUP BY ip, event, epoch
+  UNION ALL
+  SELECT s.ip, s.event, s.epoch, n.id, n.ms FROM sel s,
+    LATERAL (SELECT arg_min(c.id, (c.ms, c.id)) AS id, min(c.ms) AS ms FROM hot c
+             WHERE c.ip = s.ip AND c.event = s.event AND c.epoch = s.epoch AND c.ms >= s.ms + {COOLDOWN_S * 1000}) n
+  WHERE n.id IS NOT NULL
+)"""
+
+
+def hot_address(df: DataFrame) -> DataFrame:
+    return df.withColumn("ip", F.when(F.col("user_id") % 2 == 0, HOT_IP).otherwise(F.col("ip")))
+
+
+@query("cooldown_hot_address", sql(HOT_COOLDOWN_SQL + GREEDY_SQL, "SELECT ip, event, id, ms AS ingested_ts_ms FROM sel"))
+def cooldown_hot_address(spark: SparkSession, sf: str) -> DataFrame:
+    """Cooldown where one address has half of the candidates, spread over chunks of 1,000 rows."""
+    chosen = apply_cooldown(hot_address(candidates(spark, sf)), COOLDOWN_S, chunk_rows=1000)
+    return chosen.select("ip", "event", "id", "ingested_ts_ms")
+
+
+@query("cooldown_resets", sql(RESET_SQL + GREEDY_SQL, "SELECT ip, event, id, ms AS ingested_ts_ms FROM sel"))
+def cooldown_resets(spark: SparkSession, sf: str) -> DataFrame:
+    """Cooldown that manual unblocks of every address at two midnights reset."""
+    every = candidates(spark, sf)
+    resets = every.select("ip").distinct().select("ip", F.explode(F.array(*[F.lit(d) for d in UNBLOCK_DAYS])).alias("ingested_ts_ms"))
+    return apply_cooldown(every, COOLDOWN_S, resets=resets).select("ip", "event", "id", "ingested_ts_ms")
+
+
 def test_policy(spark: SparkSession) -> DataFrame:
     """The fixed policy with every block lengthened to the test data's time scale."""
     return policy_table(
@@ -152,13 +192,13 @@ def looped(spark: SparkSession, sf: str) -> DataFrame:
 
 # One step per event of an address, all addresses side by side: kept and failed hold the times of
 # counted rows, last the latest alert per event, until the block's expiry.
-def loop_sql(unblocks: str = "") -> str:
-    return EVENTS_SQL + f""",
+def loop_sql(unblocks: str = "", source: str = "ev", ctes: str = "", window_s: int = WINDOW_S) -> str:
+    return EVENTS_SQL + ctes + f""",
 ord AS (
   SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ms, id) AS rn FROM (
     SELECT id, ip, event, ingested_ts_ms AS ms, rep_hundredths,
       CASE WHEN event = 'suspicious_ip' THEN 35 ELSE 0 END AS weight
-    FROM ev {unblocks})
+    FROM {source} {unblocks})
 ),
 step AS (
   SELECT ip, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, false AS dropped, false AS alerted,
@@ -185,11 +225,11 @@ step AS (
           SELECT o.ip, o.rn, o.id, o.event, o.ms, o.rep_hundredths, o.weight, s.last, s.until,
             s.until > o.ms AND o.event <> 'unblock' AS dropped,
             CASE WHEN s.until > o.ms OR o.event = 'unblock' THEN s.kept
-              ELSE list_append(list_filter(s.kept, lambda x: x > o.ms - {WINDOW_S * 1000}), o.ms) END AS kept,
+              ELSE list_append(list_filter(s.kept, lambda x: x > o.ms - {window_s * 1000}), o.ms) END AS kept,
             CASE WHEN s.until > o.ms OR o.event = 'unblock' THEN s.failed
               WHEN o.event = 'failed_login'
-                THEN list_append(list_filter(s.failed, lambda x: x > o.ms - {WINDOW_S * 1000}), o.ms)
-              ELSE list_filter(s.failed, lambda x: x > o.ms - {WINDOW_S * 1000}) END AS failed
+                THEN list_append(list_filter(s.failed, lambda x: x > o.ms - {window_s * 1000}), o.ms)
+              ELSE list_filter(s.failed, lambda x: x > o.ms - {window_s * 1000}) END AS failed
           FROM step s JOIN ord o ON o.ip = s.ip AND o.rn = s.rn + 1
         )
       )
@@ -250,6 +290,29 @@ def closed_loop_unblock(spark: SparkSession, sf: str) -> DataFrame:
     return result.select("id", "ip", "dropped", "alerted", "score_hundredths")
 
 
+HOT_WINDOW_S = 24 * 3600  # shorter than a block, so that the loop is a path of blocks
+HOT_LOOP_SQL = loop_sql(
+    source="hot", window_s=HOT_WINDOW_S,
+    ctes=f""",
+hot AS (SELECT * REPLACE (CASE WHEN user_id % 2 = 0 THEN '{HOT_IP}' ELSE ip END AS ip) FROM ev)""",
+)
+
+
+@query(
+    "closed_loop_hot_address",
+    sql(
+        HOT_LOOP_SQL,
+        "SELECT id, ip, dropped, alerted, failed_n AS failed_attempts_count, freq_n AS request_frequency, "
+        "CAST(score AS INTEGER) AS score_hundredths FROM step WHERE rn > 0",
+    ),
+)
+def closed_loop_hot_address(spark: SparkSession, sf: str) -> DataFrame:
+    """The loop where one address sends half of the rows and every block outlasts the windows."""
+    params = LOOP_PARAMS | {"failed_seconds": HOT_WINDOW_S, "frequency_seconds": HOT_WINDOW_S}
+    result = closed_loop(hot_address(actor_events(spark, sf)), test_policy(spark), params=params)
+    return result.select("id", "ip", "dropped", "alerted", "failed_attempts_count", "request_frequency", "score_hundredths")
+
+
 PROFILE_SQL = SCORED_SQL + """,
 feat AS (
   SELECT id, ip, event, failed_attempts_count, request_frequency, rep_hundredths / 100.0::DOUBLE AS rep,

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logwarden.operators import loop, response, rules
+from logwarden.operators import loop, loop_paths, response, rules
 
 
 def random_events(seed, n=600, actors=4, span_ms=400_000, hot=True):
@@ -141,6 +141,19 @@ def test_loop_matches_sequential_replay(spark, seed, wave_rows, span_ms):
     assert result == want
 
 
+@pytest.mark.parametrize("seed, chunk_rows, span_ms", [(13, 1 << 16, 700_000), (14, 5, 3_000_000), (15, 40, 9_000_000)])
+def test_loop_paths_match_sequential_replay(spark, monkeypatch, seed, chunk_rows, span_ms):
+    rows = [(i, ip if i % 2 else "9.9.9.0", ms, e, rep) for i, ip, ms, e, rep in random_events(seed, n=900, span_ms=span_ms)]
+    ttls = {"brute_force": 90, "suspicious_ip": 60}
+    steps = {e: [("block_ip", True, ttl, "r", None)] for e, ttl in ttls.items()}
+    policy = response.policy_table(spark, [("b", e, "P1", s) for e, s in steps.items()] + [("d", "*", "P3", [("notify", False, None, None, "x")])])
+    monkeypatch.setattr(loop_paths.closed_loop_by_paths, "__defaults__", (chunk_rows,))
+    got = loop.closed_loop(spark.createDataFrame(rows, SCHEMA).repartition(3), policy)
+    result = {r.id: (r.dropped, r.alerted, r.failed_attempts_count, r.request_frequency, r.score_hundredths) for r in got.collect()}
+    assert result == sequential(rows, ttls)
+    assert any(r[0] for r in result.values()) and any(r[1] for r in result.values())
+
+
 def test_eleven_brute_force_events(spark):
     rows = [(i, "203.0.113.5", i, "brute_force", 0) for i in range(11)] + [(99, "198.51.100.1", 50, "normal_traffic", 0)]
     got = loop.closed_loop(spark.createDataFrame(rows, SCHEMA), response.policy_table(spark)).cache()
