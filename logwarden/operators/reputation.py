@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.net import canonical_ip, ip_scope, ip_to_long, settled
+from .sweep import covered
 
 EDGE_BITS = 24
-JOIN_BITS = 16
 
 
 def merge_ranges(df: DataFrame, lo: str = "lo", hi: str = "hi", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -46,18 +46,14 @@ def exact_hits(addresses: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def range_hits(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(ip_int, feed) for addresses inside a disjoint range.
+    """(ip_int, feed) for the distinct addresses inside a range; ranges may overlap.
 
-    Both sides are binned by /16, so this is an equi-join with a residual test. A range is repeated
-    once per /16 it covers (65 536 times at most, for 0.0.0.0/0).
+    Addresses and ranges are swept together, once per feed (there are as many as the feed table has rows).
     """
-    binned = ranges.select(
-        "feed", "lo", "hi",
-        F.explode(F.sequence(F.shiftright("lo", JOIN_BITS), F.shiftright("hi", JOIN_BITS))).alias("bin"),
-    )
-    probe = addresses.select("ip_int", F.shiftright("ip_int", JOIN_BITS).alias("bin"))
-    joined = probe.join(binned, "bin").where(F.col("ip_int").between(F.col("lo"), F.col("hi")))
-    return joined.select("ip_int", "feed")
+    feeds = ranges.agg(F.collect_set("feed").alias("feeds")).scalar()
+    points = addresses.select("ip_int").distinct().select(F.explode(feeds).alias("grp"), F.col("ip_int").alias("at"), F.lit(0).cast("long").alias("seq"))
+    starts = ranges.select(F.col("feed").alias("grp"), F.col("lo").alias("at"), F.lit(0).cast("long").alias("seq"), F.col("hi").alias("end"))
+    return covered(points, starts, inclusive=True).select(F.col("at").alias("ip_int"), F.col("grp").alias("feed"))
 
 
 def classify_addresses(addresses: DataFrame, exact: DataFrame, ranges: DataFrame, status: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import DEFAULT_TTL_S, PLAYBOOKS, REVIEW_EDGES
 from ..functions.text import fill_template
 from .ordering import carry_last, top_per_key
+from .sweep import covered
 
 POLICY_SCHEMA = (
     "name string, trigger string, priority string, steps array<struct<action: string, "
@@ -140,43 +141,23 @@ def build_blocklist(blocks: DataFrame) -> DataFrame:
     ).select("ip", "last.reason", "last.alert_id", "created_ms", "expires_ms")
 
 
-def _binned_blocks(blocks: DataFrame, bin_ms: int) -> DataFrame:
-    first = F.floor(F.col("start_ms") / F.lit(bin_ms)).cast("long")
-    last = F.floor((F.col("expires_ms") - 1) / F.lit(bin_ms)).cast("long")
-    return blocks.where("expires_ms > start_ms").withColumn("__bin", F.explode(F.sequence(first, last)))
+def blocked_rows(events: DataFrame, blocks: DataFrame, ts: str = "ingested_ts_ms", seq: str = "id") -> DataFrame:
+    """(id, ip, ts_ms) of the events that arrive while a block of their address runs, each once, by one sweep over both."""
+    points = events.select(F.col("ip").alias("grp"), F.col(ts).alias("at"), F.col(seq).alias("seq"))
+    # an event follows the alert that blocks it, so the block starts after the alert's own place
+    starts = blocks.select(F.col("ip").alias("grp"), F.col("start_ms").alias("at"), (F.col("alert_id") + 1).alias("seq"), F.col("expires_ms").alias("end"))
+    return covered(points, starts).select(F.col("seq").alias("id"), F.col("grp").alias("ip"), F.col("at").alias("ts_ms"))
 
 
-def match_blocks(
-    events: DataFrame, blocks: DataFrame, ts: str = "ingested_ts_ms", seq: str = "id", bin_ms: int = 3_600_000
-) -> DataFrame:
-    """(event id, ip, ts, block start, expiry, alert) for events that arrive while a block runs.
-
-    Joined on (ip, time bin), so a hot address is spread over its bins. An event of the block's own
-    millisecond is hit only if it arrived after the alert.
-    """
-    probe = events.select(
-        F.col(seq).alias("id"), "ip", F.col(ts).alias("ts_ms"),
-        F.floor(F.col(ts) / F.lit(bin_ms)).cast("long").alias("__bin"),
-    )
-    joined = probe.join(_binned_blocks(blocks, bin_ms), ["ip", "__bin"])
-    after = (F.col("ts_ms") > F.col("start_ms")) | (
-        (F.col("ts_ms") == F.col("start_ms")) & (F.col("id") > F.col("alert_id"))
-    )
-    return joined.where(after & (F.col("ts_ms") < F.col("expires_ms"))).drop("__bin")
-
-
-def mark_blocked(events: DataFrame, blocks: DataFrame, **options) -> DataFrame:
+def mark_blocked(events: DataFrame, blocks: DataFrame, ts: str = "ingested_ts_ms", seq: str = "id") -> DataFrame:
     """Add ``blocked``."""
-    hit = match_blocks(events, blocks, **options).select("id").distinct().withColumn("__hit", F.lit(True))
-    return events.join(hit, "id", "left").withColumn(
-        "blocked", F.coalesce("__hit", F.lit(False))
-    ).drop("__hit")
+    hit = blocked_rows(events, blocks, ts, seq).select(F.col("id").alias("__id"), F.lit(True).alias("__hit"))
+    return events.join(hit, F.col(seq) == F.col("__id"), "left").withColumn("blocked", F.coalesce("__hit", F.lit(False))).drop("__hit", "__id")
 
 
-def block_hits(events: DataFrame, blocks: DataFrame, **options) -> DataFrame:
+def block_hits(events: DataFrame, blocks: DataFrame, ts: str = "ingested_ts_ms", seq: str = "id") -> DataFrame:
     """Per address: dropped events and the time of the last one."""
-    once = match_blocks(events, blocks, **options).select("ip", "id", "ts_ms").distinct()
-    return once.groupBy("ip").agg(F.count("*").alias("hits"), F.max("ts_ms").alias("last_hit_ms"))
+    return blocked_rows(events, blocks, ts, seq).groupBy("ip").agg(F.count("*").alias("hits"), F.max("ts_ms").alias("last_hit_ms"))
 
 
 def blocklist_view(blocklist: DataFrame, as_of_ms: int, include_expired: bool = False, limit: int = 100) -> DataFrame:

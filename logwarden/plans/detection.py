@@ -18,6 +18,7 @@ from .testdata import (
     COOLDOWN_S,
     COOLDOWN_SQL,
     EVENTS_SQL,
+    HOT_IP,
     SCORED_SQL,
     WINDOW_S,
     WINDOWS_SQL,
@@ -25,6 +26,7 @@ from .testdata import (
     actor_events_of,
     alerts,
     candidates,
+    hot_address,
     scored_events,
     sql,
     table,
@@ -129,8 +131,6 @@ def cooldown_counterfactual(spark: SparkSession, sf: str) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
-# Half of all rows on one address: what one busy source does to a log.
-HOT_IP = "45.0.0.1"
 HOT_COOLDOWN_SQL = CANDIDATES_SQL + f""",
 hot AS (
   SELECT CASE WHEN user_id % 2 = 0 THEN '{HOT_IP}' ELSE ip END AS ip, event, id, ingested_ts_ms AS ms, 0 AS epoch FROM cand
@@ -150,10 +150,6 @@ sel(ip, event, epoch, id, ms) AS (
 )"""
 
 
-def hot_address(df: DataFrame) -> DataFrame:
-    return df.withColumn("ip", F.when(F.col("user_id") % 2 == 0, HOT_IP).otherwise(F.col("ip")))
-
-
 @query("cooldown_hot_address", sql(HOT_COOLDOWN_SQL + GREEDY_SQL, "SELECT ip, event, id, ms AS ingested_ts_ms FROM sel"))
 def cooldown_hot_address(spark: SparkSession, sf: str) -> DataFrame:
     """Cooldown where one address has half of the candidates, spread over chunks of 1,000 rows."""

@@ -170,6 +170,27 @@ def cidr_range_join(spark: SparkSession, sf: str) -> DataFrame:
     return rep.range_hits(address_ints(spark, sf).select("ip_int"), cidr_ranges(spark, sf))
 
 
+# Half of the addresses lie in one /16, with the others' ranges and some of its own.
+DENSE_BASE = 45 * (1 << 24)
+DENSE_SQL = ADDRESS_SQL + f""",
+dense AS (SELECT DISTINCT CASE WHEN ip_int % 2 = 0 THEN {DENSE_BASE} + ip_int * 37 % 65536 ELSE ip_int END AS ip_int FROM addr),
+own AS (SELECT 'dense' AS feed, {DENSE_BASE} + p_partkey * 8 % 65536 AS lo, {DENSE_BASE} + p_partkey * 8 % 65536 + p_size AS hi FROM part)"""
+
+
+@query(
+    "cidr_dense_range_join",
+    f"""WITH {DENSE_SQL}, {CIDR_SQL} SELECT DISTINCT a.ip_int, r.feed FROM dense a
+        JOIN (SELECT feed, lo, hi FROM ranges UNION ALL SELECT * FROM own) r ON a.ip_int BETWEEN r.lo AND r.hi""",
+)
+def cidr_dense_range_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the addresses in one /16, whose ranges overlap each other."""
+    ip = F.col("ip_int")
+    dense = address_ints(spark, sf).select(F.when(ip % 2 == 0, ip * 37 % 65536 + DENSE_BASE).otherwise(ip).alias("ip_int"))
+    lo = F.col("p_partkey") * 8 % 65536 + DENSE_BASE
+    own = table(spark, sf, "part").select(F.lit("dense").alias("feed"), lo.alias("lo"), (lo + F.col("p_size")).alias("hi"))
+    return rep.range_hits(dense, cidr_ranges(spark, sf).select("feed", "lo", "hi").unionByName(own))
+
+
 @query(
     "reputation_verdict",
     f"""WITH {ADDRESS_SQL}, {FLOOR_SQL},

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import response
 from ..operators.ordering import with_ordinal
 from .catalog import query
-from .testdata import ALERTS_SQL, BLOCK_TTL_S, actor_events, alerts, sql, table
+from .testdata import ALERTS_SQL, BLOCK_TTL_S, HOT_IP, actor_events, alerts, hot_address, sql, table
 
 # Orders stand for alerts of every event type; seven types, the last without a playbook.
 ALERT_TYPES = (
@@ -234,13 +234,34 @@ def intervals(spark: SparkSession, sf: str) -> DataFrame:
 @query("blocked_interval_join", sql(INTERVAL_SQL, "SELECT id, ip, id IN (SELECT id FROM hit) AS blocked FROM ev"))
 def blocked_interval_join(spark: SparkSession, sf: str) -> DataFrame:
     events = actor_events(spark, sf).select("id", "ip", "ingested_ts_ms")
-    return response.mark_blocked(events, intervals(spark, sf), bin_ms=BLOCK_TTL_S * 1000).select("id", "ip", "blocked")
+    return response.mark_blocked(events, intervals(spark, sf)).select("id", "ip", "blocked")
+
+
+HOT_INTERVAL_SQL = INTERVAL_SQL + f""",
+hot_ev AS (SELECT id, CASE WHEN user_id % 2 = 0 THEN '{HOT_IP}' ELSE ip END AS ip, ingested_ts_ms AS ms FROM ev),
+hot_iv AS (SELECT CASE WHEN user_id % 2 = 0 THEN '{HOT_IP}' ELSE ip END AS ip, iv.alert_id, start_ms, expires_ms FROM iv JOIN (SELECT id, user_id FROM ev) e ON e.id = iv.alert_id)"""
+
+
+@query(
+    "blocked_hot_address",
+    sql(
+        HOT_INTERVAL_SQL,
+        """SELECT id, ip, EXISTS (SELECT 1 FROM hot_iv b WHERE b.ip = e.ip AND (ms > start_ms OR ms = start_ms AND id > alert_id) AND ms < expires_ms) AS blocked
+           FROM hot_ev e""",
+    ),
+)
+def blocked_hot_address(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the events and of the blocks, which overlap, on one address."""
+    events = hot_address(actor_events(spark, sf).select("id", "ip", "user_id", "ingested_ts_ms"))
+    owners = events.select(F.col("id").alias("alert_id"), F.col("ip").alias("new_ip"))
+    blocks = intervals(spark, sf).join(owners, "alert_id").select(F.col("new_ip").alias("ip"), "alert_id", "start_ms", "expires_ms")
+    return response.mark_blocked(events, blocks).select("id", "ip", "blocked")
 
 
 @query("block_hits", sql(INTERVAL_SQL, "SELECT ip, count(*) AS hits, max(ts_ms) AS last_hit_ms FROM hit GROUP BY ip"))
 def block_hits(spark: SparkSession, sf: str) -> DataFrame:
     events = actor_events(spark, sf).select("id", "ip", "ingested_ts_ms")
-    return response.block_hits(events, intervals(spark, sf), bin_ms=BLOCK_TTL_S * 1000)
+    return response.block_hits(events, intervals(spark, sf))
 
 
 # --- review: conversation turns as requests ---------------------------------------------------------

@@ -19,6 +19,7 @@ BLOCK_TTL_S = 48 * 3600
 AS_OF_MS = 1_706_659_200_000  # 2024-01-31T00:00:00Z, just after the last event
 ACTOR_BASE = 754_974_721  # 45.0.0.1
 ACTOR_STEP = 4099
+HOT_IP = "45.0.0.1"  # half of all rows on one address: what one busy source does to a log
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -57,6 +58,10 @@ def actor_events(spark: SparkSession, sf: str) -> DataFrame:
     return actor_events_of(table(spark, sf, "events"))
 
 
+def hot_address(df: DataFrame) -> DataFrame:
+    return df.withColumn("ip", F.when(F.col("user_id") % 2 == 0, HOT_IP).otherwise(F.col("ip")))
+
+
 def actor_events_of(e: DataFrame) -> DataFrame:
     event = F
     for raw, name in EVENT_NAMES.items():
