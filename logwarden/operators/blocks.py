@@ -41,15 +41,17 @@ def vocabulary(counts: DataFrame) -> DataFrame:
 def to_vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """(block_id, entries, features): sparse map, and ML vector with one place per vocabulary column.
 
-    The vocabulary's size, one number, is read first; every template has its column.
+    ``counts`` should be written already: its vocabulary's size, one number, is read first.
     """
     width = vocab.count()
-    entries = counts.join(vocab, "template_id").groupBy("block_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", F.col("n").cast("double"))))).alias("entries")
-    )
-    columns = F.sequence(F.lit(0), F.lit(width - 1)) if width else F.array().cast("array<int>")
-    dense = F.transform(columns, lambda i: F.coalesce(F.try_element_at("entries", i), F.lit(0.0)))
-    return entries.withColumn("features", array_to_vector(dense))
+    cells = F.array_sort(F.collect_list(F.struct("column", F.col("n").cast("double").alias("n"))))
+    entries = counts.join(vocab, "template_id").groupBy("block_id").agg(cells.alias("cells"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), F.greatest(n, F.lit(0)))
+    # the filled places in order, each after the gap before it
+    gap = lambda c, i: c.column - F.when(i == 0, 0).otherwise(F.get(F.col("cells"), i - 1)["column"] + 1)
+    filled = F.flatten(F.transform("cells", lambda c, i: F.concat(zeros(gap(c, i)), F.array(c.n))))
+    dense = F.concat(filled, zeros(F.lit(width) - F.element_at("cells", -1)["column"] - 1))
+    return entries.select("block_id", F.map_from_entries("cells").alias("entries"), array_to_vector(dense).alias("features"))
 
 
 def labelled(vectors: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,13 +25,14 @@ def with_mask(lines: DataFrame, content: str = "content") -> DataFrame:
 
 def distinct_masked(lines: DataFrame, content: str = "content", position: str = "position") -> DataFrame:
     """Distinct masked contents with their count and first position; the pre-aggregation of mining."""
-    return (
-        settled(lines.select(F.col(content).alias("__c"), F.col(position).alias("pos")), "masked", mask(F.col("__c")))
-        .groupBy("masked")
-        .agg(F.min("pos").alias("first_pos"), F.count("*").alias("lines"))
-        .withColumn("tokens", tokens(F.col("masked")))
-        .withColumn("n_tokens", F.size("tokens"))
-    )
+    masked = settled(lines.select(F.col(content).alias("__c"), F.col(position).alias("pos")), "masked", mask(F.col("__c")))
+    return shapes_of(masked, "pos")
+
+
+def shapes_of(masked: DataFrame, position: str = "position") -> DataFrame:
+    """Distinct ``masked`` with their count and first position, in tokens."""
+    counted = masked.groupBy("masked").agg(F.min(position).alias("first_pos"), F.count("*").alias("lines"))
+    return counted.withColumn("tokens", tokens(F.col("masked"))).withColumn("n_tokens", F.size("tokens"))
 
 
 def _leaf_key(first: Column) -> Column:
@@ -147,7 +148,14 @@ def mine_templates(
     last one meets templates only. Where templates are well apart the result is that of one pass.
     """
     # The log is read and masked once; the distinct shapes are used by several stages.
-    leaves = with_leaf(cut_lineage(distinct_masked(lines, content, position)), max_children, prefix)
+    return mine_shapes(cut_lineage(distinct_masked(lines, content, position)), similarity, max_children, prefix, digits)
+
+
+def mine_shapes(
+    shapes: DataFrame, similarity: float = TEMPLATE_SIMILARITY, max_children: int = TEMPLATE_MAX_CHILDREN, prefix: int = 1, digits: int = 0
+) -> DataFrame:
+    """``mine_templates`` of distinct shapes that are written already."""
+    leaves = with_leaf(shapes, max_children, prefix)
     schema = "n_tokens int, leaf string, part string, tokens array<string>, first_pos long, lines long"
     found = leaves.withColumn("part", F.md5(F.array_join("tokens", " ")))
     for kept in range(digits, -1, -1):

@@ -235,16 +235,21 @@ vec AS (SELECT block_id, string_agg(col || ':' || n, ',' ORDER BY col) AS vec FR
 mat AS (SELECT block_id, vec, label FROM vec JOIN lab USING (block_id))"""
 
 
-def counts_and_vocab(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = block_rows(spark, sf)
-    contents = blk.with_blocks(block_log(spark, sf)).select("position", "content")
-    matched = tpl.match_templates(rows, tpl.mine_templates(contents))
-    counts = blk.block_counts(matched)
-    return matched, counts, blk.vocabulary(counts)
+def matched_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """(position, blocks, template_id) of every line; the log is rendered, cut and masked once."""
+    masked = cut_lineage(tpl.with_mask(blk.with_blocks(block_log(spark, sf))).select("position", "blocks", "masked"))
+    shapes = cut_lineage(tpl.shapes_of(masked))
+    return masked.join(tpl.match_masked(shapes, tpl.mine_shapes(shapes)), "masked").select("position", "blocks", "template_id")
+
+
+def counts_and_vocab(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = matched_blocks(spark, sf).select("template_id", F.explode("blocks").alias("block_id"))
+    counts = cut_lineage(blk.block_counts(rows))
+    return counts, blk.vocabulary(counts)
 
 
 def matrix(spark: SparkSession, sf: str) -> DataFrame:
-    _, counts, vocab = counts_and_vocab(spark, sf)
+    counts, vocab = counts_and_vocab(spark, sf)
     return blk.labelled(blk.to_vectors(counts, vocab), block_labels(spark, sf))
 
 
@@ -274,7 +279,7 @@ def block_matrix(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def matrix_stats(spark: SparkSession, sf: str) -> DataFrame:
-    _, counts, vocab = counts_and_vocab(spark, sf)
+    counts, vocab = counts_and_vocab(spark, sf)
     labelled = counts.select("block_id").distinct().join(block_labels(spark, sf), "block_id")
     return blk.matrix_stats(blk.with_blocks(block_log(spark, sf)), labelled, vocab)
 
@@ -415,11 +420,12 @@ live AS (SELECT position, block_id, lines, round(1 / (1 + exp(-margin)), 4) AS p
 
 def live_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(lines with model columns, vocabulary)."""
-    lines = blk.with_blocks(block_log(spark, sf))
-    templates = tpl.mine_templates(lines.select("position", "content"))
-    matched = tpl.match_templates(lines, templates.where("template_id % 5 <> 4"))
-    known = matched.where("template_id % 5 <> 3").select("template_id", F.explode("blocks").alias("block_id"))
-    vocab = blk.vocabulary(known)
+    lines = cut_lineage(tpl.with_mask(blk.with_blocks(block_log(spark, sf))).select("position", "blocks", "masked"))
+    shapes = cut_lineage(tpl.shapes_of(lines))
+    known = tpl.match_masked(shapes, tpl.mine_shapes(shapes).where("template_id % 5 <> 4"))
+    matched = lines.join(known, "masked")
+    used = matched.where("template_id % 5 <> 3").select("template_id", F.explode("blocks").alias("block_id"))
+    vocab = cut_lineage(blk.vocabulary(used))
     return blk.with_model_column(matched, vocab), vocab
 
 

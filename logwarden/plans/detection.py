@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import PLAYBOOKS
@@ -423,23 +423,64 @@ def set_digest(spark: SparkSession, sf: str) -> DataFrame:
 def closed_loop_stream_query(spark: SparkSession, sf: str) -> DataFrame:
     """The event table arriving in three parts: the stream is stopped and restarted between them, so that windows,
     cooldowns and blocks that span two parts live in saved state only."""
+    return spark.read.parquet(f"{_run_loop_stream(spark, sf)}-rows").select(
+        "id", "ip", "dropped", "alerted", "failed_attempts_count", "request_frequency", "score_hundredths"
+    )
+
+
+def _run_loop_stream(spark: SparkSession, sf: str, where: Column | None = None, idle_seconds: int | None = None) -> str:
     from ..streaming.loop_stream import closed_loop_stream
     from ..streaming.sinks import record_batches
     from .parsing import scratch_path
 
     events, out = table(spark, sf, "events"), scratch_path(spark)
+    if where is not None:
+        events = events.where(where)
     at = F.col("ts").cast("timestamp").cast("double")
     first, second = events.select(at.alias("at")).approxQuantile("at", [1 / 3, 2 / 3], 0.01)
     for part in (at <= first, (at > first) & (at <= second), at > second):
         events.where(part).write.mode("append").parquet(f"{out}-in")
         raw = spark.readStream.schema(events.schema).parquet(f"{out}-in")
-        looped_rows = closed_loop_stream(actor_events_of(raw), test_policy(spark), LOOP_PARAMS)
+        looped_rows = closed_loop_stream(actor_events_of(raw), test_policy(spark), LOOP_PARAMS, idle_seconds)
         record_batches(looped_rows, f"{out}-rows", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}-rows").select(
+    return out
+
+
+# Every third actor is silent for the middle of the month, so that its state goes and comes back.
+IDLE_S = WINDOW_S
+SILENT = "user_id % 3 <> 0 OR ts < TIMESTAMP '2024-01-08' OR ts >= TIMESTAMP '2024-01-20' AND user_id % 2 = 0"
+IDLE_LOOP_SQL = loop_sql().replace("FROM events", f"FROM events WHERE {SILENT}", 1)
+
+
+@query(
+    "closed_loop_stream_idle",
+    sql(
+        IDLE_LOOP_SQL,
+        "SELECT id, ip, dropped, alerted, failed_n AS failed_attempts_count, freq_n AS request_frequency, "
+        "CAST(score AS INTEGER) AS score_hundredths FROM step WHERE rn > 0",
+    ),
+)
+def closed_loop_stream_idle(spark: SparkSession, sf: str) -> DataFrame:
+    """The streamed loop with idle expiry: actors whose state went away count afresh when they return."""
+    return spark.read.parquet(f"{_run_loop_stream(spark, sf, F.expr(SILENT), IDLE_S)}-rows").select(
         "id", "ip", "dropped", "alerted", "failed_attempts_count", "request_frequency", "score_hundredths"
     )
 
 
+@query(
+    "idle_actor_state",
+    sql(
+        EVENTS_SQL.replace("FROM events", f"FROM events WHERE {SILENT}"),
+        f"SELECT ip FROM ev GROUP BY ip HAVING max(ts_ms) + {IDLE_S * 1000} + 1 > (SELECT max(ts_ms) FROM ev) - 60000",
+    ),
+)
+def idle_actor_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The actors that the stopped loop still keeps: those that fell silent are gone."""
+    from ..streaming.loop_stream import tracked_addresses
+
+    return tracked_addresses(spark, f"{_run_loop_stream(spark, sf, F.expr(SILENT), IDLE_S)}-state")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Events, windows, rules, alerts in time order."""
     windows = {"failed_seconds": WINDOW_S, "frequency_seconds": WINDOW_S}

@@ -79,7 +79,7 @@ def run_score_stream(spark: SparkSession, sf: str) -> str:
     from .parsing import scratch_path
 
     lines, vocab = live_lines(spark, sf)
-    shapes = tpl.with_mask(lines).select("masked", "column").distinct()
+    shapes = lines.select("masked", "column").distinct()
     out = scratch_path(spark)
     shapes.write.parquet(f"{out}-shapes")
     vocab.select("column", (0.25 * (F.col("column") - 3)).alias("weight")).write.parquet(f"{out}-weights")

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.loop import DEFAULT_PARAMS, EVENT, UNBLOCK, ActorState, fold_rows, with_block_ttl
+from ..operators.loop import DEFAULT_PARAMS, EVENT, UNBLOCK, ActorState, block_ttls, fold_rows, with_block_ttl
 from ..operators.rules import event_points
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -22,17 +22,21 @@ OUTPUT = (
 )
 
 
+STATE = "actor"
+
+
 class LoopProcessor(StatefulProcessor):
     """Rows of an address reach it unordered within a micro-batch, so they are sorted first; batches
     are taken in arrival order. A micro-batch's size is bounded by the source's trigger options."""
 
-    def __init__(self, params: dict, ttl_ms: int | None):
+    def __init__(self, params: dict, idle_ms: int | None):
         self.params = params
-        self.ttl_ms = ttl_ms
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         schema = StructType([StructField("text", StringType(), True)])
-        self.state = handle.getValueState("actor", schema, ttlDurationMs=self.ttl_ms)
+        self.state = handle.getValueState(STATE, schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ms", "id", "kind"], kind="stable")
@@ -44,6 +48,10 @@ class LoopProcessor(StatefulProcessor):
             batch["ttl_s"].to_numpy(),
         )
         self.state.update((actor.dump(int(ms[-1])),))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(ms[-1]) + self.idle_ms + 1)
         out = pd.DataFrame(
             {
                 "ip": batch["ip"].to_numpy(), "id": batch["id"].to_numpy(), "ms": ms,
@@ -54,6 +62,10 @@ class LoopProcessor(StatefulProcessor):
         )
         yield out[batch["kind"].to_numpy() == EVENT]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -64,14 +76,19 @@ def closed_loop_stream(
     params: dict | None = None,
     idle_seconds: int | None = None,
     unblocks: DataFrame | None = None,
+    lateness: str = "1 minute",
 ) -> DataFrame:
     """Streaming twin of ``closed_loop`` for a normalised event stream.
 
-    With ``idle_seconds`` an address's state expires after that much processing time without an
-    event; it must not be less than the longest window, cooldown or block. Expiry makes the query run
-    empty batches, so leave it off under an ``availableNow`` trigger. ``unblocks`` is a stream of
-    (ip, ingested_ts_ms, id).
+    With ``idle_seconds`` an address's state is cleared once the watermark is that far past its last event. It must not be
+    less than the longest window, cooldown or block: then a cleared state held nothing that still counts, and results are
+    the same. Events later than the watermark (``lateness``) are dropped then. ``unblocks`` is a stream of (ip,
+    ingested_ts_ms, id).
     """
+    idle_ms = None if idle_seconds is None else idle_seconds * 1000
+    every = {**DEFAULT_PARAMS, **(params or {})}
+    if idle_seconds is not None and idle_seconds < longest_effect(policy, every):
+        raise ValueError("idle_seconds is less than a window, the cooldown or a block")
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # The stream's state worker does not see files added to the session, so the processor and what it
@@ -90,8 +107,20 @@ def closed_loop_stream(
                 F.lit(None).cast("long").alias("ttl_s"),
             )
         )
-    processor = LoopProcessor({**DEFAULT_PARAMS, **(params or {})}, idle_seconds and idle_seconds * 1000)
+    if idle_ms is not None:
+        rows = rows.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", lateness)
     return rows.groupBy("ip").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Append",
-        timeMode="ProcessingTime" if idle_seconds else "None",
+        statefulProcessor=LoopProcessor(every, idle_ms), outputStructType=OUTPUT, outputMode="Append",
+        timeMode="None" if idle_ms is None else "EventTime",
     )
+
+
+def longest_effect(policy: DataFrame, params: dict) -> int:
+    """Seconds for which an event can still count: the longest window, cooldown or block."""
+    ttl = block_ttls(policy).agg(F.max("ttl_s")).first()[0] or 0
+    return max(ttl, *(params[k] for k in ("failed_seconds", "frequency_seconds", "cooldown_seconds")))
+
+
+def tracked_addresses(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(ip) whose state a stopped stream still keeps, read from its state store."""
+    return spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint).select(F.col("key.ip").alias("ip"))
