@@ -6,34 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import MAD_FACTOR, PROFILE_FEATURES, PROFILE_SCALE_FLOORS, PROFILE_THRESHOLD
+from .quantiles import medians
 
 
 def fit_profile(df: DataFrame, features: tuple[str, ...] = PROFILE_FEATURES, floors: dict | None = None) -> DataFrame:
     """One row: centre (median) and scale (floored MAD) per feature, and the window count.
 
-    Exact medians run on value counts: windows are few distinct numbers, so each pass shuffles
-    distinct values only.
+    Medians are exact (``quantiles``), in passes that hold a bounded number of values. Without rows centres are null
+    and scales the floors.
     """
     floors = PROFILE_SCALE_FLOORS if floors is None else floors
-    # One long form, so that all features share one pass; the counted rows are its distinct values.
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("v")) for f in features]))
-    counted = df.select(pairs.alias("p")).groupBy("p.f", "p.v").agg(F.count("*").alias("n"))
-    centers = counted.groupBy("f").agg(_median("v", "n").alias("center"), F.sum("n").alias("rows"))
-    spread = counted.join(centers, "f").withColumn("d", F.abs(F.col("v") - F.col("center")))
-    scales = spread.groupBy("f").agg(
-        F.first("center").alias("center"), F.first("rows").alias("rows"),
-        (_median("d", "n") * F.lit(MAD_FACTOR)).alias("mad"),
-    )
-    aggs = [F.max("rows").alias("normal_windows")]
-    for f in features:
-        here = F.col("f") == f
-        aggs.append(F.max(F.when(here, F.col("center"))).alias(f"center_{f}"))
-        aggs.append(F.greatest(F.lit(floors[f]), F.max(F.when(here, F.col("mad")))).alias(f"scale_{f}"))
-    return scales.agg(*aggs)
-
-
-def _median(value: str, weight: str) -> Column:
-    return F.percentile(F.col(value), F.lit(0.5), F.col(weight))
+    centers, counts = medians(df, {f: F.col(f) for f in features})
+    known = {f: c for f, c in centers.items() if c is not None}
+    spread, _ = medians(df, {f: F.abs(F.col(f).cast("double") - F.lit(c)) for f, c in known.items()}) if known else ({}, {})
+    scales = {f: max(float(floors[f]), spread[f] * MAD_FACTOR) if f in known else float(floors[f]) for f in features}
+    names = ["normal_windows long", *[f"{kind}_{f} double" for f in features for kind in ("center", "scale")]]
+    row = (max(counts.values()), *[x for f in features for x in (centers[f], scales[f])])
+    return df.sparkSession.createDataFrame([row], ", ".join(names))
 
 
 def valid_features() -> Column:
