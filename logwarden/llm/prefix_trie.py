@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.batches import whole_groups
 from . import sequences
 from .registry import query, table
 from .repair import CRC_SQL, crc_sql
@@ -146,7 +147,7 @@ def _rollup(nodes: DataFrame, member: DataFrame, fit: int) -> DataFrame:
 
 
 def _decompose_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, _ in sequences.whole_groups(batches, "group"):
+    for rows, _ in whole_groups(batches, "group"):
         at = pd.MultiIndex.from_arrays([rows.column("m").to_pandas(), rows.column("d").to_pandas()])
         up = pd.MultiIndex.from_arrays([rows.column("parent").to_pandas(), rows.column("d").to_pandas() - 1])
         is_top = (rows.column("m").to_pandas() == rows.column("cm").to_pandas()) & (rows.column("d").to_pandas() == rows.column("cd").to_pandas())

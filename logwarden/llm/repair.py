@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.batches import whole_groups
 from . import sequences
 from .registry import query, table
 from .store import stored
@@ -116,7 +117,7 @@ def _initial(role: Column) -> Column:
 
 
 def _fixed(batches: Iterator[pa.RecordBatch], key: str, fn: Callable[[pa.Table, np.ndarray], list], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for rows, offsets in sequences.whole_groups(batches, key):
+    for rows, offsets in whole_groups(batches, key):
         yield pa.RecordBatch.from_arrays(fn(rows, offsets), names)
 
 
