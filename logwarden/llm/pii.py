@@ -5,6 +5,9 @@ vote on every candidate and base span: the validator of the pattern, a gazetteer
 corpus are counted by pattern; expectation-maximisation over these few counts estimates how reliable each labeler is,
 without labels. The soft labels then train a naive Bayes span classifier on shape and context features, again from counts
 over all spans, and candidates that it accepts are added. Only the tables of counts, of bounded size, reach the driver.
+
+Secrets (keys, tokens, passwords) are a further kind without a base pattern: every run of 16 or more letters and digits is a
+candidate, and only the votes and the classifier decide on it.
 """
 
 from __future__ import annotations
@@ -16,8 +19,11 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import query, table
+from .store import stored
 
 KINDS = ("email", "ip", "card", "phone")
+ADDED_KINDS = ("secret",)  # without base spans
+ALL_KINDS = KINDS + ADDED_KINDS
 ACCEPT = 0.95
 ROUNDS = 50
 HASHES = 32  # buckets of the word before a span
@@ -28,9 +34,10 @@ BASE = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+",
 }
 # What a text must hold for the pattern to match at all.
-HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
+HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9_-]{16}"}
 # Looser forms, looked for between the base matches of their kind.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
@@ -46,6 +53,12 @@ CODES = r"^\+?\(?(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 # Words around a span that speak for personal data, or for another number.
 FOR = r"(?i)\b(?:e-?mail|mail|contact|write|phone|tel|call|mobile|fax|card|visa|credit|payment|pay|ip|host|server|address|client|correo|courriel|telefon|telefono|carte|karte|adresse)\b"
 AGAINST = r"(?i)\b(?:version|release|isbn|issn|doi|order|invoice|serial|build|section|chapter|page|figure|token|key|hash|id)\b"
+# For secrets: prefixes of issued keys, digests and mixed strings, names made of words, and the word just before.
+PREFIXES = r"^(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abp]|AKIA|ASIA|AIza|eyJ|ya29)"
+MIXED = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9_-]{20,})$"
+WORDY = r"^[A-Za-z]+[_-]?[0-9]{1,4}$|[A-Za-z]{4,}[_-][A-Za-z]{4,}"
+SECRET_FOR = r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|key|auth|bearer|credential)s?\b[^A-Za-z0-9]*$"
+SECRET_AGAINST = r"(?i)\b(?:sha-?[0-9]*|md5|hash|checksum|digest|commit|etag|version|build|id)\b[^A-Za-z0-9]*$"
 
 SPAN = "struct<start:bigint,end:bigint,value:string,before:string,after:string,strict:int>"
 
@@ -83,6 +96,13 @@ def valid(kind: str, value: Column) -> Column:
     return F.when(F.length(digits).between(16, 19), luhn % 10 == 0).otherwise(False)
 
 
+def _strict(kind: str, value: Column) -> Column:
+    """The validator's vote."""
+    if kind == "secret":
+        return F.when(value.rlike(MIXED), 1).when(value.rlike(WORDY), -1).otherwise(0)
+    return F.when(valid(kind, value), 1).otherwise(-1)
+
+
 def _split(df: DataFrame, text: str, pattern: str, hint: str, name: str) -> DataFrame:
     """Columns <name>_gaps, _hits, _lengths (of gaps and hits in turn) and _sums of one pattern."""
     there = F.col(text).rlike(hint)
@@ -108,7 +128,7 @@ def _spans(name: str, kind: str) -> Column:
             value.alias("value"),
             F.right(F.get(gap, i), F.lit(40)).alias("before"),
             F.left(F.get(gap, i + 1), F.lit(12)).alias("after"),
-            F.when(valid(kind, value), 1).otherwise(-1).alias("strict"),
+            _strict(kind, value).alias("strict"),
         )
 
     return F.transform(f"{name}_hits", span)
@@ -157,6 +177,8 @@ def gazetteer(kind: str, value: Column) -> Column:
         return _vote(value.rlike(ROUTABLE), F.lit(True))
     if kind == "card":
         return _vote(digits.rlike(ISSUERS), F.lit(True))
+    if kind == "secret":
+        return _vote(value.rlike(PREFIXES))
     return _vote(value.rlike(CODES))
 
 
@@ -183,7 +205,8 @@ def _voted(kind: str) -> Column:
     """The spans of a kind with the other labelers' votes and the features."""
 
     def span(s: Column) -> Column:
-        context = _vote(s.before.rlike(FOR), s.before.rlike(AGAINST))
+        speaks, against = (SECRET_FOR, SECRET_AGAINST) if kind == "secret" else (FOR, AGAINST)
+        context = _vote(s.before.rlike(speaks), s.before.rlike(against))
         return F.struct(
             s.start.alias("start"), s.end.alias("end"), s.strict.alias("strict"), gazetteer(kind, s.value).alias("listed"),
             context.alias("context"), _features(s).alias("features"),
@@ -199,19 +222,21 @@ def _tagged(kind: str) -> Column:
 def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and, per kind, an array of spans: base matches, their rejects and looser forms, with votes and features."""
     df = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         df = _split(df, "text", BASE[kind], HINT[kind], kind)
         spans = _spans(kind, kind)
         df = df.withColumn(f"{kind}_raw", F.concat(spans, _loose_spans(df, kind)) if kind in LOOSE else spans)
         if kind == "card":  # other digit runs are no candidates
             df = df.withColumn("card_raw", F.filter("card_raw", lambda s: F.length(F.regexp_replace(s.value, "[^0-9]", "")).between(13, 19)))
+        if kind == "secret":  # plain words and plain numbers are no candidates
+            df = df.withColumn("secret_raw", F.filter("secret_raw", lambda s: s.value.rlike("[0-9]") & s.value.rlike("[A-Za-z]")))
         df = df.withColumn(kind, _voted(kind))
-    return df.select("key", *KINDS)
+    return df.select("key", *ALL_KINDS)
 
 
 def count_votes(spans: DataFrame) -> list[Row]:
-    """(kind, strict, listed, context, feature, n): at most 108 vote patterns times about 70 features."""
-    tagged = F.flatten(F.array(*[_tagged(kind) for kind in KINDS]))
+    """(kind, strict, listed, context, feature, n): at most 135 vote patterns times about 70 features."""
+    tagged = F.flatten(F.array(*[_tagged(kind) for kind in ALL_KINDS]))
     rows = spans.select(F.explode(tagged).alias("t")).select(
         "t.kind", "t.s.strict", "t.s.listed", "t.s.context", F.explode(F.concat(F.array(F.lit("all")), F.col("t.s.features"))).alias("feature")
     )
@@ -226,7 +251,7 @@ def estimate(counts: list[Row], rounds: int = ROUNDS) -> tuple[dict[str, float],
     """
     prior: dict[str, float] = {}
     ratio: dict[tuple[str, str], float] = {}
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         patterns: dict[tuple[int, int, int], float] = defaultdict(float)
         for r in counts:
             if r.kind == kind and r.feature == "all":
@@ -268,8 +293,9 @@ def label_spans(spans: DataFrame, model: tuple[dict[str, float], dict[tuple[str,
     """key and, per kind, base (start, end) and added (start, end) arrays, each by start."""
     prior, ratio = model
     out = [F.col("key")]
-    for kind in KINDS:
-        out.append(F.transform(F.filter(kind, lambda s: s.strict == 1), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))).alias(f"{kind}_base"))
+    for kind in ALL_KINDS:
+        stays = (lambda s: s.strict == 1) if kind in KINDS else (lambda s: F.lit(False))
+        out.append(F.transform(F.filter(kind, stays), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))).alias(f"{kind}_base"))
         own = {feature: w for (k, feature), w in ratio.items() if k == kind}
         pairs = [x for feature, w in sorted(own.items()) for x in (F.lit(feature), F.lit(w))]
         weight = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
@@ -278,18 +304,18 @@ def label_spans(spans: DataFrame, model: tuple[dict[str, float], dict[tuple[str,
             return F.aggregate(s.features, F.lit(float(prior.get(kind, 0.0))), lambda acc, f: acc + F.coalesce(F.try_element_at(weight, f), F.lit(0.0)))
 
         limit = math.log(accept / (1 - accept))
-        added = F.filter(kind, lambda s: F.when(s.strict == 1, False).otherwise(score(s) >= limit))
+        added = F.filter(kind, lambda s: F.when(stays(s), False).otherwise(score(s) >= limit))
         out.append(F.array_sort(F.transform(added, lambda s: F.struct(s.start.alias("start"), s.end.alias("end")))).alias(f"{kind}_added"))
     return spans.select(*out)
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and arrays <kind>_base and <kind>_added of (start, end), in code points, for email, ip, card and phone.
+    """key and arrays <kind>_base and <kind>_added of (start, end), in code points, for email, ip, card, phone and secret.
 
     One row per row of ``docs``, repeated rows and null keys included; null or empty text has no spans, an empty table gives
-    no rows, other columns are not read. Added spans of a kind do not overlap its base spans.
+    no rows, other columns are not read. Added spans of a kind do not overlap its base spans; secret has no base.
     """
-    spans = find_spans(docs, key, text)
+    spans = stored(find_spans(docs, key, text), "spans")
     return label_spans(spans, estimate(count_votes(spans))).withColumnRenamed("key", key)
 
 
@@ -301,10 +327,12 @@ def _listed(kind: str, spans: Column) -> Column:
 def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
     base = F.concat(*[_listed(k, F.col(f"{k}_base")) for k in KINDS])
-    both = F.concat(*[_listed(k, F.array_sort(F.concat(f"{k}_base", f"{k}_added"))) for k in KINDS])
+    both = F.concat(*[_listed(k, F.array_sort(F.concat(f"{k}_base", f"{k}_added"))) for k in ALL_KINDS])
     return found.select(
         "doc_id",
         *[F.size(f"{k}_base").cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(both, ",").alias("spans"),
+        F.size("secret_added").cast("long").alias("n_secret"),
+        F.size(both).cast("long").alias("n_spans"),
     )
