@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.net import settled
 from ..functions.text import block_ids, line_content
+from ..session import cut_lineage
 from .ordering import carry_last, running_sums
 
 
@@ -354,13 +355,22 @@ def fit_isolation(df: DataFrame, trees: int = 100, sample: int = 256, seed: int
     """A forest (tree, size, nodes): one sub-sample of ``sample`` rows per tree, grown in parallel.
 
     Sampling is part of the algorithm: at every size, every tree draws the ``sample`` rows of the smallest seeded hash
-    among all rows. Spark cuts each tree's draw per map task before the shuffle.
+    among all rows. Only rows whose hash lies under a bound, some four times the share that is drawn, are dealt out at all; the
+    bound rises until every tree has its rows. Keys must be unique; the vectors are joined to the draws.
     """
     rows = df.select(F.col(key).cast("string").alias("k"), "features")
-    each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    dealt = rows.select("k", "features", each.alias("tree")).withColumn("h", F.xxhash64(F.lit(seed), "tree", "k"))
-    w = Window.partitionBy("tree").orderBy("h", "k")
-    taken = dealt.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= sample)
+    total, share = rows.count(), 4.0
+    low, span = -(1 << 63), 1 << 64
+    while True:
+        bound = min(low + int(span * min(1.0, share * sample / max(total, 1))), (1 << 63) - 1)
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col("k")).alias("h")))
+        dealt = rows.select("k", F.explode(F.filter(drawn, lambda x: x.h <= F.lit(bound))).alias("x")).select("k", "x.*")
+        w = Window.partitionBy("tree").orderBy("h", "k")
+        taken = cut_lineage(dealt.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= sample))
+        if share * sample >= total or taken.count() == trees * min(sample, total):
+            break
+        share *= 4
+    taken = taken.join(rows, "k")
     return (
         taken.select("tree", "rank", vector_to_array("features").alias("features"))
         .groupBy("tree")

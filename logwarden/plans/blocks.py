@@ -476,10 +476,31 @@ def block_recency_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- classifiers ----------------------------------------------------------------------------------
+# A block is anomalous if a client deleted it: what its counts can tell, by one template or the one with two blocks.
+TAUGHT_SQL = LOG_SQL + """,
+taught AS (SELECT block_id, CASE WHEN count(*) FILTER (content LIKE 'client:Deleting block %') > 0 THEN 1 ELSE 0 END AS label FROM bl GROUP BY block_id),
+halves AS (
+  SELECT block_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY sha256('42|' || block_id))
+    <= count(*) OVER (PARTITION BY label) // 2 THEN 'train' ELSE 'test' END AS side FROM taught
+)"""
+# A classifier that has learnt the rule makes no mistake on the other half.
+LEARNT_SQL = sql(
+    TAUGHT_SQL,
+    """SELECT count(*) AS rows, count(*) FILTER (label = 1) AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, count(*) FILTER (label = 0) AS tn,
+       1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, 0.0::DOUBLE AS false_positive_rate FROM halves WHERE side = 'test'""",
+)
+
+
+def taught_labels(spark: SparkSession, sf: str) -> DataFrame:
+    deleted = F.count_if(F.col("content").startswith("client:Deleting block "))
+    return block_rows(spark, sf).groupBy("block_id").agg((deleted > 0).cast("int").alias("label"))
+
+
 def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    sides = blk.stratified_split(block_labels(spark, sf)).select("block_id", "side")
+    counts, vocab = counts_and_vocab(spark, sf)
+    sides = blk.stratified_split(taught_labels(spark, sf))
     # Both halves, and every iteration of a fit, read the written matrix instead of the log.
-    rows = cut_lineage(matrix(spark, sf).join(sides, "block_id"))
+    rows = cut_lineage(blk.labelled(blk.to_vectors(counts, vocab), sides))
     return rows.where("side = 'train'"), rows.where("side = 'test'")
 
 
@@ -489,7 +510,7 @@ def fit_logistic(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.confusion(models.predict(models.fit_logistic(train), test), "label", "predicted", undefined="zero")
 
 
-@query("fit_tree")
+@query("fit_tree", LEARNT_SQL)
 def fit_tree(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _halves(spark, sf)
     return metrics.confusion(models.predict(models.fit_tree(train), test), "label", "predicted", undefined="zero")
@@ -500,5 +521,3 @@ def fit_isolation(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _halves(spark, sf)
     scored = blk.score_isolation(test, blk.fit_isolation(train))
     return metrics.confusion(scored, "label", "isolation_anomaly", undefined="zero")
-
-
