@@ -33,15 +33,25 @@ def open_store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def token_width(tokenizer: str) -> int:
+    """Bytes of a token in a file: 2 where every id of the vocabulary fits, else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(tokenizer).get_vocab().values()) < 1 << 16 else 4
+
+
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer: str, end: int = END_OF_DOCUMENT, file_tokens: int = FILE_TOKENS,
-    key: str = "doc_id", text: str = "text",
+    key: str = "doc_id", text: str = "text", width: int | None = None,
 ) -> DataFrame:
-    """Write unsigned 16-bit token files to a shared ``folder``; return (file, ordinal, key), already computed.
+    """Write unsigned token files of ``width`` bytes a token (``token_width`` of the tokenizer) to a shared ``folder``.
 
-    Special-token strings inside a text are ordinary text, so ``end`` closes documents only; null text is empty. A
-    repeated task writes files of its own, and only those of the attempt that counts are in the result.
+    Returns (file, ordinal, key), already computed. Special-token strings inside a text are ordinary text, so ``end`` closes
+    documents only; null text is empty, a null key and repeated rows are documents like any other, an empty table gives no
+    file, other columns are not read. A repeated task writes files of its own, and only those of the attempt that counts are
+    in the result.
     """
+    width = width or token_width(tokenizer)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     key_type = rows.schema["key"].dataType.simpleString()
 
@@ -59,7 +69,7 @@ def write_token_files(
                         out.close()
                     name = f"tokens-{context.partitionId():06d}-{made:04d}-{uuid.uuid4().hex}.bin"
                     out, ordinal, size, made = store.open_output_stream(f"{place}/{name}"), 0, 0, made + 1
-                out.write(ids.astype("<u2").tobytes())
+                out.write(ids.astype(f"<u{width}").tobytes())
                 n = len(at) - 1
                 files += [name] * n
                 ordinals += range(ordinal, ordinal + n)
@@ -142,5 +152,5 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and n_tokens of every document, counted in flat token files written from the table."""
     folder = shared_folder(spark, "token-files")
     written = write_token_files(table(spark, sf_dir, "documents"), folder, default_tokenizer())
-    counted = scan_token_files(spark, folder)
+    counted = scan_token_files(spark, folder, width=token_width(default_tokenizer()))
     return written.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")
