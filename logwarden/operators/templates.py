@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,66 +65,148 @@ def with_leaf(distinct: DataFrame, max_children: int = TEMPLATE_MAX_CHILDREN, pr
     return joined.withColumn("leaf", leaf).drop("own_n", "own_key", "key")
 
 
+PENDING = 256  # latest templates, which are compared one and all; older ones are looked up by their words
+
+
 class _Clusters:
-    """Templates of one leaf as rows of token numbers. Lines must come in order of appearance."""
+    """Templates of one leaf as rows of word numbers, 0 for the wildcard. Lines must come in order of appearance.
+
+    A template that is similar enough has ``need`` words in the line's places, so at least one in any choice of all but
+    ``need`` - 1 of the line's fixed places. The places whose words fewest templates have are chosen, and only templates found
+    there are compared: the same result as comparing all, without the square of their number. Sorted runs of (place and word,
+    template) find them; a run is merged with the one before it while that is less than four times as long.
+    """
 
     def __init__(self, similarity: float, width: int):
-        self.similarity = similarity
-        self.numbers: dict[str, int] = {WILD: 0}
-        self.matrix = np.zeros((1, width), np.int64)
+        self.need = math.ceil(similarity * width)
+        while self.need and (self.need - 1) / width >= similarity:  # as the division decides
+            self.need -= 1
+        self.matrix = np.zeros((1, width), np.int32)
+        self.places = np.arange(width, dtype=np.int64) << 32
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.indexed = 0
         self.first_pos: list[int] = []
         self.lines: list[int] = []
 
-    def add(self, words: list[str], position: int, lines: int) -> None:
-        row = np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int64)
+    def _index_pending(self) -> None:
+        rows = self.matrix[self.indexed : len(self.lines)]
+        codes, ids = (rows + self.places).ravel(), np.repeat(np.arange(self.indexed, len(self.lines), dtype=np.int32), rows.shape[1])
+        codes, ids = codes[rows.ravel() != 0], ids[rows.ravel() != 0]
+        while True:
+            order = np.argsort(codes, kind="stable")
+            codes, ids = codes[order], ids[order]
+            if not self.runs or len(self.runs[-1][0]) >= 4 * len(codes):
+                break
+            older = self.runs.pop()
+            codes, ids = np.concatenate((older[0], codes)), np.concatenate((older[1], ids))
+        self.runs.append((codes, ids))
+        self.indexed = len(self.lines)
+
+    def _found(self, row: np.ndarray) -> np.ndarray:
+        """Templates that may be similar enough, oldest first."""
         known = len(self.lines)
-        best = -1
-        if known:
-            rows = self.matrix[:known]
+        pending = np.arange(self.indexed, known)
+        codes = (row + self.places)[row != 0]
+        if not self.runs or len(codes) < self.need:
+            return pending
+        spans = [(np.searchsorted(run, codes), np.searchsorted(run, codes, "right"), ids) for run, ids in self.runs]
+        chosen = np.argsort(sum(to - at for at, to, _ in spans))[: len(codes) - self.need + 1]
+        ids = [ids[a:b] for at, to, ids in spans for a, b in zip(at[chosen].tolist(), to[chosen].tolist(), strict=True) if a < b]
+        return np.concatenate((np.unique(np.concatenate(ids)), pending)) if ids else pending
+
+    def add(self, row: np.ndarray, position: int, lines: int) -> None:
+        known, found, best = len(self.lines), None, -1
+        if known and not self.need:
+            found = np.arange(known)
+        elif known:
+            found = self._found(row)
+        if found is not None and len(found):
+            rows = self.matrix[found]
             same = ((rows == row) & (rows != 0)).sum(axis=1)
-            wild = (rows == 0).sum(axis=1)
-            best = int(np.argmax(same * (len(row) + 1) + wild))  # most equal tokens, then most wildcards, then the oldest
-            if (same[best] / len(row) if len(row) else 1.0) < self.similarity:
-                best = -1
+            most = int(same.max())
+            if most >= self.need:  # most equal tokens, then most wildcards, then the oldest
+                tied = np.flatnonzero(same == most)
+                best = int(found[tied[np.argmax((rows[tied] == 0).sum(axis=1))]])
         if best < 0:
             if known == len(self.matrix):
                 self.matrix = np.concatenate((self.matrix, np.zeros_like(self.matrix)))
             self.matrix[known] = row
             self.first_pos.append(position)
             self.lines.append(lines)
+            if known + 1 - self.indexed >= PENDING and self.need:
+                self._index_pending()
             return
         self.matrix[best][self.matrix[best] != row] = 0
         self.first_pos[best] = min(self.first_pos[best], position)
         self.lines[best] += lines
 
-    def rows(self, key: tuple) -> Iterator[tuple]:
-        names = list(self.numbers)
-        for words, first_pos, lines in zip(self.matrix.tolist(), self.first_pos, self.lines, strict=False):
-            yield (*key, [names[i] for i in words], first_pos, lines)
-
 
 FOUND = ("n_tokens", "leaf", "part", "tokens", "first_pos", "lines")
 OUT_ROWS = 2000  # templates that leave a task together
+WORDS = 1 << 20  # numbered words at which a task starts its numbering anew, between leaves
+
+
+class _Words:
+    def __init__(self):
+        self.numbers: dict[str, int] = {WILD: 0}
+        self.names = [WILD]
+
+    def numbered(self, values: pa.Array) -> np.ndarray:
+        coded = values.dictionary_encode()
+        known = []
+        for word in coded.dictionary.to_pylist():
+            number = self.numbers.setdefault(word, len(self.names))
+            if number == len(self.names):
+                self.names.append(word)
+            known.append(number)
+        return np.array(known, np.int32)[coded.indices.to_numpy()]
+
+    def rows(self, done: list[tuple[tuple, _Clusters]]) -> pa.RecordBatch:
+        """The templates of leaves, in words again."""
+        kept = [(key, c, len(c.lines)) for key, c in done]
+        flat = np.concatenate([c.matrix[:n].ravel() for _, c, n in kept])
+        used, at = np.unique(flat, return_inverse=True)
+        words = pa.array([self.names[i] for i in used], pa.string()).take(pa.array(at))
+        widths = np.concatenate([[0], *(np.full(n, key[0]) for key, _, n in kept)])
+        columns = [
+            pa.array(widths[1:], pa.int32()), *(pa.array([key[i] for key, _, n in kept for _ in range(n)], pa.string()) for i in (1, 2)),
+            pa.ListArray.from_arrays(pa.array(np.cumsum(widths), pa.int32()), words),
+            *(pa.array([x for _, c, _ in kept for x in getattr(c, name)], pa.int64()) for name in ("first_pos", "lines")),
+        ]
+        return pa.RecordBatch.from_arrays(columns, FOUND)
 
 
 def _cluster(similarity: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, clusters, done = None, None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, key, clusters, done, held = _Words(), None, None, [], 0
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                group = (row.n_tokens, row.leaf, row.part)
+            if not batch.num_rows:
+                continue
+            width, first_pos, lines = (batch.column(c).to_numpy() for c in ("n_tokens", "first_pos", "lines"))
+            names = [batch.column(c).dictionary_encode() for c in ("leaf", "part")]
+            leaf, part = (c.indices.to_numpy() for c in names)
+            leaves, parts = (c.dictionary.to_pylist() for c in names)
+            changes = np.flatnonzero((np.diff(width) != 0) | (np.diff(leaf) != 0) | (np.diff(part) != 0)) + 1
+            opens = (int(width[0]), leaves[leaf[0]], parts[part[0]]) != key
+            if len(words.names) > WORDS and opens and clusters is not None:
+                yield words.rows([*done, (key, clusters)])
+                words, key, clusters, done, held = _Words(), None, None, [], 0
+            numbers, offsets = words.numbered(batch.column("tokens").flatten()), batch.column("tokens").offsets.to_numpy()
+            offsets = (offsets - offsets[0]).tolist()
+            for a, b in zip([0, *changes.tolist()], [*changes.tolist(), len(width)], strict=True):
+                group = (int(width[a]), leaves[leaf[a]], parts[part[a]])
                 if group != key:
                     if clusters is not None:
-                        done.extend(clusters.rows(key))
-                    if len(done) >= OUT_ROWS:
-                        yield pd.DataFrame(done, columns=FOUND)
-                        done = []
-                    key, clusters = group, _Clusters(similarity, row.n_tokens)
-                clusters.add(list(row.tokens), row.first_pos, row.lines)
+                        done.append((key, clusters))
+                        held += len(clusters.lines)
+                    if held >= OUT_ROWS:
+                        yield words.rows(done)
+                        done, held = [], 0
+                    key, clusters = group, _Clusters(similarity, group[0])
+                for i, position, n in zip(range(a, b), first_pos[a:b].tolist(), lines[a:b].tolist(), strict=True):
+                    clusters.add(numbers[offsets[i] : offsets[i + 1]], position, n)
         if clusters is not None:
-            done.extend(clusters.rows(key))
-        if done:
-            yield pd.DataFrame(done, columns=FOUND)
+            yield words.rows([*done, (key, clusters)])
 
     return run
 
@@ -161,7 +244,7 @@ def mine_shapes(
     for kept in range(digits, -1, -1):
         group = ("n_tokens", "leaf", "part")
         rows = found.select("n_tokens", "leaf", F.substring("part", 1, kept).alias("part"), "tokens", "first_pos", "lines")
-        found = rows.repartition(*group).sortWithinPartitions(*group, "first_pos").mapInPandas(_cluster(similarity), schema)
+        found = rows.repartition(*group).sortWithinPartitions(*group, "first_pos").mapInArrow(_cluster(similarity), schema)
     ordered = with_ordinal(cut_lineage(found), "first_pos", "template_id")
     return ordered.select("template_id", "n_tokens", "leaf", "tokens", "first_pos", "lines")
 
