@@ -3,73 +3,66 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.blocks import BASIS, WEIGHT_UNITS, probability
+from .keyed import BUCKETS, BucketProcessor, bucket, kept_entries
 from .loop_stream import ROCKSDB
 
-STATE = "block"
-
 
-class BlockProcessor(StatefulProcessor):
-    """Running line count and weight sum of a block.
+class BlockProcessor(BucketProcessor):
+    """Running line count and weight sum of every block of a bucket.
 
     A pause of more than ``idle_ms`` between two lines starts the block anew, whether or not the timer that frees its state
     has run by then; so results do not depend on how the lines fall into micro-batches. Rows of one micro-batch come in
     any order and are sorted first; their number is bounded by the sources' trigger options.
     """
 
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
+    key = "block_id"
+    fields = {"block_id": "string", "lines": "long", "units": "long", "ms": "long"}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState(STATE, "lines long, units long, ms long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("position", kind="stable")
-        lines, units, last = tuple(self.state.get()) if self.state.exists() else (0, 0, None)
+    def fold(self, entries: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        batch = rows.sort_values(["block_id", "position"], kind="stable")
+        code, names = pd.factorize(batch["block_id"])
         ms, weight = batch["ms"].to_numpy(), batch["units"].to_numpy()
-        before = np.concatenate(([ms[0] if last is None else last], ms[:-1]))
-        part = np.cumsum(ms - before > self.idle_ms)  # 0: goes on from the saved state
-        first = np.searchsorted(part, part)
-        counted, summed = np.arange(1, len(ms) + 1), np.cumsum(weight)
-        counted = counted - first + np.where(part == 0, lines, 0)
-        summed = summed - np.concatenate(([0], summed))[first] + np.where(part == 0, units, 0)
-        self.state.update((int(counted[-1]), int(summed[-1]), int(ms[-1])))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(ms[-1]) + self.idle_ms + 1)
-        yield pd.DataFrame({"block_id": key[0], "position": batch["position"].to_numpy(), "lines": counted, "units": summed})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def score_blocks_stream(lines: DataFrame, weights: DataFrame, intercept: float, idle_seconds: int, at: str = "at", lateness: str = "1 minute") -> DataFrame:
+        first = np.diff(code, prepend=-1) != 0
+        saved = entries.set_index("block_id").reindex(names, fill_value=0)
+        known = pd.Index(names).isin(entries["block_id"])
+        before = np.concatenate((ms[:1], ms[:-1]))
+        before[first] = np.where(known, saved["ms"].to_numpy(), ms[first])
+        begins = first | (ms - before > self.idle_ms)  # the others go on from the row before, or from the saved state
+        goes_on = first & (ms - before <= self.idle_ms)
+        at = np.flatnonzero(begins)
+        part = np.cumsum(begins) - 1
+        lines, units = (np.where(goes_on, saved[c].to_numpy()[code], 0)[at][part] for c in ("lines", "units"))
+        summed = np.cumsum(weight)
+        counted = np.arange(1, len(ms) + 1) - at[part] + lines
+        summed = summed - (summed - weight)[at][part] + units
+        last = np.concatenate((np.flatnonzero(first)[1:] - 1, [len(ms) - 1]))
+        out = pd.DataFrame({"block_id": batch["block_id"].to_numpy(), "position": batch["position"].to_numpy(), "lines": counted, "units": summed})
+        return out, pd.DataFrame({"block_id": names, "lines": counted[last], "units": summed[last], "ms": ms[last]})
+
+
+def score_blocks_stream(
+    lines: DataFrame, weights: DataFrame, intercept: float, idle_seconds: int, at: str = "at", lateness: str = "1 minute", buckets: int = BUCKETS
+) -> DataFrame:
     """Streaming twin of ``blocks.partial_block_scores``: (block_id, position, lines, probability, basis).
 
     ``lines`` is a stream, or a union of several, of (position, at, block_id, column), ``weights`` a static table (column,
     weight); a line without a column counts but weighs nothing. Blocks idle for more than ``idle_seconds`` of event time
     leave the state once the watermark has passed, and start anew on return. Lines later than the watermark are dropped.
+    State is kept in ``buckets`` of blocks.
     """
     lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     cloudpickle.register_pickle_by_value(sys.modules[__package__.split(".")[0]])
     units = F.round(F.col("weight") * WEIGHT_UNITS).cast("long")
     weighed = lines.withWatermark(at, lateness).join(weights.select("column", units.alias("units")), "column", "left")
     rows = weighed.select("block_id", "position", at, F.unix_millis(at).alias("ms"), F.coalesce("units", F.lit(0).cast("long")).alias("units"))
-    scored = rows.groupBy("block_id").transformWithStateInPandas(
+    scored = rows.withColumn("bucket", bucket("block_id", buckets)).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=BlockProcessor(idle_seconds * 1000), outputStructType="block_id string, position long, lines long, units long",
         outputMode="Append", timeMode="EventTime",
     )
@@ -79,5 +72,4 @@ def score_blocks_stream(lines: DataFrame, weights: DataFrame, intercept: float,
 
 def tracked_blocks(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(block_id, lines) that a stopped stream still keeps, read from its state store."""
-    state = spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint)
-    return state.select(F.col("key.block_id").alias("block_id"), F.col("value.lines").alias("lines"))
+    return kept_entries(spark, checkpoint, "block_id", "lines")
