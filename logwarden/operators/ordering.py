@@ -121,6 +121,23 @@ def carry_last(
     )
 
 
+def numbered_after(
+    df: DataFrame, order: str, out: str, values: dict[str, Column], width: int = WIDTH
+) -> DataFrame:
+    """``with_ordinal`` by a unique ``order`` and ``carry_last`` of never-null ``values``, with one shuffle of the rows."""
+    rows = _bucketed(df, order, width).withColumn("__v", F.struct(*[c.alias(n) for n, c in values.items()]))
+    tails = rows.groupBy("__bucket").agg(F.count("*").alias("__n"), F.max_by("__v", F.struct(order)).alias("__t"))
+    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(
+        "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__c"), F.last("__t").over(earlier).alias("__e")
+    )
+    inside = Window.partitionBy("__bucket").orderBy(order)
+    local = rows.select("*", F.row_number().over(inside).alias("__l"), F.lag("__v").over(inside).alias("__p"))
+    joined = _attach(local, carried, ["__bucket"])
+    before = F.coalesce("__p", "__e")
+    return joined.select(*df.columns, (F.col("__l") + F.col("__c")).alias(out), *[before[n].alias(n) for n in values])
+
+
 def islands(df: DataFrame, pos: str, by: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:
     """Add ``run``: equal for rows whose positions follow each other without a hole."""
     numbered = with_ordinal(df, pos, "__n", by=by, width=width)
