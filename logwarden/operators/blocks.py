@@ -201,9 +201,10 @@ def table_digest(df: DataFrame, cols: list[str], buckets: int = 4096) -> DataFra
     60-bit numbers inside buckets; only bucket sums meet in one row.
     """
     cells = [F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("{}")) for c in cols]
-    rows = df.select(F.sha2(F.concat_ws("\x1f", *cells), 256).alias("h"))
+    # digests are shuffled as bytes, half as long as their hex form
+    rows = df.select(F.unhex(F.sha2(F.concat_ws("\x1f", *cells), 256)).alias("h"))
     counted = rows.groupBy("h").agg(F.count("*").alias("n")).select(
-        F.sha2(F.concat("h", F.lit("*"), F.col("n").cast("string")), 256).alias("g"), "n"
+        F.sha2(F.concat(F.lower(F.hex("h")), F.lit("*"), F.col("n").cast("string")), 256).alias("g"), "n"
     )
     number = F.conv(F.substring("g", 4, 15), 16, 10).cast("decimal(38,0)")
     summed = counted.groupBy(F.conv(F.substring("g", 1, 3), 16, 10).cast("int").alias("b")).agg(

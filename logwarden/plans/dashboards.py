@@ -351,7 +351,7 @@ def matrix_digest(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem")
     cols = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
     one = blocks.table_digest(lines, cols)
-    other = blocks.table_digest(lines.repartition(7, "l_suppkey"), cols)
+    other = blocks.table_digest(lines.repartition("l_suppkey"), cols)
     return one.join(other.withColumnRenamed("rows", "rows2"), "digest").select(
         "rows", (F.length("digest") == 64).alias("has_digest")
     )
