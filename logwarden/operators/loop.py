@@ -40,7 +40,7 @@ DEFAULT_PARAMS = {
     "threshold": ALERT_THRESHOLD,
 }
 WAVE_ROWS = 2_000_000
-SPANS = 64  # longest effects in a bucket of the searches
+SPANS = 1  # longest effects in a bucket of the searches, over which a hot address's rows are spread
 FOLD_INPUT = "ip string, episode long, ms long, id long, kind int, event string, base int, ttl_s long, state string"
 FOLD_OUTPUT = (
     "ip string, episode long, kind int, id long, dropped boolean, failed_attempts_count long, "

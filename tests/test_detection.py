@@ -211,3 +211,15 @@ def test_local_escalation_cites_only_its_trigger(spark):
     got = {r.alert_id: r for r in response.incident_evidence(alerts, events, ledger).collect()}
     assert (got[10].event_ids, got[10].evidence_scope, got[10].range_text) == ([2], "triggering_local_event", "102")
     assert got[11].event_ids == list(range(11, 31)) and len(got[11].heights) == 19
+
+
+def test_hot_address_is_spread_over_time(spark, monkeypatch):
+    """Buckets of the numbering and the searches are no wider than the longest effect, so that an address's rows meet in none."""
+    from logwarden.operators import loop
+    from logwarden.plans.detection import HOT_WINDOW_S, LOOP_PARAMS, test_policy
+
+    seen = {}
+    monkeypatch.setattr(loop, "closed_loop_by_paths", lambda rows, columns, params, width_ms: seen.update(width=width_ms) or rows)
+    events = spark.createDataFrame([("45.0.0.1", "failed_login", 1, 1)], "ip string, event string, ingested_ts_ms long, id long")
+    loop.closed_loop(events, test_policy(spark), params=LOOP_PARAMS | {"failed_seconds": HOT_WINDOW_S, "frequency_seconds": HOT_WINDOW_S})
+    assert 0 < seen["width"] <= 3 * 24 * 3600 * 1000
