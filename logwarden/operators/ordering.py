@@ -41,24 +41,24 @@ def running_sums(
     ties: tuple[str, ...] = (),
     width: int = WIDTH,
 ) -> DataFrame:
-    """Add inclusive running sums over ``order`` (then ``ties``), per ``by`` key."""
+    """Add inclusive running sums of never-null values over ``order`` (then ``ties``), per ``by`` key.
+
+    What earlier buckets carry over is a row of its own before a bucket's first one, so no row meets it in a join.
+    """
     keys = [*by, "__bucket"]
-    rows = _bucketed(df, order, width)
-    totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    rows = _bucketed(df, order, width).select("*", *[c.alias(f"__v_{n}") for n, c in sums.items()])
+    totals = rows.groupBy(*keys).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
     earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    carried = totals.select(
-        *keys, *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__c_{n}") for n in sums]
-    )
-    inside = Window.partitionBy(*keys).orderBy(order, *ties).rowsBetween(
+    carried = totals.select(*keys, *[F.sum(f"__t_{n}").over(earlier).alias(f"__v_{n}") for n in sums])
+    carried = carried.where(reduce(lambda a, b: a | b, [F.col(f"__v_{n}") != 0 for n in sums]))
+    both = rows.withColumn("__own", F.lit(True)).unionByName(carried.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    inside = Window.partitionBy(*keys).orderBy("__own", order, *ties).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    local = rows.select("*", *[F.sum(c).over(inside).alias(f"__l_{n}") for n, c in sums.items()])
-    joined = _attach(local, carried, keys)
-    return joined.select(
-        *df.columns, *[(F.col(f"__l_{n}") + F.col(f"__c_{n}")).alias(n) for n in sums]
-    )
+    summed = both.select(*df.columns, "__own", *[F.sum(f"__v_{n}").over(inside).alias(f"__s_{n}") for n in sums])
+    return summed.where("__own").select(*df.columns, *[F.col(f"__s_{n}").alias(n) for n in sums])
 
 
 def running_min(

@@ -1,98 +1,118 @@
-"""Tracking the most recently touched keys: which of them a bounded table would have evicted, without replaying it.
+"""Tracking the most recently touched keys: which of them a bounded table would have evicted.
 
-A key is evicted between two touches if at least ``limit`` other keys were touched meanwhile: its reuse distance. A touch t
-with previous touch p is a point (t, p), and the distinct keys after p and before q are the touches before q whose previous
-touch lies before p, less p. These points are counted by a merge count of fixed radix: by one digit of t after the other,
-the touches of smaller digit under the same prefix, by one digit of p after the other likewise. A group of one such count
-has at most 2^RADIX values either way, so no key, time or digit makes a large one.
+The table at the start of a line is the ``limit`` latest keys before it, whatever came earlier. So the log is cut into buckets
+of line numbers and each bucket's own latest keys are found first. A bucket with ``limit`` keys of its own is all the next
+one needs to know; those with fewer are folded after it, up to the next full one. With its table at hand a bucket is followed
+line by line: a touch that misses the table takes the key up anew, and is an eviction's return unless it is the key's first.
+Buckets span 16 times the limit at least, so the handed tables hold at most a sixteenth as many rows as the log has lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .batches import whole_groups
-from .ordering import WIDTH, carry_last, running_sums, with_ordinal
-
-RADIX = 10  # bits of a digit
-GROUP_BITS = 30  # bits of a group's number that name its range of previous touches
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, offsets in whole_groups(batches, "grp"):
-        group = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        child, weight, asks = rows.column("child").to_numpy(), rows.column("n").to_numpy(), rows.column("asks").to_numpy()
-        found = _smaller_before((group << RADIX) | child, weight, asks == 0)
-        keep = np.flatnonzero((asks == 0) & (found > 0))
-        yield pa.RecordBatch.from_arrays([pa.array(rows.column("id").to_numpy()[keep]), pa.array(found[keep])], ["t", "n"])
-
-
-def _smaller_before(value: np.ndarray, weight: np.ndarray, asks: np.ndarray) -> np.ndarray:
-    """For each asking row the weight of earlier others with equal high bits and a smaller last digit, bit by bit."""
-    found = np.zeros(len(value), np.int64)
-    for bit in range(RADIX):
-        node, right = value >> (bit + 1), (value >> bit) & 1 == 1
-        order = np.argsort(node, kind="stable")
-        node, right_in, asks_in = node[order], right[order], asks[order]
-        sums = np.cumsum(np.where(right_in | asks_in, 0, weight[order]))
-        first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        before = np.repeat(np.concatenate(([0], sums))[first], np.diff(np.concatenate((first, [len(node)]))))
-        found[order] += np.where(asks_in & right_in, sums - before, 0)
-    return found
-
-
-def _dominated(points: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """(t, n): for each query (t, q, p) the points (t, p) with a smaller t than q and a smaller p; none if there are none."""
-    levels, mask = max(1, -(-top.bit_length() // RADIX)), (1 << RADIX) - 1
-    shift = lambda c, digits: F.shiftright(c, RADIX * digits)
-    parts = []
-    for level in range(levels):
-        one = lambda t: (shift(t, level + 1).alias("prefix"), shift(t, level).bitwiseAND(F.lit(mask)).alias("child"))  # noqa: B023, E731
-        near = points.select(*one("t"), "p")
-        ask = queries.select(*one("q"), "p", "t").where("child > 0")
-        for digit in range(levels):
-            group = lambda p: F.shiftleft("prefix", GROUP_BITS) + shift(p, digit + 1)  # noqa: B023, E731
-            sums = near.groupBy("prefix", "child", shift("p", digit).alias("at")).agg(F.count("*").alias("n"))
-            grown = F.shiftright("at", RADIX)
-            rows = sums.select((F.shiftleft("prefix", GROUP_BITS) + grown).alias("grp"), "at", F.lit(1).alias("asks"), "child", "n", F.lit(0).cast("long").alias("id"))
-            asked = ask.select(group("p").alias("grp"), shift("p", digit).alias("at"), F.lit(0).alias("asks"), "child", F.lit(0).cast("long").alias("n"), F.col("t").alias("id"))
-            both = rows.unionByName(asked).repartition("grp").sortWithinPartitions("grp", "at", "asks")
-            parts.append(both.mapInArrow(_counted, "t long, n long"))
-    return reduce(DataFrame.unionByName, parts).groupBy("t").agg(F.sum("n").alias("n"))
+from .ordering import WIDTH, running_sums, top_per_key
+
+PARTS = 16  # buckets here are this much narrower than those of running sums, and this many times the limit at least
+
+
+def _trim(table: dict, limit: int) -> None:
+    while len(table) > limit:
+        del table[next(iter(table))]
+
+
+def _handed(limit: int, key: str, line: str, place: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Latest keys of buckets, by segment, bucket and last touch, to the table that the next bucket starts with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, bucket, following, table = None, None, None, {}
+
+        def handed(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+            if following is not None:
+                rows = [{"__bucket": following, line: at, place: p, key: k} for k, (at, p) in table.items()]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([schema.field(n) for n in ("__bucket", line, place, key)]))
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for s, b, n, at, p, k in zip(*(batch.column(c).to_pylist() for c in ("__segment", "__bucket", "__next", line, place, key)), strict=True):
+                if b != bucket:
+                    yield from handed(schema)
+                    if s != segment:
+                        table = {}
+                    segment, bucket, following = s, b, n
+                table.pop(k, None)
+                table[k] = (at, p)
+                _trim(table, limit)
+        if schema is not None:
+            yield from handed(schema)
+
+    return run
+
+
+def _followed(limit: int, key: str, line: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows by bucket, line and place, the handed table before each bucket's own, with ``taken_up``: a miss of the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, current, table = None, None, {}
+        for batch in batches:
+            missed = []
+            for b, at, k in zip(*(batch.column(c).to_pylist() for c in ("__bucket", line, key)), strict=True):
+                if b != bucket:
+                    bucket, current, table = b, at, {}
+                if at != current:
+                    current = at
+                    _trim(table, limit)
+                missed.append(table.pop(k, None) is None)
+                table[k] = True
+            kept = batch.append_column("taken_up", pa.array(missed, pa.bool_()))
+            kept = kept.filter(pc.invert(kept.column("__handed")))
+            yield kept.drop_columns(["__bucket", "__handed"])
+
+    return run
+
+
+def _taken_up(touches: DataFrame, limit: int, key: str, line: str, place: str, width: int) -> DataFrame:
+    """``touches`` with ``taken_up``: the table of the ``limit`` latest keys did not hold the key."""
+    span = max(width // PARTS, PARTS * limit, 1)
+    rows = touches.withColumn("__bucket", F.floor(F.col(line) / F.lit(span)).cast("long"))
+    last = rows.groupBy("__bucket", key).agg(F.max(F.struct(line, place)).alias("__last"))
+    tails = top_per_key(last, ["__bucket"], [F.desc("__last")], limit, "__rank")
+    tails = cut_lineage(tails.select("__bucket", f"__last.{line}", f"__last.{place}", key))
+    # One row per bucket: they are ordered as a whole.
+    whole = Window.orderBy("__bucket")
+    full = F.count_if(F.col("__n") >= limit).over(whole.rowsBetween(Window.unboundedPreceding, 0))
+    buckets = tails.groupBy("__bucket").agg(F.count("*").alias("__n")).select("__bucket", full.alias("__segment"), F.lead("__bucket").over(whole).alias("__next"))
+    ordered = tails.join(buckets, "__bucket").repartition("__segment").sortWithinPartitions("__segment", "__bucket", line, place)
+    tables = ordered.mapInArrow(_handed(limit, key, line, place), rows.select("__bucket", line, place, key).schema)
+    both = rows.withColumn("__handed", F.lit(False)).unionByName(tables.withColumn("__handed", F.lit(True)), allowMissingColumns=True)
+    both = both.repartition("__bucket").sortWithinPartitions("__bucket", line, place)
+    return both.mapInArrow(_followed(limit, key, line), touches.withColumn("taken_up", F.lit(True)).schema)
 
 
-def reuse(touches: DataFrame, limit: int, key: str = "block_id", line: str = "position", place: str = "place", width: int = WIDTH) -> DataFrame:
-    """``touches`` with ``evicted``: the key was dropped since its last touch from a table of the ``limit`` latest keys.
+def tracked(touches: DataFrame, limit: int, key: str = "block_id", line: str = "position", place: str = "place", width: int = WIDTH) -> DataFrame:
+    """``touches`` with ``evicted`` (the key was dropped since its last touch from a table of the ``limit`` latest keys) and
+    ``episode``: how often it was dropped before; what is kept of a key starts anew in each.
 
     A line's touches are its ``place`` 0, 1, ...; keys are dropped after a line, oldest touch first. A key's first touch is not
     an eviction. (line, place) must be unique; other columns stay.
     """
-    rows = with_ordinal(touches, line, "t", ties=(place,), width=width)
-    rows = carry_last(rows, "t", {"p": F.col("t")}, by=(key,), width=width)
-    rows = running_sums(rows, "t", {"firsts": F.col("p").isNull().cast("long")}, width=width)
-    rows = cut_lineage(rows.withColumn("q", F.col("t") - F.col(place)))
-    own = Window.partitionBy(line).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("firsts", F.col("firsts") - F.sum(F.col("p").isNull().cast("long")).over(own))
-    top = rows.agg(F.max("t")).first()[0] or 0
-    # fewer touches than the limit cannot be as many keys
-    far = F.col("q") - F.col("p") > limit
-    found = _dominated(rows.where("p IS NOT NULL").select("t", "p"), rows.where(far).select("t", "q", "p"), top)
-    distance = F.col("firsts") + F.coalesce("n", F.lit(0)) - F.col("p")
-    joined = rows.join(found, "t", "left").withColumn("evicted", F.coalesce(far & (distance >= limit), F.lit(False)))
-    return joined.select(*touches.columns, "evicted")
+    rows = cut_lineage(_taken_up(touches, limit, key, line, place, width))
+    # a key's first touch always misses the table
+    counted = running_sums(rows, line, {"episode": F.col("taken_up").cast("long")}, by=(key,), ties=(place,), width=width)
+    episode = F.col("episode") - 1
+    return counted.select(*touches.columns, (F.col("taken_up") & (episode > 0)).alias("evicted"), episode.alias("episode"))
 
 
-def tracked(touches: DataFrame, limit: int, key: str = "block_id", line: str = "position", place: str = "place", width: int = WIDTH) -> DataFrame:
-    """``reuse`` with ``episode``: how often the key was dropped before; what is kept of a key starts anew in each."""
-    rows = reuse(touches, limit, key, line, place, width)
-    return running_sums(rows, line, {"episode": F.col("evicted").cast("long")}, by=(key,), ties=(place,), width=width)
+def reuse(touches: DataFrame, limit: int, key: str = "block_id", line: str = "position", place: str = "place", width: int = WIDTH) -> DataFrame:
+    """``tracked`` without ``episode``."""
+    return tracked(touches, limit, key, line, place, width).drop("episode")
 
 
 def eviction_counts(rows: DataFrame, limit: int, key: str = "block_id") -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.text import line_content
 from ..operators import blocks as blk
 from ..operators import metrics, models, ordering
 from ..operators import templates as tpl
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .catalog import query
 from .testdata import sql, table
 
@@ -423,10 +423,10 @@ def live_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     lines = cut_lineage(tpl.with_mask(blk.with_blocks(block_log(spark, sf))).select("position", "blocks", "masked"))
     shapes = cut_lineage(tpl.shapes_of(lines))
     known = tpl.match_masked(shapes, tpl.mine_shapes(shapes).where("template_id % 5 <> 4"))
-    matched = lines.join(known, "masked")
-    used = matched.where("template_id % 5 <> 3").select("template_id", F.explode("blocks").alias("block_id"))
-    vocab = cut_lineage(blk.vocabulary(used))
-    return blk.with_model_column(matched, vocab), vocab
+    named = lines.where(F.size("blocks") > 0).select("masked").distinct()
+    vocab = stored(blk.vocabulary(known.join(named, "masked").where("template_id % 5 <> 3")))
+    # shapes meet their columns before they meet the lines
+    return lines.join(stored(blk.with_model_column(known, vocab)), "masked"), vocab
 
 
 def live_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import blocks as blk
 from ..operators import recency
 from ..operators import templates as tpl
+from ..session import cut_lineage
 from .blocks import LIVE_SQL, block_log, live_lines
 from .catalog import query
 from .testdata import sql, table
@@ -46,7 +47,7 @@ def touches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def tracked_block_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of partial blocks when only the latest blocks are kept: an evicted block starts anew."""
     rows, weights = touches(spark, sf)
-    kept = recency.tracked(rows, LIMIT)
+    kept = cut_lineage(recency.tracked(rows, LIMIT))
     scored = blk.partial_block_scores(kept, -1.5, weights, by=("block_id", "episode"))
     return scored.select("position", "block_id", "evicted", "lines", "probability")
 
