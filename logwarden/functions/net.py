@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from ..fixed_values import SCOPE_RANGES
 
 OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_STRICT = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}\z"
+LOOPBACK_V6 = ("::1", "0:0:0:0:0:0:0:1")
 
 
 def dotted_to_long(a: int, b: int, c: int, d: int) -> int:
@@ -114,10 +116,14 @@ def canonical_ipv6(text: Column) -> Column:
 
 def _hex_tail(text: Column) -> Column:
     """The literal with a dotted quad at its end written as two groups."""
-    tail = ip_to_long(F.substring_index(text, ":", -1))
-    head = F.regexp_replace(text, r"[^:]*\z", "")
-    groups = F.concat_ws(":", F.hex(F.shiftright(tail, 16)), F.hex(tail.bitwiseAND(0xFFFF)))
-    return F.when(F.instr(text, ".") > 0, F.when(tail.isNotNull(), F.concat(head, groups))).otherwise(text)
+    last = F.substring_index(text, ":", -1)
+    head = F.substring(text, F.lit(1), F.length(text) - F.length(last))
+
+    def two(tail: Column) -> Column:
+        groups = F.concat_ws(":", F.hex(F.shiftright(tail, 16)), F.hex(tail.bitwiseAND(0xFFFF)))
+        return F.when(tail.isNotNull(), F.concat(head, groups))
+
+    return F.when(F.instr(text, ".") > 0, let(ip_to_long(last), two)).otherwise(text)
 
 
 def _ipv6_groups(text: Column) -> Column:
@@ -127,18 +133,30 @@ def _ipv6_groups(text: Column) -> Column:
     def part(half: Column) -> Column:
         return F.when(half == "", none).otherwise(F.split(half, ":", -1))
 
-    halves = F.split(text, "::", -1)
-    left, right = part(F.get(halves, F.lit(0))), part(F.get(halves, F.lit(1)))
-    short = F.size(left) + F.size(right)
-    whole = F.when((F.size(halves) == 1) & (F.size(left) == 8), left).when(
-        (F.size(halves) == 2) & (short < 8), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - short, F.lit(0))), right)
-    )
-    sound = F.forall(whole, lambda g: g.rlike(r"^[0-9A-Fa-f]{1,4}\z"))
-    return F.when(sound, F.transform(whole, lambda g: F.conv(g, 16, 10).cast("long")))
+    def whole(p: Column) -> Column:
+        short = F.size(p["left"]) + F.size(p["right"])
+        return F.when((p["halves"] == 1) & (F.size(p["left"]) == 8), p["left"]).when(
+            (p["halves"] == 2) & (short < 8),
+            F.concat(p["left"], F.array_repeat(F.lit("0"), F.greatest(8 - short, F.lit(0))), p["right"]),
+        )
+
+    def parts(halves: Column) -> Column:
+        left, right = part(F.get(halves, F.lit(0))), part(F.get(halves, F.lit(1)))
+        return F.struct(left.alias("left"), right.alias("right"), F.size(halves).alias("halves"))
+
+    def numbers(groups: Column) -> Column:
+        sound = F.forall(groups, lambda g: g.rlike(r"^[0-9A-Fa-f]{1,4}\z"))
+        return F.when(sound, F.transform(groups, lambda g: F.conv(g, 16, 10).cast("long")))
+
+    return let(let(let(F.split(text, "::", -1), parts), whole), numbers)
 
 
 def _ipv6_text(groups: Column) -> Column:
     zeros = F.array_join(F.transform(groups, lambda g: F.when(g == 0, "0").otherwise("1")), "")
+    return let(zeros, lambda found: _ipv6_written(groups, found))
+
+
+def _ipv6_written(groups: Column, zeros: Column) -> Column:
     names = F.transform(groups, lambda g: F.lower(F.hex(g)))
     found = F
     for size in range(8, 1, -1):
@@ -163,7 +181,12 @@ def canonical_ip(text: Column, ipv6: bool = True) -> Column:
     return F.coalesce(v4, F.when(F.instr(text, ":") > 0, canonical_ipv6(text)))
 
 
+def loopback_among(peers: tuple[str, ...]) -> tuple[str, ...]:
+    """The fixed addresses that ``is_loopback`` holds for, told without looking at rows."""
+    return tuple(p for p in peers if p in LOOPBACK_V6 or (re.fullmatch(IPV4_STRICT[1:-2], p) and p.startswith("127.")))
+
+
 def is_loopback(ip: Column) -> Column:
     return F.coalesce(ip_to_long(ip).between(*_range_of("127.0.0.0", 8)), F.lit(False)) | (
-        F.coalesce(ip.isin("::1", "0:0:0:0:0:0:0:1"), F.lit(False))
+        F.coalesce(ip.isin(*LOOPBACK_V6), F.lit(False))
     )

@@ -76,8 +76,9 @@ def month_number(name: Column) -> Column:
 
 def clock_timestamp(year: Column, month: Column, day: Column, hhmmss: Column) -> Column:
     """UTC timestamp of calendar parts; null when they name no real time."""
-    text = F.format_string("%04d-%02d-%02d %s", year.cast("int"), month, day.cast("int"), hhmmss)
-    return F.when(month.isNotNull(), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
+    padded = lambda part, n: F.lpad(part.cast("int").cast("string"), n, "0")
+    date = F.concat(padded(year, 4), F.lit("-"), padded(month, 2), F.lit("-"), padded(day, 2))
+    return F.when(month.isNotNull() & year.between(0, 9999), F.try_to_timestamp(F.concat(date, F.lit(" "), hhmmss)))
 
 
 def pri_facility(pri: Column) -> Column:
@@ -106,6 +107,14 @@ def service_actor(target: Column, actor: Column) -> Column:
     return F.when(actor.isin(*SERVICE_ACCOUNTS) & (target != actor), actor)
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space at either end; searched only where it begins or ends with some, or is not ASCII."""
+    edge = F.octet_length(text) != F.char_length(text)
+    for end in (F.substring(text, 1, 1), F.substring(text, -1, 1)):
+        edge = edge | end.isin(*" \t\n\x0b\x0c\r")
+    return F.when(edge, F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")).otherwise(text)
+
+
 def line_content(line: Column) -> Column:
     """Content after the five header fields, or the stripped line when it has no such header."""
 

@@ -7,6 +7,7 @@ so that later expressions read array items and generated code stays small.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 
@@ -27,7 +28,7 @@ from ..fixed_values import (
     SYSLOG_FILE_LINE,
     SYSLOG_TAG,
 )
-from ..functions.net import canonical_ip, is_loopback, settled
+from ..functions.net import canonical_ip, loopback_among, settled
 from ..functions.text import (
     clock_timestamp,
     first_ipv4,
@@ -38,6 +39,7 @@ from ..functions.text import (
     pri_severity,
     service_actor,
     severity_event,
+    stripped,
 )
 
 RAW_FIELDS = (
@@ -47,6 +49,15 @@ RAW_FIELDS = (
 SYSLOG_FORMATS = ("rfc5424", "rfc3164", "raw")
 
 
+def by_alphabet(text: Column, pattern: str, use: Callable[[str], Column]) -> Column:
+    """``use`` of the pattern. Text in ASCII only has no use for Unicode classes, which are slow to tell: there they are left out."""
+    flags = re.match(r"\(\?([a-z]*)U\)", pattern)
+    if not flags:
+        return use(pattern)
+    plain = (f"(?{flags[1]})" if flags[1] else "") + pattern[flags.end():]
+    return F.when(F.octet_length(text) == F.char_length(text), use(plain)).otherwise(use(pattern))
+
+
 def with_groups(
     df: DataFrame, out: str, text: Column, pattern: str, count: int, only: Column | None = None
 ) -> DataFrame:
@@ -56,12 +67,13 @@ def with_groups(
     a single line), so it separates them. A match always changes the text, since it consumes white
     space or brackets between the groups.
     """
-    written = F.regexp_replace(text, pattern, "\n".join(f"${i}" for i in range(1, count + 1)))
+    written = by_alphabet(text, pattern, lambda p: F.regexp_replace(text, p, "\n".join(f"${i}" for i in range(1, count + 1))))
     if only is not None:
         written = F.when(only, written)
     staged = df.withColumn("__written", written)
     groups = F.when(F.col("__written") != text, F.split("__written", "\n", count))
-    return staged.withColumn(out, groups).drop("__written")
+    # The JVM compiles short methods only: a stage for each pattern keeps them so.
+    return settled(staged, out, groups).drop("__written")
 
 
 def _item(groups: str, i: int) -> Column:
@@ -193,7 +205,7 @@ def parse_syslog(
     The sshd actor of a message is taken over only from a listed loopback peer, and from RFC 5424 only
     when the structured data is "-". The peer itself is always kept.
     """
-    staged = df.withColumn("__text", F.regexp_replace(payload, r"(?U)^\s+|\s+\z", "")).withColumn("__peer", peer)
+    staged = df.withColumn("__text", stripped(F.col(payload))).withColumn("__peer", peer)
     text = F.col("__text")
     new = F.lit("rfc5424" in formats)
     staged = with_groups(staged, "__n", text, RFC5424_LINE, 8, new & text.startswith("<"))
@@ -218,9 +230,9 @@ def parse_syslog(
         F.when(iso.rlike(r"^\d{4}-?\d{2}-?\d{2}"), F.try_to_timestamp(iso)),
         clock_timestamp(default_year, month_number(month), day, clock),
     )
+    staged = settled(staged, "__ms", F.coalesce(F.unix_millis(stamp), received_ms))
     staged = staged.withColumns(
         {
-            "__ms": F.coalesce(F.unix_millis(stamp), received_ms),
             "__app": app,
             "__event": F.coalesce(severity_event(pri_severity(pri)), F.lit("log_info")),
             "__source": F.coalesce(host, _item("__o", 4), F.col("__peer")),
@@ -236,7 +248,7 @@ def parse_syslog(
         }
     )
     if trusted_peers:
-        trusted = F.col("__peer").isin(*trusted_peers) & is_loopback(F.col("__peer"))
+        trusted = F.col("__peer").isin(*loopback_among(trusted_peers))
         staged = with_sshd_auth(staged, F.when(trusted, F.col("__tag")), F.col("__body"), "__auth", ipv6)
     else:
         staged = staged.withColumn("__auth", F.lit(None).cast("struct<event:string,ip:string,user:string>"))

@@ -1,9 +1,12 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from logwarden.functions import text
+import __spark_entry__ as contract
+from logwarden.fixed_values import RFC5424_LINE
+from logwarden.functions import net, text
 from logwarden.sources import labels, lines, parsers
 
 RECEIVED = 1_790_000_000_000
@@ -195,3 +198,44 @@ def test_source_filters_pass_the_parsers(spark, tmp_path, name):
     events, _ = parsers.split_parsed(parse(df))
     plan = events.where("day = 3")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan and "EvalPython" not in plan
+
+
+def test_syslog_is_parsed_by_methods_short_enough_to_be_compiled(spark, capsys):
+    """The JVM interprets methods of more than 8,000 bytes for good."""
+    contract.queries()["parse_syslog_mixed"](spark, "/root/testdata/sf0.001").explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("space", [" ", " ", " ", "\x85", "\t", "\x1c"])
+@pytest.mark.parametrize("letter", ["a", "é", "\U0001d7d9"])
+def test_groups_of_ascii_and_other_lines_are_those_of_the_whole_pattern(spark, space, letter):
+    """Lines in ASCII are read without Unicode classes; both must agree with the pattern as it stands."""
+    lines = [f"<34>1{space}2026-01-01T00:00:00Z gate{space}app{letter} - -{space} - {letter} b", f"{space} {letter} \n", f"{letter}{space}", f"{space}{space}", "", None]
+    pattern, out = RFC5424_LINE, "\n".join(f"${i}" for i in range(1, 9))
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    df = df.select("value", F.regexp_replace("value", r"(?U)^\s+|\s+\z", "").alias("want"), text.stripped(F.col("value")).alias("got"))
+    df = parsers.with_groups(df, "groups", F.col("value"), pattern, 8).withColumn("whole", F.regexp_replace("value", pattern, out))
+    for r in df.collect():
+        assert r.got == r.want
+        assert r.groups == (r.whole.split("\n", 7) if r.value is not None and r.whole != r.value else None)
+
+
+def test_calendar_parts_that_name_no_time(spark):
+    cases = [
+        (2024, 2, "29", "10:00:00", True), (2023, 2, "29", "10:00:00", False), (2024, 4, "31", "10:00:00", False), (2024, 1, "1", "24:00:00", False),
+        (2024, 1, "1", "23:59:60", False), (2024, 1, "00", "10:00:00", False), (2024, 1, "1", "١٠:00:00", False), (2024, None, "1", "10:00:00", False),
+        (0, 1, "1", "10:00:00", True), (10000, 1, "1", "10:00:00", False), (987, 12, "31", "00:00:00", True),
+    ]
+    df = spark.createDataFrame(cases, "y int, m int, d string, t string, real boolean")
+    old = F.format_string("%04d-%02d-%02d %s", "y", "m", F.col("d").cast("int"), "t")
+    old = F.when(F.col("m").isNotNull(), F.try_to_timestamp(old, F.lit("yyyy-MM-dd HH:mm:ss")))
+    new = text.clock_timestamp(F.col("y"), F.col("m"), F.col("d"), F.col("t"))
+    got = df.select("real", F.unix_micros(new).alias("got"), F.unix_micros(old).alias("old")).collect()
+    assert [(r.got is not None) == r.real and r.got == r.old for r in got] == [True] * len(cases)
+
+
+def test_loopback_among_fixed_addresses(spark):
+    peers = ("127.0.0.1", "127.255.0.9", "127.0.0.01", "128.0.0.1", "127.0.0.1\n", "::1", "0:0:0:0:0:0:0:1", "x127.0.0.1", "127.0.0.256", "")
+    df = spark.createDataFrame([(p,) for p in peers], "ip string")
+    assert net.loopback_among(peers) == tuple(r.ip for r in df.where(net.is_loopback(F.col("ip"))).collect())
