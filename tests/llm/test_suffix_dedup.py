@@ -64,3 +64,24 @@ def test_long_texts_cross_segments_and_empty_tables(spark):
     assert suffix_dedup.digests(suffix_dedup.repeated_bytes(empty)).count() == 0
     with pytest.raises(ValueError, match="spans"):
         suffix_dedup.repeated_starts(empty, spans=(512, 1))
+
+
+def test_planted_passages_show_in_n_removed_and_never_in_n_bytes(spark):
+    rng = random.Random(7)
+    prose = lambda n, size: " ".join("".join(rng.choice("abcdeéñ") for _ in range(size)) for _ in range(n))
+    texts, passages = [], []
+    for i in range(40):  # a passage of over 50 words in two documents: of 400 bytes or more, or fewer
+        passage = prose(60, 7) if i % 2 else prose(51, 5)
+        assert (len(passage.encode()) >= 400) == bool(i % 2)
+        for _ in range(2):
+            texts.append(f"{prose(40, 6)} {passage} {prose(40, 6)}")
+            passages.append(len(passage.encode()) if i % 2 else 0)
+    texts += [prose(140, 6) for _ in range(40)]
+    passages += [0] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [tuple(r)[1:] for r in sorted(suffix_dedup.digests(suffix_dedup.repeated_bytes(docs)).collect())]
+    assert got == brute(texts, suffix_dedup.LENGTH)
+    for text, passage, (n_bytes, n_removed, n_spans, _) in zip(texts, passages, got):
+        assert n_bytes == len(text.encode())
+        assert n_spans == (passage > 0)
+        assert passage <= n_removed <= (passage and passage + 20)
