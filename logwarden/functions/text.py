@@ -137,10 +137,13 @@ def mask(content: Column) -> Column:
 
 
 def tokens(masked: Column) -> Column:
-    return let(
+    """Words between white space; where that is single spaces only, they are split without the pattern."""
+    other = masked.contains("  ") | masked.startswith(" ") | masked.endswith(" ") | masked.rlike(r"(?U)[\s&&[^ ]]")
+    split = let(
         F.regexp_replace(masked, r"(?U)^\s+|\s+\z", ""),
         lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"(?U)\s+")),
     )
+    return F.when(~other & (masked != ""), F.split(masked, " ")).otherwise(split)
 
 
 def fill_template(template: Column, fields: dict[str, Column]) -> Column:

@@ -7,14 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import TEMPLATE_MAX_CHILDREN, TEMPLATE_SIMILARITY
 from ..functions.net import settled
 from ..functions.text import mask, tokens
-from ..session import cut_lineage
-from .ordering import with_ordinal
+from ..session import cut_lineage, stored
+from .ordering import WIDTH, with_ordinal
 
 WILD = "<*>"
 
@@ -40,29 +41,61 @@ def _leaf_key(first: Column) -> Column:
     return F.when(first.rlike(r"(?U)\d"), F.lit(WILD)).otherwise(first)
 
 
-def with_leaf(distinct: DataFrame, max_children: int = TEMPLATE_MAX_CHILDREN, prefix: int = 1) -> DataFrame:
-    """Add the prefix-tree leaf: (token count, first token). First tokens with a digit, and those
-    beyond the child limit in order of appearance, share the wildcard leaf. Further prefix tokens
-    are added as they are, or as the wildcard if they hold a digit."""
-    keyed = distinct.withColumn(
-        "key", F.when(F.col("n_tokens") > 1, _leaf_key(F.get("tokens", F.lit(0)))).otherwise(F.lit(""))
-    )
-    # Plain first tokens of a token count, ordered by appearance. Only the first max_children - 1
-    # keep a leaf of their own, so the ranking is cut per map task before the shuffle.
+def _keyed(shapes: DataFrame) -> DataFrame:
+    """``masked`` as ``text``, the tokens joined, and ``spaced``, itself where its white space is another; with ``n_tokens`` and
+    ``key``, the first token as the tree sees it."""
+    words = settled(shapes, "words", tokens(F.col("masked"))).withColumn("n_tokens", F.size("words"))
+    key = F.when(F.col("n_tokens") > 1, _leaf_key(F.get("words", F.lit(0)))).otherwise(F.lit(""))
+    joined = words.withColumn("key", key).withColumn("text", F.array_join("words", " "))
+    spaced = F.when(F.col("masked") != F.col("text"), F.col("masked"))
+    return joined.withColumn("spaced", spaced).select("n_tokens", "key", "text", "spaced", "first_pos", "lines")
+
+
+def own_leaves(keyed: DataFrame, max_children: int = TEMPLATE_MAX_CHILDREN) -> DataFrame:
+    """(n_tokens, key) of the leaves with a first token of their own: of each token count the first ``max_children`` - 1 plain
+    ones in order of appearance, so that the ranking is cut per map task before the shuffle."""
     firsts = keyed.where(F.col("key") != WILD).groupBy("n_tokens", "key").agg(F.min("first_pos").alias("seen"))
     w = Window.partitionBy("n_tokens").orderBy("seen", "key")
-    own = (
-        firsts.withColumn("r", F.row_number().over(w))
-        .where(F.col("r") < max_children)
-        .select(F.col("n_tokens").alias("own_n"), F.col("key").alias("own_key"))
-    )
+    return firsts.withColumn("r", F.row_number().over(w)).where(F.col("r") < max_children).select("n_tokens", "key")
+
+
+def with_leaf(keyed: DataFrame, own: DataFrame, prefix: int = 1) -> DataFrame:
+    """Add the prefix-tree leaf: (token count, first token). First tokens with a digit, and those
+    beyond the child limit in order of appearance, share the wildcard leaf. Further prefix tokens
+    are added as they are, or as the wildcard if they hold a digit.
+
+    ``own`` has fewer rows than ``max_children`` for each token count and meets the shapes where they are."""
+    known = F.broadcast(own.select(F.col("n_tokens").alias("own_n"), F.col("key").alias("own_key")))
     same = (F.col("n_tokens") == F.col("own_n")) & (F.col("key") == F.col("own_key"))
-    joined = keyed.join(own, same, "left")
     leaf = F.coalesce("own_key", F.lit(WILD))
     if prefix > 1:
-        deeper = F.transform(F.slice("tokens", 2, prefix - 1), _leaf_key)
+        deeper = F.transform(F.slice(F.split("text", " "), 2, prefix - 1), _leaf_key)
         leaf = F.concat_ws(" ", leaf, F.array_join(deeper, " "))
-    return joined.withColumn("leaf", leaf).drop("own_n", "own_key", "key")
+    return keyed.join(known, same, "left").withColumn("leaf", leaf).drop("own_n", "own_key", "key")
+
+
+HELD = 1 << 24  # bytes of lines in which a task finds equal ones before they are dealt out
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal lines of a task become one with the first position and their number, so that a line of any share of the log stays few rows."""
+
+    def merged() -> pa.Table:
+        sums = pa.Table.from_batches(held).group_by("masked", use_threads=False).aggregate([("first_pos", "min"), ("lines", "sum")])
+        return sums.select(["masked", "first_pos_min", "lines_sum"]).rename_columns(["masked", "first_pos", "lines"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD:
+            table = merged()
+            held, size = table.to_batches(), table.nbytes
+            if size > HELD // 2:
+                yield from table.to_batches(max_chunksize=10_000)
+                held, size = [], 0
+    if held:
+        yield from merged().to_batches(max_chunksize=10_000)
 
 
 PENDING = 256  # latest templates, which are compared one and all; older ones are looked up by their words
@@ -109,20 +142,18 @@ class _Clusters:
         codes = (row + self.places)[row != 0]
         if not self.runs or len(codes) < self.need:
             return pending
-        spans = [(np.searchsorted(run, codes), np.searchsorted(run, codes, "right"), ids) for run, ids in self.runs]
-        chosen = np.argsort(sum(to - at for at, to, _ in spans))[: len(codes) - self.need + 1]
+        spans = [(run.searchsorted(codes), run.searchsorted(codes, "right"), ids) for run, ids in self.runs]
+        chosen = sum(to - at for at, to, _ in spans).argsort()[: len(codes) - self.need + 1]
         ids = [ids[a:b] for at, to, ids in spans for a, b in zip(at[chosen].tolist(), to[chosen].tolist(), strict=True) if a < b]
         return np.concatenate((np.unique(np.concatenate(ids)), pending)) if ids else pending
 
     def add(self, row: np.ndarray, position: int, lines: int) -> None:
-        known, found, best = len(self.lines), None, -1
-        if known and not self.need:
-            found = np.arange(known)
-        elif known:
-            found = self._found(row)
-        if found is not None and len(found):
-            rows = self.matrix[found]
-            same = ((rows == row) & (rows != 0)).sum(axis=1)
+        known, best = len(self.lines), -1
+        # few templates, or a line without words: all of them, where they are
+        found = self._found(row) if self.runs else np.arange(known)
+        if len(found):
+            rows = self.matrix[found] if self.runs else self.matrix[:known]
+            same = ((rows == row) & (row != 0)).sum(axis=1)
             most = int(same.max())
             if most >= self.need:  # most equal tokens, then most wildcards, then the oldest
                 tied = np.flatnonzero(same == most)
@@ -141,7 +172,7 @@ class _Clusters:
         self.lines[best] += lines
 
 
-FOUND = ("n_tokens", "leaf", "part", "tokens", "first_pos", "lines")
+FOUND = ("n_tokens", "leaf", "part", "text", "first_pos", "lines")
 OUT_ROWS = 2000  # templates that leave a task together
 WORDS = 1 << 20  # numbered words at which a task starts its numbering anew, between leaves
 
@@ -152,47 +183,45 @@ class _Words:
         self.names = [WILD]
 
     def numbered(self, values: pa.Array) -> np.ndarray:
-        coded = values.dictionary_encode()
-        known = []
-        for word in coded.dictionary.to_pylist():
-            number = self.numbers.setdefault(word, len(self.names))
-            if number == len(self.names):
-                self.names.append(word)
-            known.append(number)
+        coded, before = values.dictionary_encode(), len(self.names)
+        distinct = coded.dictionary.to_pylist()
+        known = [self.numbers.setdefault(word, len(self.numbers)) for word in distinct]
+        self.names += [word for word, number in zip(distinct, known, strict=True) if number >= before]
         return np.array(known, np.int32)[coded.indices.to_numpy()]
 
-    def rows(self, done: list[tuple[tuple, _Clusters]]) -> pa.RecordBatch:
+    def rows(self, done: list[tuple[tuple, _Clusters]], at: pa.DataType) -> pa.RecordBatch:
         """The templates of leaves, in words again."""
         kept = [(key, c, len(c.lines)) for key, c in done]
         flat = np.concatenate([c.matrix[:n].ravel() for _, c, n in kept])
-        used, at = np.unique(flat, return_inverse=True)
-        words = pa.array([self.names[i] for i in used], pa.string()).take(pa.array(at))
+        used, which = np.unique(flat, return_inverse=True)
+        words = pa.array([self.names[i] for i in used], pa.string()).take(pa.array(which))
         widths = np.concatenate([[0], *(np.full(n, key[0]) for key, _, n in kept)])
         columns = [
             pa.array(widths[1:], pa.int32()), *(pa.array([key[i] for key, _, n in kept for _ in range(n)], pa.string()) for i in (1, 2)),
-            pa.ListArray.from_arrays(pa.array(np.cumsum(widths), pa.int32()), words),
-            *(pa.array([x for _, c, _ in kept for x in getattr(c, name)], pa.int64()) for name in ("first_pos", "lines")),
+            pc.binary_join(pa.ListArray.from_arrays(pa.array(np.cumsum(widths), pa.int32()), words), " "),
+            *(pa.array([x for _, c, _ in kept for x in getattr(c, name)], kind) for name, kind in (("first_pos", at), ("lines", pa.int64()))),
         ]
         return pa.RecordBatch.from_arrays(columns, FOUND)
 
 
 def _cluster(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, key, clusters, done, held = _Words(), None, None, [], 0
+        words, key, clusters, done, held, at = _Words(), None, None, [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            width, first_pos, lines = (batch.column(c).to_numpy() for c in ("n_tokens", "first_pos", "lines"))
+            width, lines = (batch.column(c).to_numpy() for c in ("n_tokens", "lines"))
+            first_pos, at = batch.column("first_pos").to_pylist(), batch.column("first_pos").type
             names = [batch.column(c).dictionary_encode() for c in ("leaf", "part")]
             leaf, part = (c.indices.to_numpy() for c in names)
             leaves, parts = (c.dictionary.to_pylist() for c in names)
             changes = np.flatnonzero((np.diff(width) != 0) | (np.diff(leaf) != 0) | (np.diff(part) != 0)) + 1
             opens = (int(width[0]), leaves[leaf[0]], parts[part[0]]) != key
             if len(words.names) > WORDS and opens and clusters is not None:
-                yield words.rows([*done, (key, clusters)])
+                yield words.rows([*done, (key, clusters)], at)
                 words, key, clusters, done, held = _Words(), None, None, [], 0
-            numbers, offsets = words.numbered(batch.column("tokens").flatten()), batch.column("tokens").offsets.to_numpy()
-            offsets = (offsets - offsets[0]).tolist()
+            split = pc.split_pattern(batch.column("text"), " ")
+            numbers, offsets = words.numbered(split.flatten()), split.offsets.to_numpy().tolist()
             for a, b in zip([0, *changes.tolist()], [*changes.tolist(), len(width)], strict=True):
                 group = (int(width[a]), leaves[leaf[a]], parts[part[a]])
                 if group != key:
@@ -200,13 +229,13 @@ def _cluster(similarity: float):
                         done.append((key, clusters))
                         held += len(clusters.lines)
                     if held >= OUT_ROWS:
-                        yield words.rows(done)
+                        yield words.rows(done, at)
                         done, held = [], 0
                     key, clusters = group, _Clusters(similarity, group[0])
-                for i, position, n in zip(range(a, b), first_pos[a:b].tolist(), lines[a:b].tolist(), strict=True):
-                    clusters.add(numbers[offsets[i] : offsets[i + 1]], position, n)
+                for i, position, n in zip(range(a, b), first_pos[a:b], lines[a:b].tolist(), strict=True):
+                    clusters.add(numbers[offsets[i] : offsets[i] + group[0]], position, n)
         if clusters is not None:
-            yield words.rows([*done, (key, clusters)])
+            yield words.rows([*done, (key, clusters)], at)
 
     return run
 
@@ -219,6 +248,7 @@ def mine_templates(
     position: str = "position",
     prefix: int = 1,
     digits: int = 0,
+    width: int = WIDTH,
 ) -> DataFrame:
     """(template_id, n_tokens, leaf, tokens, first_pos, lines) mined from the lines.
 
@@ -228,25 +258,49 @@ def mine_templates(
 
     With ``digits`` a leaf is no task's own: its shapes fall into 16^digits parts by a digest of their tokens, which are
     clustered apart, and the templates of 16 parts are merged by the same rule in each of ``digits`` further rounds, so that the
-    last one meets templates only. Where templates are well apart the result is that of one pass.
+    last one meets templates only. Where templates are well apart the result is that of one pass. Positions are integers or
+    decimals; ``width`` is that of the buckets in which templates are put in order.
+
+    With ``digits`` there may be nearly as many shapes as lines. They are then not written by themselves: the log is masked once
+    for the first tokens and once more for the first round, whose shuffle also brings equal lines together.
     """
-    # The log is read and masked once; the distinct shapes are used by several stages.
-    return mine_shapes(cut_lineage(distinct_masked(lines, content, position)), similarity, max_children, prefix, digits)
+    if not digits:  # the distinct shapes are few, and used by several stages
+        shapes = distinct_masked(lines, content, position).select("masked", "first_pos", "lines")
+        return mine_shapes(cut_lineage(shapes), similarity, max_children, prefix, width)
+    masked = settled(lines.select(F.col(content).alias("__c"), F.col(position).alias("first_pos")), "masked", mask(F.col("__c")))
+    rows = masked.select("masked", "first_pos", F.lit(1).cast("long").alias("lines"))
+    own = own_leaves(_keyed(rows), max_children)
+    return _mined(_keyed(rows.mapInArrow(_combined, rows.schema)), own, similarity, prefix, digits, width)
 
 
 def mine_shapes(
-    shapes: DataFrame, similarity: float = TEMPLATE_SIMILARITY, max_children: int = TEMPLATE_MAX_CHILDREN, prefix: int = 1, digits: int = 0
+    shapes: DataFrame, similarity: float = TEMPLATE_SIMILARITY, max_children: int = TEMPLATE_MAX_CHILDREN, prefix: int = 1, width: int = WIDTH
 ) -> DataFrame:
     """``mine_templates`` of distinct shapes that are written already."""
-    leaves = with_leaf(shapes, max_children, prefix)
-    schema = "n_tokens int, leaf string, part string, tokens array<string>, first_pos long, lines long"
-    found = leaves.withColumn("part", F.md5(F.array_join("tokens", " ")))
+    keyed = _keyed(shapes.select("masked", "first_pos", "lines"))
+    return _mined(keyed, own_leaves(keyed, max_children), similarity, prefix, 0, width)
+
+
+def _mined(keyed: DataFrame, own: DataFrame, similarity: float, prefix: int, digits: int, width: int) -> DataFrame:
+    """Templates of keyed lines. Equal lines meet in the first round's tasks; a round whose parts are in one task already needs no shuffle."""
+    leaves = with_leaf(keyed, stored(own), prefix)
+    position = keyed.schema["first_pos"].dataType.simpleString()
+    schema = f"n_tokens int, leaf string, part string, text string, first_pos {position}, lines long"
+    found = leaves.withColumn("part", F.substring(F.md5("text"), 1, digits))
+    dealt = None
     for kept in range(digits, -1, -1):
         group = ("n_tokens", "leaf", "part")
-        rows = found.select("n_tokens", "leaf", F.substring("part", 1, kept).alias("part"), "tokens", "first_pos", "lines")
-        found = rows.repartition(*group).sortWithinPartitions(*group, "first_pos").mapInArrow(_cluster(similarity), schema)
-    ordered = with_ordinal(cut_lineage(found), "first_pos", "template_id")
-    return ordered.select("template_id", "n_tokens", "leaf", "tokens", "first_pos", "lines")
+        found = found.withColumn("part", F.substring("part", 1, kept))
+        if dealt is None or kept < dealt:
+            dealt = max(kept - 1, min(kept, 1))
+            found = found.withColumn("dealt", F.substring("part", 1, dealt)).repartition("n_tokens", "leaf", "dealt")
+        if kept == digits:
+            found = found.groupBy("dealt", *group, "text", "spaced").agg(F.min("first_pos").alias("first_pos"), F.sum("lines").alias("lines"))
+        rows = found.select(*FOUND).sortWithinPartitions(*group, "first_pos")
+        found = rows.mapInArrow(_cluster(similarity), schema)
+    ordered = with_ordinal(stored(found.drop("part")), "first_pos", "template_id", width=width)
+    words = F.when(F.col("n_tokens") > 0, F.split("text", " ")).otherwise(F.array().cast("array<string>"))
+    return ordered.select("template_id", "n_tokens", "leaf", words.alias("tokens"), "first_pos", "lines")
 
 
 def match_masked(distinct: DataFrame, templates: DataFrame) -> DataFrame:

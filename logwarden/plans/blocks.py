@@ -171,11 +171,11 @@ DOCUMENT_LINES_SQL = """doc_lines AS (
 )
 def mine_document_templates(spark: SparkSession, sf: str) -> DataFrame:
     """Templates of all paragraphs of all documents: many shapes, in the order of appearance."""
-    lines = table(spark, sf, "documents").select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "content")
-    ).where("trim(content) <> ''")
-    lines = ordering.with_ordinal(lines, "doc_id", "position", width=1 << 14, ties=("i",))
-    mined = tpl.mine_templates(lines, digits=DIGITS)
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "content")).where("trim(content) <> ''")
+    # Two integers in one, which need not be dense: numbering the lines would shuffle all their texts.
+    first = F.coalesce("doc_id", F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(1 << 32)
+    lines = lines.select("content", (first + F.col("i")).cast("decimal(38,0)").alias("position"))
+    mined = tpl.mine_templates(lines, digits=DIGITS, width=1 << 46)
     return mined.select("template_id", "n_tokens", "lines", tpl.template_text(F.col("tokens")).alias("template"))
 
 
