@@ -132,18 +132,23 @@ def block_ids(content: Column) -> Column:
 
 
 def mask(content: Column) -> Column:
-    """Replace block ids, addresses, paths, hex and plain numbers by their mask, in that order."""
-    return reduce(lambda c, m: F.regexp_replace(c, m[0], m[1]), TEMPLATE_MASKS, content)
+    """Replace block ids, addresses, paths, hex and plain numbers by their mask, in that order. Each of them has a digit or a slash."""
+    masked = reduce(lambda c, m: F.regexp_replace(c, m[0], m[1]), TEMPLATE_MASKS, content)
+    return F.when(content.rlike(r"(?U)[\d/]"), masked).otherwise(content)
+
+
+def single_spaced(text: Column) -> Column:
+    """Whether the text is words with single spaces between them, and no other white space."""
+    other = text.contains("  ") | text.startswith(" ") | text.endswith(" ") | text.rlike(r"(?U)[\s&&[^ ]]")
+    return ~other & (text != "")
 
 
 def tokens(masked: Column) -> Column:
-    """Words between white space; where that is single spaces only, they are split without the pattern."""
-    other = masked.contains("  ") | masked.startswith(" ") | masked.endswith(" ") | masked.rlike(r"(?U)[\s&&[^ ]]")
-    split = let(
+    """Words between white space."""
+    return let(
         F.regexp_replace(masked, r"(?U)^\s+|\s+\z", ""),
         lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"(?U)\s+")),
     )
-    return F.when(~other & (masked != ""), F.split(masked, " ")).otherwise(split)
 
 
 def fill_template(template: Column, fields: dict[str, Column]) -> Column:

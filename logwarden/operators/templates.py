@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import TEMPLATE_MAX_CHILDREN, TEMPLATE_SIMILARITY
 from ..functions.net import settled
-from ..functions.text import mask, tokens
+from ..functions.text import mask, single_spaced, tokens
 from ..session import cut_lineage, stored
 from .ordering import WIDTH, with_ordinal
 
@@ -44,10 +44,15 @@ def _leaf_key(first: Column) -> Column:
 def _keyed(shapes: DataFrame) -> DataFrame:
     """``masked`` as ``text``, the tokens joined, and ``spaced``, itself where its white space is another; with ``n_tokens`` and
     ``key``, the first token as the tree sees it."""
-    words = settled(shapes, "words", tokens(F.col("masked"))).withColumn("n_tokens", F.size("words"))
-    key = F.when(F.col("n_tokens") > 1, _leaf_key(F.get("words", F.lit(0)))).otherwise(F.lit(""))
-    joined = words.withColumn("key", key).withColumn("text", F.array_join("words", " "))
-    spaced = F.when(F.col("masked") != F.col("text"), F.col("masked"))
+    masked, words, plain = F.col("masked"), F.col("words"), F.col("plain")
+    # The usual line is its own text; only others are cut into words here.
+    cut = settled(settled(shapes, "plain", single_spaced(masked)), "words", F.when(~plain, tokens(masked)))
+    spaces = F.octet_length(masked) - F.octet_length(F.replace(masked, F.lit(" "), F.lit("")))
+    first = F.when(plain, F.substring_index(masked, " ", 1)).otherwise(F.get(words, F.lit(0)))
+    cut = cut.withColumn("n_tokens", F.when(plain, spaces + 1).otherwise(F.size(words))).withColumn("first", first)
+    key = F.when(F.col("n_tokens") > 1, _leaf_key(F.col("first"))).otherwise(F.lit(""))
+    joined = cut.withColumn("key", key).withColumn("text", F.when(plain, masked).otherwise(F.array_join(words, " ")))
+    spaced = F.when(masked != F.col("text"), masked)
     return joined.withColumn("spaced", spaced).select("n_tokens", "key", "text", "spaced", "first_pos", "lines")
 
 
