@@ -87,11 +87,11 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merged() -> pa.Table:
         sums = pa.Table.from_batches(held).group_by("masked", use_threads=False).aggregate([("first_pos", "min"), ("lines", "sum")])
-        return sums.select(["masked", "first_pos_min", "lines_sum"]).rename_columns(["masked", "first_pos", "lines"])
+        return sums.select(["masked", "first_pos_min", "lines_sum"]).rename_columns(names)
 
-    held, size = [], 0
+    names, held, size = ["masked", "first_pos", "lines"], [], 0
     for batch in batches:
-        held.append(batch)
+        held.append(pa.RecordBatch.from_arrays(batch.columns, names))  # nullable, as merged ones are
         size += batch.nbytes
         if size >= HELD:
             table = merged()
@@ -254,6 +254,7 @@ def mine_templates(
     prefix: int = 1,
     digits: int = 0,
     width: int = WIDTH,
+    many: bool = False,
 ) -> DataFrame:
     """(template_id, n_tokens, leaf, tokens, first_pos, lines) mined from the lines.
 
@@ -266,12 +267,12 @@ def mine_templates(
     last one meets templates only. Where templates are well apart the result is that of one pass. Positions are integers or
     decimals; ``width`` is that of the buckets in which templates are put in order.
 
-    With ``digits`` there may be nearly as many shapes as lines. They are then not written by themselves: the log is masked once
-    for the first tokens and once more for the first round, whose shuffle also brings equal lines together.
+    The log is masked once into distinct shapes, which are written. With ``many``, for logs with nearly as many shapes as lines, they
+    are not: the log is masked once for the first tokens and once more for the first round, whose shuffle also brings equal lines together.
     """
-    if not digits:  # the distinct shapes are few, and used by several stages
+    if not many:
         shapes = distinct_masked(lines, content, position).select("masked", "first_pos", "lines")
-        return mine_shapes(cut_lineage(shapes), similarity, max_children, prefix, width)
+        return mine_shapes(cut_lineage(shapes), similarity, max_children, prefix, digits, width)
     masked = settled(lines.select(F.col(content).alias("__c"), F.col(position).alias("first_pos")), "masked", mask(F.col("__c")))
     rows = masked.select("masked", "first_pos", F.lit(1).cast("long").alias("lines"))
     own = own_leaves(_keyed(rows), max_children)
@@ -279,11 +280,12 @@ def mine_templates(
 
 
 def mine_shapes(
-    shapes: DataFrame, similarity: float = TEMPLATE_SIMILARITY, max_children: int = TEMPLATE_MAX_CHILDREN, prefix: int = 1, width: int = WIDTH
-) -> DataFrame:
+    shapes: DataFrame, similarity: float = TEMPLATE_SIMILARITY, max_children: int = TEMPLATE_MAX_CHILDREN, prefix: int = 1, digits: int = 0,
+    width: int = WIDTH,
+) -> DataFrame:
     """``mine_templates`` of distinct shapes that are written already."""
     keyed = _keyed(shapes.select("masked", "first_pos", "lines"))
-    return _mined(keyed, own_leaves(keyed, max_children), similarity, prefix, 0, width)
+    return _mined(keyed, own_leaves(keyed, max_children), similarity, prefix, digits, width)
 
 
 def _mined(keyed: DataFrame, own: DataFrame, similarity: float, prefix: int, digits: int, width: int) -> DataFrame:

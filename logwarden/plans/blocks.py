@@ -175,7 +175,7 @@ def mine_document_templates(spark: SparkSession, sf: str) -> DataFrame:
     # Two integers in one, which need not be dense: numbering the lines would shuffle all their texts.
     first = F.coalesce("doc_id", F.lit(-(1 << 63))).cast("decimal(20,0)") * F.lit(1 << 32)
     lines = lines.select("content", (first + F.col("i")).cast("decimal(38,0)").alias("position"))
-    mined = tpl.mine_templates(lines, digits=DIGITS, width=1 << 46)
+    mined = tpl.mine_templates(lines, digits=DIGITS, width=1 << 46, many=True)
     return mined.select("template_id", "n_tokens", "lines", tpl.template_text(F.col("tokens")).alias("template"))
 
 
